@@ -37,34 +37,51 @@ def phrase_hits(words: DataFrame, projects: DataFrame) -> DataFrame:
     return ww.phrase_ranges(words, tokens, text.norm_edge(F.col("word")), ["recording_id"], [], ["project_slug"])
 
 
+def _lexical(takes: DataFrame) -> DataFrame:
+    return takes.filter(F.col("strategy") == "lexical").select("recording_id", "kind", "source_end", "take_ms", "recorded_at")
+
+
+def _phrase_cuts(words: DataFrame, enriched: DataFrame, takes: DataFrame, projects: DataFrame) -> DataFrame:
+    hits = phrase_hits(words, projects).join(_lexical(takes), "recording_id")
+    hits = hits.filter(rules.expects_positive(F.col("kind")))
+    cues = ww.cue_hits(words, text.norm_edge(F.col("word")), ["recording_id"])
+    roles = ww.split_hits(ww.near_miss(hits, cues, ["recording_id"]), F.col("kind"))
+    return ww.phrase_geometry(roles, enriched, "recording_id")
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """Rows in the common layout; words reduced to what ids and phrases need."""
+    return rows.withColumn("visible", F.transform("visible", lambda w: F.struct(
+        w["word"].alias("word"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"),
+        w["prob"].alias("prob")))).select(*_ROW)
+
+
+def phrase_slices(words: DataFrame, takes: DataFrame, projects: DataFrame) -> DataFrame:
+    """Positive and hard-negative cuts around the phrase hits of the word-aligned takes."""
+    cuts = _phrase_cuts(words, ww.neighbours(words, "recording_id"), takes, projects)
+    return _plain(cuts.withColumn("label", F.col("role")).withColumn("category", F.col("role")))
+
+
 def lexical_slices(words: DataFrame, takes: DataFrame, projects: DataFrame) -> DataFrame:
     """Positive, hard-negative and negative slices of the word-aligned takes.
 
     ``takes``: recording_id, project_slug, kind, source_end, take_ms,
     recorded_at, and strategy (only ``lexical`` rows are cut).
     """
-    lexical = takes.filter(F.col("strategy") == "lexical").select(
-        "recording_id", "project_slug", "kind", "source_end", "take_ms", "recorded_at")
-    w = ww.neighbours(words.select("recording_id", "project_slug", "ordinal", "word", "start_ms", "end_ms", "prob"),
-                      "recording_id")
-    hits = phrase_hits(words, projects).join(lexical.drop("project_slug"), "recording_id")
-    cued = ww.near_miss(hits.filter(~F.trim("kind").isin("negative", "hard_negative")),
-                        ww.cue_hits(words, text.norm_edge(F.col("word")), ["recording_id"]), ["recording_id"])
-    roles = ww.split_hits(cued, F.col("kind"))
-    cuts = ww.phrase_geometry(roles, w, "recording_id")
-    phrase_rows = cuts.withColumn("label", F.col("role")).withColumn("category", F.col("role")).select(*_ROW)
-    negative_takes = lexical.filter(rules.runs_negative_pass(F.col("kind"))).drop("project_slug")
-    pool = w.join(negative_takes, "recording_id")
+    words = words.select("recording_id", "project_slug", "ordinal", "word", "start_ms", "end_ms", "prob")
+    w = ww.neighbours(words, "recording_id")
+    cuts = _phrase_cuts(words, w, takes, projects)
+    phrase_rows = _plain(cuts.withColumn("label", F.col("role")).withColumn("category", F.col("role")))
+    pool = w.join(_lexical(takes).filter(rules.runs_negative_pass(F.col("kind"))), "recording_id")
     free = ww.free_words(pool, cuts.select("recording_id", "cut_start_ms", "cut_end_ms"), "recording_id")
     chunks = ww.negative_chunks(free, "recording_id")
     negatives = ww.chunk_geometry(chunks, pool, "recording_id", ["project_slug", "kind", "take_ms", "recorded_at"])
     label = rules.negative_pass_label(F.col("kind"))
-    negative_rows = negatives.withColumn("label", label).withColumn("category", label).select(*_ROW)
-    return phrase_rows.unionByName(negative_rows)
+    return phrase_rows.unionByName(_plain(negatives.withColumn("label", label).withColumn("category", label)))
 
 
 def background_slices(takes: DataFrame) -> DataFrame:
-    empty = F.array().cast("array<struct<ordinal:bigint,word:string,start_ms:bigint,end_ms:bigint,prob:double>>")
+    empty = F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint,prob:double>>")
     windows = ww.background_windows(takes.filter(F.col("strategy") == "background"))
     return windows.withColumn("label", F.lit("background")).withColumn("category", F.lit("background")).withColumn(
         "visible", empty).select(*_ROW)
@@ -72,7 +89,7 @@ def background_slices(takes: DataFrame) -> DataFrame:
 
 def energy_slices(bursts: DataFrame, takes: DataFrame) -> DataFrame:
     """One positive per sound burst (recording_id, start_ms, end_ms) of an energy-cut take."""
-    empty = F.array().cast("array<struct<ordinal:bigint,word:string,start_ms:bigint,end_ms:bigint,prob:double>>")
+    empty = F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint,prob:double>>")
     start, end = ww.clamp_span(F.col("start_ms"), F.col("end_ms"), True)
     cut = takes.filter(F.col("strategy").isin("energy_forced", "energy_fallback")).join(bursts, "recording_id")
     return cut.withColumn("cut_start_ms", start).withColumn("cut_end_ms", end).withColumn(
@@ -105,9 +122,7 @@ def finish(rows: DataFrame, projects: DataFrame) -> DataFrame:
 
 def slice_table(words: DataFrame, takes: DataFrame, projects: DataFrame, bursts: DataFrame | None = None) -> DataFrame:
     """All slices of all takes: phrase, negative, background and energy cuts."""
-    rows = lexical_slices(words, takes, projects).withColumn("visible", F.transform("visible", lambda w: F.struct(
-        w["ordinal"].alias("ordinal"), w["word"].alias("word"), w["start_ms"].alias("start_ms"),
-        w["end_ms"].alias("end_ms"), w["prob"].alias("prob"))))
+    rows = lexical_slices(words, takes, projects)
     rows = rows.unionByName(background_slices(takes))
     if bursts is not None:
         rows = rows.unionByName(energy_slices(bursts, takes))
