@@ -1 +1,236 @@
+"""Queries that grade score curves."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..operators import evaluate as ev
+from ..operators.islands import hysteresis
+from . import bindings as b
+from .registry import query
+
+T = 0.5
+
+
+def _bands(spark: SparkSession, d: str) -> DataFrame:
+    return ev.target_bands(b.targets(spark, d))
+
+
+@query("target_bands", "SELECT recording_id, target_id, end_ms, lo, hi FROM v_bands")
+def target_bands(spark: SparkSession, d: str) -> DataFrame:
+    return _bands(spark, d).select("recording_id", "target_id", "end_ms", "lo", "hi")
+
+
+PEAK_SQL = """
+models AS (SELECT DISTINCT recording_id, model FROM v_ticks),
+pk AS (SELECT b.recording_id, b.target_id, m.model, b.lo, b.hi,
+    COALESCE(arg_max(t.score, (t.score, t.t_ms, t.seq)), 0.0::DOUBLE) AS peak_score,
+    COALESCE(arg_max(t.t_ms, (t.score, t.t_ms, t.seq))::DOUBLE, b.lo) AS peak_ms
+  FROM v_bands b JOIN models m ON m.recording_id = b.recording_id
+  LEFT JOIN v_ticks t ON t.recording_id = b.recording_id AND t.model = m.model AND t.t_ms >= b.lo AND t.t_ms <= b.hi
+  GROUP BY b.recording_id, b.target_id, m.model, b.lo, b.hi)"""
+
+
+@query("target_peaks", f"""
+WITH {PEAK_SQL} SELECT recording_id, model, target_id, round(peak_score, 6) AS peak_score, peak_ms, peak_score >= 0.5 AS detected FROM pk""")
+def target_peaks(spark: SparkSession, d: str) -> DataFrame:
+    return ev.target_peaks(b.ticks(spark, d), _bands(spark, d), T).select(
+        "recording_id", "model", "target_id", F.round("peak_score", 6).alias("peak_score"), "peak_ms", "detected")
+
+
+STRAY_SQL = """
+flag AS (SELECT t.*, t.score >= 0.5 AND NOT EXISTS (SELECT 1 FROM v_bands b WHERE b.recording_id = t.recording_id
+    AND t.t_ms >= b.lo AND t.t_ms <= b.hi) AS stray FROM v_ticks t),
+isl AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY recording_id, model ORDER BY t_ms, seq)
+    - ROW_NUMBER() OVER (PARTITION BY recording_id, model, stray ORDER BY t_ms, seq) AS g FROM flag),
+fpr AS (SELECT recording_id, model, MIN(t_ms) AS start, MAX(t_ms) AS "end", COUNT(*) AS n, MAX(score) AS peak,
+    arg_max(t_ms, (score, -t_ms, -seq)) AS peak_at FROM isl WHERE stray GROUP BY recording_id, model, g)"""
+
+
+@query("false_positive_runs", f"""
+WITH {STRAY_SQL} SELECT recording_id, model, start, "end", n, round(peak, 6) AS peak, peak_at FROM fpr""")
+def false_positive_runs(spark: SparkSession, d: str) -> DataFrame:
+    return ev.false_positive_runs(b.ticks(spark, d), _bands(spark, d), T).withColumn("peak", F.round("peak", 6))
+
+
+GRADE_SQL = f"""
+{PEAK_SQL}, {STRAY_SQL},
+cv AS (SELECT recording_id, model, GREATEST(MAX(score), 0.0) AS max_score FROM v_ticks GROUP BY ALL),
+tg AS (SELECT recording_id, model, MAX(peak_score) AS p, COUNT(*) AS n, COUNT(*) FILTER (peak_score >= 0.5) AS tp FROM pk GROUP BY ALL),
+fp AS (SELECT recording_id, model, COUNT(*) AS n FROM fpr GROUP BY ALL),
+gr AS (SELECT cv.recording_id, cv.model, max_score, COALESCE(tg.p, max_score) AS peak_score, tg.n IS NOT NULL AS has_target,
+    COALESCE(tg.n, 0) AS target_count, COALESCE(tp, 0) AS true_positives, COALESCE(tg.n, 0) - COALESCE(tp, 0) AS false_negatives,
+    COALESCE(fp.n, 0) AS false_positives, COALESCE(tg.p, max_score) >= 0.5 AS detected
+  FROM cv LEFT JOIN tg ON tg.recording_id = cv.recording_id AND tg.model = cv.model
+  LEFT JOIN fp ON fp.recording_id = cv.recording_id AND fp.model = cv.model)"""
+
+
+@query("take_grades", f"""
+WITH {GRADE_SQL}
+SELECT recording_id, model, round(max_score, 6) AS max_score, round(peak_score, 6) AS peak_score, has_target, target_count, true_positives,
+  false_negatives, false_positives, detected, CASE WHEN has_target AND detected THEN 'caught' WHEN has_target THEN 'missed'
+  WHEN detected THEN 'false_alarm' ELSE 'quiet' END AS outcome FROM gr""")
+def take_grades(spark: SparkSession, d: str) -> DataFrame:
+    g = ev.take_grades(b.ticks(spark, d), _bands(spark, d), T)
+    return g.withColumn("max_score", F.round("max_score", 6)).withColumn("peak_score", F.round("peak_score", 6))
+
+
+@query("grade_totals", f"""
+WITH {GRADE_SQL}
+SELECT model, COUNT(*) AS graded, CAST(SUM(target_count) AS BIGINT) AS targets, CAST(SUM(true_positives) AS BIGINT) AS true_positives,
+  CAST(SUM(false_negatives) AS BIGINT) AS false_negatives, CAST(SUM(false_positives) AS BIGINT) AS false_positives,
+  COUNT(*) FILTER (detected) AS detections FROM gr GROUP BY model""")
+def grade_totals(spark: SparkSession, d: str) -> DataFrame:
+    return ev.grade_totals(ev.take_grades(b.ticks(spark, d), _bands(spark, d), T))
+
+
+@query("peak_tie_rules", """
+SELECT recording_id, model, round(MAX(score), 6) AS peak, arg_max(t_ms, (score, t_ms, seq)) AS last_at, arg_max(t_ms, (score, -t_ms, -seq)) AS first_at
+FROM v_ticks GROUP BY ALL""")
+def peak_tie_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Both tie rules of a curve's peak: last tick and first tick."""
+    neg = F.struct("score", (-F.col("t_ms")).alias("a"), (-F.col("seq")).alias("c"))
+    return b.ticks(spark, d).groupBy("recording_id", "model").agg(
+        F.round(F.max("score"), 6).alias("peak"), F.max_by("t_ms", F.struct("score", "t_ms", "seq")).alias("last_at"),
+        F.max_by("t_ms", neg).alias("first_at"))
+
+
+EVENT_SQL = """
+hot AS (SELECT *, t_ms - lag(t_ms) OVER (PARTITION BY recording_id, model ORDER BY t_ms, seq) AS gap FROM v_ticks WHERE score >= 0.5),
+grp AS (SELECT *, SUM(CASE WHEN gap <= 150 THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id, model ORDER BY t_ms, seq
+    ROWS UNBOUNDED PRECEDING) AS g FROM hot),
+evt AS (SELECT recording_id, model, GREATEST(MIN(t_ms) - 75.0::DOUBLE, 0) AS start_ms, MAX(t_ms) + 75.0::DOUBLE AS end_ms,
+    arg_max(t_ms, (score, -t_ms, -seq)) AS peak_ms, MAX(score) AS peak, COUNT(*) AS n FROM grp GROUP BY recording_id, model, g)"""
+
+
+@query("fire_events", f"WITH {EVENT_SQL} SELECT recording_id, model, start_ms, end_ms, peak_ms, round(peak, 6) AS peak, n FROM evt")
+def fire_events(spark: SparkSession, d: str) -> DataFrame:
+    return ev.fire_events(b.ticks(spark, d), T, 150).withColumn("peak", F.round("peak", 6))
+
+
+@query("detected_flags", f"""
+WITH {EVENT_SQL}, m AS (SELECT DISTINCT recording_id, model FROM v_ticks)
+SELECT b.recording_id, m.model, b.target_id, EXISTS (SELECT 1 FROM evt e WHERE e.recording_id = b.recording_id AND e.model = m.model
+  AND e.start_ms <= b.hi AND e.end_ms >= b.lo) AS detected FROM v_bands b JOIN m ON m.recording_id = b.recording_id""")
+def detected_flags(spark: SparkSession, d: str) -> DataFrame:
+    t = b.ticks(spark, d)
+    return ev.detected_flags(ev.fire_events(t, T, 150), ev.with_models(_bands(spark, d), t)).select(
+        "recording_id", "model", "target_id", "detected")
+
+
+@query("false_alarm_events", f"""
+WITH {EVENT_SQL}
+SELECT recording_id, model, start_ms, end_ms, round(peak, 6) AS peak FROM evt e WHERE NOT EXISTS (SELECT 1 FROM v_bands b
+  WHERE b.recording_id = e.recording_id AND e.start_ms <= b.hi AND e.end_ms >= b.lo)""")
+def false_alarm_events(spark: SparkSession, d: str) -> DataFrame:
+    events = ev.fire_events(b.ticks(spark, d), T, 150)
+    return ev.stray_events(events, _bands(spark, d)).filter(~F.col("near_target")).select(
+        "recording_id", "model", "start_ms", "end_ms", F.round("peak", 6).alias("peak"))
+
+
+@query("tally", f"""
+WITH {EVENT_SQL}, m AS (SELECT DISTINCT recording_id, model FROM v_ticks),
+f AS (SELECT b.recording_id, m.model, EXISTS (SELECT 1 FROM evt e WHERE e.recording_id = b.recording_id AND e.model = m.model
+  AND e.start_ms <= b.hi AND e.end_ms >= b.lo) AS det FROM v_bands b JOIN m ON m.recording_id = b.recording_id),
+s AS (SELECT e.recording_id, e.model, peak FROM evt e WHERE NOT EXISTS (SELECT 1 FROM v_bands b WHERE b.recording_id = e.recording_id
+  AND e.start_ms <= b.hi AND e.end_ms >= b.lo))
+SELECT recording_id, model, (SELECT COUNT(*) FROM f WHERE f.recording_id = m.recording_id AND f.model = m.model AND det) AS detected,
+  (SELECT COUNT(*) FROM f WHERE f.recording_id = m.recording_id AND f.model = m.model AND NOT det) AS missed,
+  (SELECT COUNT(*) FROM s WHERE s.recording_id = m.recording_id AND s.model = m.model AND peak >= 0.9) AS model_only,
+  (SELECT COUNT(*) FROM s WHERE s.recording_id = m.recording_id AND s.model = m.model AND peak < 0.9) AS false_alarms FROM m""")
+def tally(spark: SparkSession, d: str) -> DataFrame:
+    return ev.tally(b.ticks(spark, d), _bands(spark, d), T, 150)
+
+
+@query("threshold_sweep", f"""
+WITH {PEAK_SQL},
+th AS (SELECT unnest([0.3, 0.5, 0.7, 0.85])::DOUBLE AS threshold),
+fl AS (SELECT t.*, NOT EXISTS (SELECT 1 FROM v_bands b WHERE b.recording_id = t.recording_id AND t.t_ms >= b.lo AND t.t_ms <= b.hi) AS far FROM v_ticks t),
+st AS (SELECT threshold, recording_id, model, far AND score >= threshold AS s, t_ms, seq FROM fl CROSS JOIN th),
+fp AS (SELECT threshold, recording_id, model, COUNT(*) FILTER (s AND NOT COALESCE(p, FALSE)) AS n FROM (
+  SELECT *, lag(s) OVER (PARTITION BY threshold, recording_id, model ORDER BY t_ms, seq) AS p FROM st) GROUP BY ALL)
+SELECT fp.recording_id, fp.model, fp.threshold, COUNT(pk.target_id) AS targets, COUNT(*) FILTER (pk.peak_score >= fp.threshold) AS hits, fp.n AS false_positives
+FROM fp LEFT JOIN pk ON pk.recording_id = fp.recording_id AND pk.model = fp.model GROUP BY fp.recording_id, fp.model, fp.threshold, fp.n""")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return ev.threshold_sweep(b.ticks(spark, d), _bands(spark, d), [0.3, 0.5, 0.7, 0.85])
+
+
+@query("window_sweep", """
+WITH w AS (SELECT unnest([80, 150, 240, 719]) AS window_ms),
+h AS (SELECT t.*, window_ms, t_ms - lag(t_ms) OVER (PARTITION BY window_ms, recording_id, model ORDER BY t_ms, seq) AS gap
+  FROM v_ticks t CROSS JOIN w WHERE score >= 0.5),
+g AS (SELECT *, SUM(CASE WHEN gap <= window_ms THEN 0 ELSE 1 END) OVER (PARTITION BY window_ms, recording_id, model ORDER BY t_ms, seq ROWS UNBOUNDED PRECEDING) AS g FROM h),
+e AS (SELECT recording_id, model, window_ms, MAX(t_ms) - MIN(t_ms) + window_ms AS ms FROM g GROUP BY recording_id, model, window_ms, g)
+SELECT recording_id, model, window_ms, COUNT(*) AS events, CAST(SUM(ms) AS BIGINT) AS fired_ms FROM e GROUP BY recording_id, model, window_ms""")
+def window_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return ev.window_sweep(b.ticks(spark, d), T, [80, 150, 240, 719])
+
+
+ACCOUNT_SQL = """
+m AS (SELECT DISTINCT recording_id, model FROM v_ticks),
+p AS (SELECT g.recording_id, m.model, g.target_id, COALESCE(MAX(t.score), 0.0::DOUBLE) AS peak FROM v_targets g JOIN m ON m.recording_id = g.recording_id
+  LEFT JOIN v_ticks t ON t.recording_id = g.recording_id AND t.model = m.model AND t.t_ms >= g.end_ms - 600 AND t.t_ms <= g.end_ms + 500
+  GROUP BY ALL),
+i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY recording_id, model ORDER BY t_ms, seq)
+    - ROW_NUMBER() OVER (PARTITION BY recording_id, model, score >= 0.5 ORDER BY t_ms, seq) AS g FROM v_ticks),
+r AS (SELECT recording_id, model, arg_max(t_ms, (score, -t_ms, -seq)) AS at FROM i WHERE score >= 0.5 GROUP BY recording_id, model, g),
+ff AS (SELECT recording_id, model, COUNT(*) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM v_targets g WHERE g.recording_id = r.recording_id
+  AND abs(r.at - g.end_ms) < 700) GROUP BY ALL),
+acc AS (SELECT m.recording_id, m.model, COUNT(p.target_id) AS targets, COUNT(*) FILTER (p.peak >= 0.5) AS hits,
+    COALESCE(MAX(ff.n), 0) AS false_fires, COALESCE(SUM(p.peak), 0.0::DOUBLE) AS peak_sum
+  FROM m LEFT JOIN p ON p.recording_id = m.recording_id AND p.model = m.model
+  LEFT JOIN ff ON ff.recording_id = m.recording_id AND ff.model = m.model GROUP BY m.recording_id, m.model)"""
+
+
+@query("account", f"WITH {ACCOUNT_SQL} SELECT recording_id, model, targets, hits, false_fires, round(peak_sum, 6) AS peak_sum FROM acc")
+def account(spark: SparkSession, d: str) -> DataFrame:
+    return ev.account(b.ticks(spark, d), b.targets(spark, d), T).withColumn("peak_sum", F.round("peak_sum", 6))
+
+
+@query("model_comparison", f"""
+WITH {ACCOUNT_SQL}
+SELECT model, COALESCE(recording_id, '(all)') AS recording_id, CAST(SUM(targets) AS BIGINT) AS targets, CAST(SUM(hits) AS BIGINT) AS hits,
+  CAST(SUM(false_fires) AS BIGINT) AS false_fires,
+  round(CASE WHEN SUM(targets) = 0 THEN 0 ELSE SUM(hits) * 100.0::DOUBLE / SUM(targets) END, 6) AS recall_pct,
+  round(CASE WHEN SUM(targets) = 0 THEN 0 ELSE SUM(peak_sum) / SUM(targets) END, 6) AS mean_peak
+FROM acc GROUP BY GROUPING SETS ((model, recording_id), (model))""")
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    out = ev.model_comparison(ev.account(b.ticks(spark, d), b.targets(spark, d), T))
+    return out.withColumn("recall_pct", F.round("recall_pct", 6)).withColumn("mean_peak", F.round("mean_peak", 6))
+
+
+@query("corrections", """
+SELECT doc_id, label, round(score, 6) AS score, mistake_label, CASE mistake_label WHEN 'false_negative' THEN 'positive' ELSE 'negative' END AS category
+FROM (SELECT *, CASE WHEN mistake <> '' THEN mistake WHEN label = 'positive' AND score < 0.5 THEN 'false_negative'
+  WHEN label <> 'positive' AND score >= 0.5 THEN 'false_positive' END AS mistake_label FROM v_truth) WHERE mistake_label IS NOT NULL""")
+def corrections(spark: SparkSession, d: str) -> DataFrame:
+    return ev.corrections(b.truth(spark, d), T).select("doc_id", "label", F.round("score", 6).alias("score"), "mistake_label", "category")
+
+
+@query("batch_gate", """
+WITH c AS (SELECT slice_id, project_slug || (doc_id % 23) AS batch, CASE WHEN k % 4 = 0 THEN NULL ELSE doc_id % 23 > 18 OR (doc_id + k) % 3 = 0 END AS passed FROM v_slices),
+s AS (SELECT batch, COUNT(*) FILTER (NOT passed) AS bad, COUNT(passed) AS checked FROM c GROUP BY batch)
+SELECT slice_id, c.batch FROM c JOIN s ON s.batch = c.batch
+WHERE NOT ((CASE WHEN checked = 0 THEN 0 ELSE bad::DOUBLE / checked END) <= 0.8 AND COALESCE(NOT passed, FALSE))""")
+def batch_gate(spark: SparkSession, d: str) -> DataFrame:
+    s = b.slices(spark, d)
+    x = F.col("doc_id") % 23
+    c = s.select("slice_id", F.concat("project_slug", x.cast("string")).alias("batch"),
+                 F.when(F.col("k") % 4 != 0, (x > 18) | ((F.col("doc_id") + F.col("k")) % 3 == 0)).alias("passed"))
+    return ev.batch_gate(c, "batch").select("slice_id", "batch")
+
+
+@query("hysteresis_detector", """
+WITH s AS (SELECT *, CASE WHEN score >= 0.7 THEN 1 WHEN score < 0.2 THEN 0 END AS st FROM v_ticks),
+v AS (SELECT recording_id, model, t_ms, seq, COALESCE(last_value(st IGNORE NULLS) OVER (PARTITION BY recording_id, model ORDER BY t_ms, seq
+    ROWS UNBOUNDED PRECEDING), 0) AS v FROM s),
+n AS (SELECT *, lag(v) OVER w AS pv FROM v WINDOW w AS (PARTITION BY recording_id, model ORDER BY t_ms, seq)),
+o AS (SELECT * FROM n WHERE v <> COALESCE(pv, 0)),
+l AS (SELECT recording_id, model, MAX(t_ms) AS last FROM v_ticks GROUP BY ALL),
+e AS (SELECT recording_id, model, v, t_ms AS start, lead(t_ms) OVER (PARTITION BY recording_id, model ORDER BY t_ms, seq) AS nx FROM o)
+SELECT e.recording_id, e.model, start, COALESCE(nx, last) AS "end" FROM e JOIN l ON l.recording_id = e.recording_id AND l.model = e.model WHERE v = 1""")
+def hysteresis_detector(spark: SparkSession, d: str) -> DataFrame:
+    """Detections that open at 0.7 and close below 0.2."""
+    return hysteresis(b.ticks(spark, d), ev.KEYS, "t_ms", "seq", "score", 0.7, 0.2, ev.BLOCK)
