@@ -22,3 +22,12 @@ def uniform(key: Column, seed: int, purpose: str, low: float = 0.0, high: float
 def pick(key: Column, seed: int, purpose: str, n: Column) -> Column:
     """A whole number in [0, n)."""
     return F.pmod(draw(key, seed, purpose), n)
+
+
+# Purposes of the arithmetic draw below.
+PURPOSES = {"word": 1, "speed": 2, "lead": 3, "carrier": 4}
+
+
+def arithmetic_uniform(key: Column, purpose: str) -> Column:
+    """A plain whole-number draw that any SQL engine can repeat exactly."""
+    return F.pmod(key * 7919 + PURPOSES[purpose] * 104729, F.lit(1_000_003)) / F.lit(1_000_003.0)

@@ -1 +1,165 @@
+"""Lexicon, near-miss and synthesis-plan queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..functions.draws import arithmetic_uniform
+from ..operators import lexicon as lx
+from . import bindings as b
+from .registry import query
+
+SIZE = lx.PHONE_WORDS
+
+
+def vocab(spark: SparkSession, d: str, size: int = SIZE) -> DataFrame:
+    return lx.frequency_lexicon(b.tokens(spark, d), text.norm_edge(F.col("word")), size)
+
+
+VOCAB_SQL = f"""
+vn AS (SELECT translate(regexp_replace(word, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM v_tokens),
+vc AS (SELECT word, COUNT(*) AS n FROM vn WHERE regexp_full_match(word, '[a-z]{{2,12}}') GROUP BY word),
+lex AS MATERIALIZED (SELECT * FROM (SELECT word, n, ROW_NUMBER() OVER (ORDER BY n DESC, word) AS rank FROM vc) WHERE rank <= {SIZE})"""
+
+
+@query("lexicon", f"WITH {VOCAB_SQL} SELECT word, n, rank FROM lex")
+def lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return vocab(spark, d)
+
+
+@query("content_words", f"""
+WITH {VOCAB_SQL}
+SELECT word, rank FROM lex WHERE length(word) BETWEEN 4 AND 10 AND NOT ends_with(word, 'ed') AND NOT ends_with(word, 'ing')
+  AND word NOT IN ({", ".join(f"'{w}'" for w in lx.STOP_WORDS)}) ORDER BY rank LIMIT {lx.CONTENT_WORDS}""")
+def content_words(spark: SparkSession, d: str) -> DataFrame:
+    return lx.content_words(vocab(spark, d)).select("word", "rank")
+
+
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The first three normal words of each benchmark item as phrases."""
+    return b.table(spark, d, "benchmark").select(
+        F.col("item_id").alias("phrase_id"), F.slice(text.normalized_words(F.col("text")), 1, 3).alias("words"))
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    """Near words by letters: each letter stands for a phone."""
+    words = phrases(spark, d).select(F.explode("words").alias("word"), F.array_distinct("words").alias("exclude")).distinct()
+    lex = vocab(spark, d).withColumn("code", F.col("word"))
+    targets = words.join(lex.select("word", "code"), "word")
+    return lx.near_words(targets, lex)
+
+
+_PHRASE_SQL = """
+ph AS (SELECT item_id AS phrase_id, list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\r\\f]+'),
+    lambda x: translate(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
+    lambda x: x <> '')[1:3] AS words FROM benchmark)"""
+
+NEAR_SQL = f"""
+{VOCAB_SQL}, {_PHRASE_SQL},
+tg AS (SELECT DISTINCT phrase_id, words, w AS word FROM (SELECT phrase_id, words, unnest(words) AS w FROM ph) WHERE w IN (SELECT word FROM lex)),
+dw AS MATERIALIZED (SELECT DISTINCT word FROM tg),
+ds AS MATERIALIZED (SELECT dw.word, l.word AS near, l.rank AS near_rank, levenshtein(dw.word, l.word) AS distance
+  FROM dw JOIN lex l ON length(l.word) > 2 AND length(l.word) BETWEEN GREATEST(length(dw.word) - 2, 1) AND length(dw.word) + 2
+  WHERE levenshtein(dw.word, l.word) BETWEEN 1 AND 4),
+dr AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY word ORDER BY distance, near_rank, near) AS r FROM ds) WHERE r <= 24),
+nr AS (SELECT phrase_id, words, word, near, near_rank, distance, ROW_NUMBER() OVER (PARTITION BY phrase_id, word ORDER BY distance, near_rank, near) AS position
+  FROM tg JOIN dr USING (word) WHERE NOT list_contains(words, near)),
+nw AS (SELECT * FROM nr WHERE position <= 16)"""
+
+
+@query("near_words", f"""
+WITH {NEAR_SQL}
+SELECT DISTINCT word, array_to_string(list_sort(list_distinct(words)), ' ') AS exclude, near, near_rank, CAST(distance AS INTEGER) AS distance, CAST(position AS INTEGER) AS position FROM nw""")
+def near_words(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).select("word", F.array_join(F.array_sort("exclude"), " ").alias("exclude"), "near", "near_rank", "distance", "position").distinct()
+
+
+@query("near_miss_phrases", f"""
+WITH {NEAR_SQL},
+ea AS (SELECT phrase_id, words, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS wi FROM ph),
+rp AS (SELECT e.phrase_id, e.words, e.wi, n.position AS np, array_to_string(list_transform(e.words, lambda w, i: CASE WHEN i - 1 = e.wi THEN n.near ELSE w END), ' ') AS variant
+  FROM ea e JOIN nw n ON n.phrase_id = e.phrase_id AND n.word = e.word WHERE n.position <= 4),
+fi AS (SELECT phrase_id, variant, MIN((wi, np)) AS o FROM rp WHERE variant <> array_to_string(words, ' ') GROUP BY ALL)
+SELECT * FROM (SELECT phrase_id, variant, CAST(ROW_NUMBER() OVER (PARTITION BY phrase_id ORDER BY o, variant) AS INTEGER) AS position FROM fi) WHERE position <= 10""")
+def near_miss_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return lx.near_miss_phrases(phrases(spark, d), _near(spark, d))
+
+
+def short_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """One to three words of every conversation turn; every fifth one doubled."""
+    w = text.normalized_words(F.col("text"))
+    c = b.table(spark, d, "conversations").select("conv_id", "turn", w.alias("w"))
+    n = (F.col("conv_id") + F.col("turn")) % 3 + 1
+    first = F.get("w", F.lit(0))
+    words = F.when((F.col("conv_id") % 5 == 0) & first.isNotNull(), F.array(first, first)).otherwise(F.slice("w", F.lit(1), n.cast("int")))
+    return c.select("conv_id", "turn", words.alias("words"))
+
+
+_SHORT_SQL = """
+sw AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\r\\f]+'),
+    lambda x: translate(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda x: x <> '') AS w FROM conversations),
+sp AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND len(w) > 0 THEN [w[1], w[1]] ELSE w[1:(conv_id + turn) % 3 + 1] END AS p FROM sw)"""
+
+
+def _alike(x: str) -> str:
+    return (f"CASE WHEN ends_with({x}, 'ing') AND length({x}) > 5 THEN [{x}[1:length({x}) - 3], {x} || ' now'] WHEN ends_with({x}, 'er') AND length({x}) > 4 "
+            f"THEN [{x}[1:length({x}) - 2], {x} || ' now'] WHEN length({x}) <= 3 THEN [{x} || ' now', 'not ' || {x}] ELSE [{x} || ' now', 'not ' || {x}, {x} || ' please'] END")
+
+
+@query("sound_alikes", f"""
+WITH {_SHORT_SQL}, w AS (SELECT DISTINCT unnest(p) AS word FROM sp)
+SELECT word, array_to_string({_alike("word")}, '|') AS alikes FROM w""")
+def sound_alikes(spark: SparkSession, d: str) -> DataFrame:
+    w = short_phrases(spark, d).select(F.explode("words").alias("word")).distinct()
+    return w.select("word", F.array_join(lx.sound_alikes(F.col("word")), "|").alias("alikes"))
+
+
+@query("hard_negative_candidates", f"""
+WITH {_SHORT_SQL},
+v AS (SELECT conv_id, turn, p, CASE WHEN len(p) = 1 THEN list_concat({_alike("p[1]")}, [p[1] || ' now', p[1], p[1]])
+    ELSE list_concat(list_concat(list_concat([array_to_string(list_transform(p, lambda x: ({_alike("x")})[1]), ' ')],
+      flatten(list_transform(p, lambda x, i: list_transform(({_alike("x")})[1:2], lambda r: array_to_string(list_transform(p, lambda y, j: CASE WHEN j = i THEN r ELSE y END), ' '))))),
+      [p[1], p[-1]]), list_concat(CASE WHEN len(p) = 2 AND p[1] = p[2] THEN [p[1] || ' ' || ({_alike("p[1]")})[1], ({_alike("p[1]")})[1] || ' ' || p[1], p[1] || ' ' || p[1] || ' ' || p[1]] ELSE [] END,
+      [array_to_string(p[2:], ' '), array_to_string(p[1:len(p) - 1], ' ')])) END AS c FROM sp WHERE len(p) > 0),
+u AS (SELECT conv_id, turn, p, unnest(c) AS x, generate_subscripts(c, 1) AS o FROM v),
+k AS (SELECT conv_id, turn, x, MIN(o) AS o FROM u WHERE x <> '' AND NOT contains(' ' || x || ' ', ' ' || array_to_string(p, ' ') || ' ') GROUP BY ALL)
+SELECT conv_id, turn, string_agg(x, '|' ORDER BY o) AS candidates FROM k GROUP BY conv_id, turn""")
+def hard_negative_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Rule-based candidates of every phrase (without the phonetic part)."""
+    p = short_phrases(spark, d).filter(F.size("words") > 0)
+    c = p.select("conv_id", "turn", lx.candidates(F.col("words"), F.lit(None).cast("array<string>")).alias("c")).filter(F.size("c") > 0)
+    return c.select("conv_id", "turn", F.array_join("c", "|").alias("candidates"))
+
+
+def _project_keys(spark: SparkSession, d: str) -> DataFrame:
+    """One synthetic project per item, keyed by a whole number."""
+    return phrases(spark, d).select(F.col("phrase_id").alias("slug"), F.col("phrase_id").alias("key"), "words", F.array_join("words", " ").alias("phrase"))
+
+
+def _u(key: str, purpose: int) -> str:
+    return f"((({key}) * 7919 + {purpose} * 104729) % 1000003 / 1000003.0::DOUBLE)"
+
+
+@query("weighted_words", f"""
+WITH {VOCAB_SQL}, {_PHRASE_SQL},
+dr AS (SELECT phrase_id AS slug, words, CAST(i AS INTEGER) AS i, CAST(LEAST(floor(2000 * {_u("phrase_id * 1000003 + i", 1)} * {_u("phrase_id * 1000003 + i", 1)}), 1999) AS BIGINT) + 1 AS rank
+  FROM (SELECT *, unnest(range(0, 300)) AS i FROM ph)),
+nm AS (SELECT d.slug, d.i, l.word FROM dr d JOIN lex l ON l.rank = d.rank WHERE length(l.word) >= 2 AND NOT list_contains(words, l.word)),
+lg AS (SELECT *, i - lag(i) OVER (PARTITION BY slug, word ORDER BY i) AS gap FROM nm)
+SELECT slug, i, word FROM lg WHERE gap IS NULL OR gap > 48""")
+def weighted_words(spark: SparkSession, d: str) -> DataFrame:
+    return lx.weighted_words(_project_keys(spark, d), vocab(spark, d, 2000), 300, 2000, arithmetic_uniform)
+
+
+@query("synth_plan", f"""
+WITH {_PHRASE_SQL},
+p AS (SELECT phrase_id AS slug, array_to_string(words, ' ') AS phrase, CAST(i AS INTEGER) AS i, phrase_id * 1000003 + i AS k FROM (SELECT *, unnest(range(0, 50)) AS i FROM ph)),
+q AS (SELECT *, (['ada', 'ben', 'cleo'])[i % 3 + 1] AS voice, 0.9::DOUBLE + {_u("k", 2)} * (1.1::DOUBLE - 0.9::DOUBLE) AS speed,
+  CASE WHEN {_u("k", 3)} < 0.5 THEN (['please say', 'now'])[CAST(floor({_u("k", 4)} * 2) AS INT) + 1] ELSE '' END AS lead FROM p),
+r AS (SELECT *, CASE WHEN lead = '' THEN phrase ELSE lead || ' ' || phrase END AS text FROM q)
+SELECT slug, i, voice, round(speed, 6) AS speed, lead, text, round(GREATEST(len(list_filter(string_split(text, ' '), lambda x: x <> '')), 1) * 0.4::DOUBLE / speed + 0.3::DOUBLE, 6) AS seconds FROM r""")
+def synth_plan(spark: SparkSession, d: str) -> DataFrame:
+    plan = lx.synthesis_plan(_project_keys(spark, d), 50, ["ada", "ben", "cleo"], ["please say", "now"], arithmetic_uniform)
+    return plan.select("slug", "i", "voice", F.round("speed", 6).alias("speed"), "lead", "text", F.round("seconds", 6).alias("seconds"))

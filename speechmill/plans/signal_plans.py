@@ -313,3 +313,12 @@ def reference_interleave(spark: SparkSession, d: str) -> DataFrame:
     first = rk.take_until(refs, "slug", "doc_id", "secs", 5, 600.0).select("slug", "doc_id", "slot")
     second = rk.take_until(refs, "slug", "doc_id", "secs", 11, 300.0).select("slug", "doc_id", "slot")
     return rk.interleave(first, second, "slug").select("slug", "doc_id", "position")
+
+
+@query("udtf_energy_bursts", f"WITH {_BURST_SQL} SELECT take_id, start_ms, end_ms FROM bursts")
+def udtf_energy_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """The burst table function over all clips, from SQL."""
+    from ..udtf import register
+
+    register(spark)
+    return spark.sql("SELECT take_id, start_ms, end_ms FROM {clips}, LATERAL energy_bursts(samples, 100)", clips=b.clips(spark, d))

@@ -291,3 +291,40 @@ def alignment_view(spark: SparkSession, d: str) -> DataFrame:
         KEY, "kind", F.size("words").cast("bigint").alias("words"),
         F.sha2(F.array_join(F.transform("words", lambda w: w["word"]), " "), 256).alias("word_text"),
         F.coalesce(F.array_join(F.transform("cuts", lambda c: c["slice_id"]), " "), F.lit("")).alias("cuts"))
+
+
+@query("udtf_phrase_hits", "SELECT recording_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM v_hits")
+def udtf_phrase_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The phrase table function over whole texts, from SQL."""
+    from ..udtf import register
+
+    register(spark)
+    docs = b.table(spark, d, "documents").select(
+        b.recording_id_of(F.col("doc_id")).alias(KEY), F.transform(text.tokens(F.col("text")), text.norm_edge).alias("words"),
+        text.normalized_words(b.phrase_of(F.col("lang"))).alias("phrase"))
+    return spark.sql("SELECT recording_id, first, last FROM {docs}, LATERAL phrase_hits(words, phrase)", docs=docs)
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """Recogniser JSON of every take, built from its segmented words."""
+    w = segmented(spark, d)
+    item = F.struct("ordinal", "word", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), F.col("prob").alias("probability"))
+    segs = w.groupBy("doc_id", "seg").agg(F.first("seg_start_ms").alias("s"), F.first("seg_end_ms").alias("e"), F.array_sort(F.collect_list(item)).alias("words"))
+    seg = F.struct("seg", (F.col("s") / 1000.0).alias("start"), (F.col("e") / 1000.0).alias("end"), "words")
+    return segs.groupBy("doc_id").agg(F.array_sort(F.collect_list(seg)).alias("segments")).select(
+        "doc_id", F.to_json(F.struct(F.lit("").alias("text"), "segments")).alias("response"))
+
+
+@query("transcript_words", """
+WITH seg AS (SELECT doc_id, ordinal // 20 AS seg, MIN(start_ms) AS ss FROM v_words GROUP BY ALL)
+SELECT w.doc_id, COUNT(*) AS words, sha256(string_agg(word, ' ' ORDER BY ordinal)) AS digest,
+  CAST(SUM(start_ms - CASE WHEN (w.doc_id + seg) % 3 = 0 AND ss <= 500 THEN ss ELSE 0 END) AS BIGINT) AS start_sum
+FROM v_words w JOIN seg s ON s.doc_id = w.doc_id AND s.seg = w.ordinal // 20 GROUP BY w.doc_id""")
+def transcript_words(spark: SparkSession, d: str) -> DataFrame:
+    """Responses parsed and flattened again; relative segments get their offset back."""
+    from ..sources import transcripts as tr
+
+    rows = tr.transcript_words(tr.parse_transcripts(responses(spark, d)), ["doc_id"])
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("words"), F.array_sort(F.collect_list(F.struct("ordinal", "word"))).alias("w"), F.sum("start_ms").alias("start_sum")
+    ).select("doc_id", "words", F.sha2(F.array_join("w.word", " "), 256).alias("digest"), "start_sum")
