@@ -77,7 +77,7 @@ def _chain(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     One small struct per block and key meets here, not the items.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("_blk", "entry", "leave")))
+    ordered = F.sort_array(F.collect_list(F.struct("_blk", "entry", "leave")))
     start = F.struct(F.lit(-(2 ** 62)).cast("bigint").alias("x"),
                      F.array().cast("array<struct<_blk:bigint,enter:bigint>>").alias("out"))
 
@@ -108,7 +108,7 @@ def greedy_select(df: DataFrame, keys: Sequence[str], pos: str, nxt: str, reach:
     keys = list(keys)
     items = df.select(*keys, F.col(pos).cast("bigint").alias("_pos"), F.col(nxt).cast("bigint").alias("_nxt"))
     grouped = items.groupBy(*keys, F.floor(F.col("_pos") / block).cast("bigint").alias("_blk")).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_nxt"))).alias("_i"))
+        F.sort_array(F.collect_list(F.struct("_pos", "_nxt"))).alias("_i"))
     limit = F.col("_blk") * block + reach
     entries = F.size(F.filter("_i", lambda x: x["_pos"] < limit)) + 1
     paths = grouped.select(*keys, "_blk", _span_paths(
@@ -116,8 +116,18 @@ def greedy_select(df: DataFrame, keys: Sequence[str], pos: str, nxt: str, reach:
     return _finish(paths, keys)
 
 
-def _next_breaks(ordinal: np.ndarray, start: np.ndarray, end: np.ndarray, core: int, limit: int) -> np.ndarray:
-    """For each core word the ordinal after the longest chunk that starts there."""
+def _free(start: np.ndarray, end: np.ndarray, span_start: np.ndarray, span_end: np.ndarray) -> np.ndarray:
+    """Mask of the words that overlap no span."""
+    if len(span_start) == 0:
+        return np.ones(len(start), dtype=bool)
+    order = np.argsort(span_start, kind="stable")
+    furthest = np.maximum.accumulate(span_end[order])
+    before = np.searchsorted(span_start[order], end, side="left")
+    return (before == 0) | (furthest[np.maximum(before - 1, 0)] <= start)
+
+
+def _chunk_ends(ordinal: np.ndarray, start: np.ndarray, end: np.ndarray, core: int, limit: int) -> np.ndarray:
+    """For each of the first ``core`` words the ordinal after the longest chunk that starts there."""
     n = len(ordinal)
     gap_at = np.append(np.flatnonzero(np.diff(ordinal) != 1) + 1, n)
     run_end = gap_at[np.searchsorted(gap_at, np.arange(core), side="right")]
@@ -134,33 +144,62 @@ def _next_breaks(ordinal: np.ndarray, start: np.ndarray, end: np.ndarray, core:
 
 
 @F.pandas_udf(_PATHS)
-def _chunk_paths(ordinal: pd.Series, start: pd.Series, end: pd.Series, core: pd.Series, entries: pd.Series,
-                 limit: pd.Series) -> pd.DataFrame:
+def _chunk_paths(ordinal: pd.Series, start: pd.Series, end: pd.Series, core: pd.Series, near: pd.Series, limit: pd.Series,
+                 span_start: pd.Series, span_end: pd.Series) -> pd.DataFrame:
     rows = []
-    for o, s, e, c, k, m in zip(ordinal, start, end, core, entries, limit):
-        o, s, e, c = np.asarray(o), np.asarray(s), np.asarray(e), int(c)
-        rows.append(_paths(o[:c], _next_breaks(o, s, e, c, int(m)), int(k)))
+    none = np.empty(0, dtype=np.int64)
+    for o, s, e, c, x, m, a, z in zip(ordinal, start, end, core, near, limit, span_start, span_end):
+        o, s, e = np.asarray(o), np.asarray(s), np.asarray(e)
+        keep = _free(s, e, none if a is None else np.asarray(a), none if z is None else np.asarray(z))
+        c = int(np.count_nonzero(keep[:int(c)]))
+        o, s, e = o[keep], s[keep], e[keep]
+        entries = int(np.count_nonzero(s[:c] <= x)) + 1
+        rows.append(_paths(o[:c], _chunk_ends(o, s, e, c, int(m)), entries))
     return pd.DataFrame(rows, columns=["pos", "nxt", "entry", "leave"])
 
 
-def greedy_chunks(words: DataFrame, keys: Sequence[str], limit_ms: int, block_ms: int = 300_000) -> DataFrame:
-    """Greedy word chunks of at most ``limit_ms``: keys, ``first``, ``last``.
+@F.pandas_udf(_PICKED)
+def _select_at(ordinal: pd.Series, pos: pd.Series, nxt: pd.Series, start: pd.Series) -> pd.DataFrame:
+    """Index of each selected chunk in the block's words, and its word count."""
+    rows = []
+    for o, p, n, s in zip(ordinal, pos, nxt, start):
+        p, n = np.asarray(p), np.asarray(n)
+        keep = _walk(p, n, int(s))
+        rows.append((np.searchsorted(np.asarray(o), p[keep], side="left"), n[keep] - p[keep]))
+    return pd.DataFrame(rows, columns=["pos", "nxt"])
+
+
+def greedy_chunks(words: DataFrame, spans: DataFrame, keys: Sequence[str], carry: Sequence[str], group: Sequence[str],
+                  limit_ms: int, block_ms: int = 300_000) -> DataFrame:
+    """Greedy chunks of at most ``limit_ms`` of the words that overlap no span.
 
-    ``words`` holds the free words only (no single word over the limit, starts
-    in ordinal order); a missing ordinal is a break. Words that start within
-    the limit after a block are copied to it, so a chunk can cross the edge.
+    ``words``: keys, ordinal, start_ms, end_ms, the ``carry`` columns of each
+    word and the ``group`` columns, constant per key. ``spans``: keys,
+    span_start, span_end. Returns keys, group and ``chunk``, the array of the
+    chunk's words. A word longer than the limit or under a span ends a chunk and
+    belongs to none.
+
+    Words are gathered into time blocks once (a block is bounded, however long
+    the take); words that start within the limit after a block are copied to
+    it, so a chunk can cross the edge.
     """
-    keys = list(keys)
+    keys, group = list(keys), list(group)
     own = F.floor(F.col("start_ms") / block_ms).cast("bigint")
     copies = F.array_compact(F.array(own, F.when(F.col("start_ms") - own * block_ms <= limit_ms, own - 1)))
-    spread = words.select(*keys, "ordinal", "start_ms", "end_ms", own.alias("_own"), F.explode(copies).alias("_blk"))
-    grouped = spread.groupBy(*keys, "_blk").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "start_ms", "end_ms"))).alias("_i"),
-        F.count_if(F.col("_own") == F.col("_blk")).alias("_core"),
-    ).filter("_core > 0")
-    near = F.col("_blk") * block_ms + limit_ms
-    entries = F.size(F.filter("_i", lambda x: x["start_ms"] <= near)) + 1
-    paths = grouped.select(*keys, "_blk", _chunk_paths(
-        F.col("_i.ordinal"), F.col("_i.start_ms"), F.col("_i.end_ms"), "_core", entries, F.lit(limit_ms)
-    ).alias("_p")).select(*keys, "_blk", "_p.*")
-    return _finish(paths, keys).select(*keys, F.col("pos").alias("first"), (F.col("nxt") - 1).alias("last"))
+    item = F.struct("ordinal", "start_ms", "end_ms", *carry)
+    spread = words.filter(F.col("end_ms") - F.col("start_ms") <= limit_ms).select(
+        *keys, *group, item.alias("_w"), own.alias("_own"), F.explode(copies).alias("_blk"))
+    grouped = spread.groupBy(*keys, *group, "_blk").agg(
+        F.sort_array(F.collect_list("_w")).alias("_i"), F.count_if(F.col("_own") == F.col("_blk")).alias("_core")).filter("_core > 0")
+    reach = F.sequence(F.floor((F.col("span_start") - 2 * limit_ms) / block_ms).cast("bigint"), F.floor(F.col("span_end") / block_ms).cast("bigint"))
+    taken = spans.select(*keys, "span_start", "span_end", F.explode(reach).alias("_blk")).groupBy(*keys, "_blk").agg(
+        F.collect_list(F.struct("span_start", "span_end")).alias("_s"))
+    paths = grouped.join(taken, [*keys, "_blk"], "left").withColumn("_p", _chunk_paths(
+        F.col("_i.ordinal"), F.col("_i.start_ms"), F.col("_i.end_ms"), "_core", F.col("_blk") * block_ms + limit_ms, F.lit(limit_ms),
+        F.col("_s.span_start"), F.col("_s.span_end")))
+    enter = _chain(paths.select(*keys, "_blk", "_p.entry", "_p.leave"), keys)
+    picked = paths.select(*keys, *group, "_blk", "_i", "_p").join(enter, [*keys, "_blk"]).select(
+        *keys, *group, "_i", _select_at(F.col("_i.ordinal"), F.col("_p.pos"), F.col("_p.nxt"), F.col("enter")).alias("_sel"))
+    cuts = F.transform(F.arrays_zip("_sel.pos", "_sel.nxt"), lambda z: F.struct(
+        F.slice("_i", z["pos"].cast("int") + 1, z["nxt"].cast("int")).alias("chunk")))
+    return picked.select(*keys, *group, F.inline(cuts))

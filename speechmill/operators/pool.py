@@ -94,7 +94,8 @@ def pool_counts(clips: DataFrame, cfg: PoolSettings, synthetic: DataFrame | None
     """
     per = clips.groupBy(F.col("project_slug").alias("target")).agg(*[
         F.count_if(F.col("category") == c).alias(f"_{c}") for c in ("positive", "negative", "hard_negative", "background")])
-    totals = {c: per.agg(F.coalesce(F.sum(f"_{c}"), F.lit(0))).scalar() for c in ("positive", "negative", "background")}
+    lent = ("positive", "negative", "background")
+    totals = per.agg(F.struct(*[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(c) for c in lent])).scalar()
     zero = F.lit(0).cast("bigint")
     out = per.select(
         "target", (F.col("_positive") * cfg.positive_boost).alias("own_positive"), F.col("_positive").alias("positive_unique"),

@@ -41,10 +41,26 @@ def _lexical(takes: DataFrame) -> DataFrame:
     return takes.filter(F.col("strategy") == "lexical").select("recording_id", "kind", "source_end", "take_ms", "recorded_at")
 
 
+def hits_and_cues(words: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Phrase hits and near-miss cues from one pass over the words.
+
+    Cues count in every project, so they join the project's own token list; the
+    two results share the vote aggregate below them.
+    """
+    own = ww.phrase_tokens(projects.select(F.col("slug").alias("project_slug"), "phrase"),
+                           text.normalized_words(F.col("phrase")), ["project_slug"]).withColumn("cue_id", F.lit(-1))
+    cues = projects.select(F.col("slug").alias("project_slug"), F.explode(
+        F.array(*[F.struct(F.lit(i).alias("cue_id"), F.array(*[F.lit(w) for w in c]).alias("_t")) for i, c in enumerate(ww.CUES)])).alias("_c"))
+    cue_tokens = ww.phrase_tokens(cues.select("project_slug", "_c.*"), F.col("_t"), ["project_slug", "cue_id"])
+    tokens = own.unionByName(cue_tokens)
+    found = ww.phrase_ranges(words, tokens, text.norm_edge(F.col("word")), ["recording_id"], ["cue_id"], ["project_slug"])
+    hits = found.filter("cue_id = -1").drop("cue_id")
+    return hits, found.filter("cue_id >= 0").select("recording_id", F.col("first").alias("cue_first"), F.col("last").alias("cue_last"))
+
+
 def _phrase_cuts(words: DataFrame, enriched: DataFrame, takes: DataFrame, projects: DataFrame) -> DataFrame:
-    hits = phrase_hits(words, projects).join(_lexical(takes), "recording_id")
-    hits = hits.filter(rules.expects_positive(F.col("kind")))
-    cues = ww.cue_hits(words, text.norm_edge(F.col("word")), ["recording_id"])
+    hits, cues = hits_and_cues(words, projects)
+    hits = hits.join(_lexical(takes).filter(rules.expects_positive(F.col("kind"))), "recording_id")
     roles = ww.split_hits(ww.near_miss(hits, cues, ["recording_id"]), F.col("kind"))
     return ww.phrase_geometry(roles, enriched, "recording_id")
 
@@ -73,9 +89,9 @@ def lexical_slices(words: DataFrame, takes: DataFrame, projects: DataFrame) -> D
     cuts = _phrase_cuts(words, w, takes, projects)
     phrase_rows = _plain(cuts.withColumn("label", F.col("role")).withColumn("category", F.col("role")))
     pool = w.join(_lexical(takes).filter(rules.runs_negative_pass(F.col("kind"))), "recording_id")
-    free = ww.free_words(pool, cuts.select("recording_id", "cut_start_ms", "cut_end_ms"), "recording_id")
-    chunks = ww.negative_chunks(free, "recording_id")
-    negatives = ww.chunk_geometry(chunks, pool, "recording_id", ["project_slug", "kind", "take_ms", "recorded_at"])
+    chunks = ww.negative_chunks(pool, cuts, "recording_id", ["word", "prev_end", "next_start", "prob"],
+                                ["project_slug", "kind", "source_end", "take_ms", "recorded_at"])
+    negatives = ww.chunk_geometry(chunks)
     label = rules.negative_pass_label(F.col("kind"))
     return phrase_rows.unionByName(_plain(negatives.withColumn("label", label).withColumn("category", label)))
 
@@ -144,7 +160,7 @@ def alignment_view(takes: DataFrame, words: DataFrame, slices: DataFrame) -> Dat
     Rows per take, by the nature of the view; words and cuts are collected side
     by side so that no take is joined word by cut.
     """
-    w = words.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "word", "start_ms", "end_ms"))).alias("words"))
+    w = words.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "word", "start_ms", "end_ms"))).alias("words"))
     c = slices.filter("status = 'active'").groupBy("recording_id").agg(
-        F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "slice_id", "category"))).alias("cuts"))
+        F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "slice_id", "category"))).alias("cuts"))
     return takes.join(w, "recording_id", "left").join(c, "recording_id", "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -93,12 +93,15 @@ def word_timings(words: DataFrame, key: str) -> DataFrame:
     )
 
 
-def cue_hits(words: DataFrame, norm: Column, keys: Sequence[str]) -> DataFrame:
+def cue_tokens(spark: SparkSession, cues: Sequence[Sequence[str]] = CUES) -> DataFrame:
+    """The near-miss cues as phrase tokens, with a ``cue_id``."""
+    rows = spark.createDataFrame([(i, list(c)) for i, c in enumerate(cues)], "cue_id int, _t array<string>")
+    return phrase_tokens(rows, F.col("_t"), ["cue_id"])
+
+
+def cue_hits(words: DataFrame, norm: Column, keys: Sequence[str], cues: Sequence[Sequence[str]] = CUES) -> DataFrame:
     """Occurrences of the near-miss cues."""
-    spark = words.sparkSession
-    cues = spark.createDataFrame([(i, c) for i, c in enumerate(CUES)], "cue_id int, _t array<string>")
-    toks = phrase_tokens(cues, F.col("_t"), ["cue_id"])
-    return phrase_ranges(words, toks, norm, keys, ["cue_id"]).select(
+    return phrase_ranges(words, cue_tokens(words.sparkSession, cues), norm, keys, ["cue_id"]).select(
         *keys, F.col("first").alias("cue_first"), F.col("last").alias("cue_last"))
 
 
@@ -182,7 +185,7 @@ def phrase_geometry(hits: DataFrame, words: DataFrame, key: str) -> DataFrame:
     item = F.struct("ordinal", "word", F.col("w_start").alias("start_ms"), F.col("w_end").alias("end_ms"), "prev_end", "prob")
     pairs = band_join(h, near, [key], ("_lo", "_to"), ("w_start", "w_start"), 2000).filter(
         (F.col("ordinal") <= F.col("last")) & ((F.col("w_start") >= F.col("_from")) | (F.col("ordinal") >= F.col("first"))))
-    rows = pairs.groupBy(*hits.columns, "_from").agg(F.array_sort(F.collect_list(item)).alias("_w"))
+    rows = pairs.groupBy(*hits.columns, "_from").agg(F.sort_array(F.collect_list(item)).alias("_w"))
     before = F.reverse(F.filter("_w", lambda w: w["ordinal"] < F.col("first")))
     # Contiguous lead-in: the i-th word back must be exactly first - 1 - i.
     lead_n = F.size(F.filter(before, lambda w, i: w["ordinal"] == F.col("first") - 1 - i))
@@ -198,52 +201,28 @@ def phrase_geometry(hits: DataFrame, words: DataFrame, key: str) -> DataFrame:
         "_w", "_ctx", "_s", "_e", "_from")
 
 
-def free_words(words: DataFrame, occupied: DataFrame, key: str) -> DataFrame:
-    """Words that overlap no occupied span and fit into a negative chunk.
+def negative_chunks(words: DataFrame, occupied: DataFrame, key: str, carry: Sequence[str] = (), group: Sequence[str] = ()) -> DataFrame:
+    """Greedy chunks of at most 1.5 s of the words outside the occupied cuts.
 
-    Words over the chunk limit are dropped first: they are skipped whether or
-    not they are occupied. The rest last at most the limit, so a word's block
-    and the block before it hold every span it can meet, and one anti join with
-    the spans spread forward decides it.
+    ``occupied`` holds cut_start_ms and cut_end_ms. Each row has the chunk's
+    words as an array (ordinal, start_ms, end_ms and ``carry``).
     """
-    width = NEGATIVE_CHUNK_MS
-    w = words.filter(F.col("end_ms") - F.col("start_ms") <= width).withColumn(
-        "_bk", F.floor(F.col("start_ms") / width).cast("bigint"))
-    spans = occupied.select(F.col(key).alias("_k"), F.col("cut_start_ms").alias("_os"), F.col("cut_end_ms").alias("_oe"))
-    o = spans.select("*", F.explode(F.sequence(
-        F.floor((F.col("_os") - width) / width).cast("bigint"), F.floor(F.col("_oe") / width).cast("bigint"))).alias("_ob"))
-    hit = (F.col(key) == o["_k"]) & (F.col("_bk") == o["_ob"]) & (F.col("start_ms") < o["_oe"]) & (F.col("end_ms") > o["_os"])
-    return w.join(o, hit, "left_anti").drop("_bk")
-
-
-def negative_chunks(free: DataFrame, key: str) -> DataFrame:
-    """Greedy chunks of at most 1.5 s of free words: key, ``first``, ``last``."""
-    return greedy_chunks(free, [key], NEGATIVE_CHUNK_MS)
+    spans = occupied.select(key, F.col("cut_start_ms").alias("span_start"), F.col("cut_end_ms").alias("span_end"))
+    return greedy_chunks(words, spans, [key], carry, group, NEGATIVE_CHUNK_MS)
 
 
-def chunk_geometry(chunks: DataFrame, words: DataFrame, key: str, group: Sequence[str] = ()) -> DataFrame:
+def chunk_geometry(chunks: DataFrame) -> DataFrame:
     """Padded and clamped bounds of negative chunks with their visible words.
 
-    Each word belongs to one chunk at most, so (key, first) groups hold 1.5 s
-    of words. ``words`` carries prev_end, next_start and source_end.
+    ``chunk`` carries prev_end and next_start, the row source_end; all in the row.
     """
-    c = chunks.select(F.col(key).alias("_k"), "first", "last")
-    blocks = c.select("*", F.explode(F.sequence(F.floor(F.col("first") / 64).cast("bigint"),
-                                                F.floor(F.col("last") / 64).cast("bigint"))).alias("_cb"))
-    w = words.withColumn("_wb", F.floor(F.col("ordinal") / 64).cast("bigint"))
-    pairs = w.join(blocks, (F.col(key) == F.col("_k")) & (F.col("_wb") == F.col("_cb"))
-                   & (F.col("ordinal") >= F.col("first")) & (F.col("ordinal") <= F.col("last")))
-    item = F.struct("ordinal", "word", "start_ms", "end_ms", "prev_end", "next_start", "prob")
-    rows = pairs.groupBy(key, *group, "source_end", "first", "last").agg(
-        F.array_sort(F.collect_list(item)).alias("_w"))
-    head, tail = F.get("_w", F.lit(0)), F.element_at("_w", -1)
+    head, tail = F.get("chunk", F.lit(0)), F.element_at("chunk", -1)
     start, end = padded_bounds(head["start_ms"], tail["end_ms"], head["prev_end"], tail["next_start"],
                                F.col("source_end"), LEAD_MS, NEGATIVE_TAIL_MS, True)
-    rows = rows.withColumn("_s", start).withColumn("_e", end)
+    rows = chunks.withColumn("_s", start).withColumn("_e", end)
     cut_start, cut_end = clamp_span(F.col("_s"), F.col("_e"), False)
     rows = rows.withColumn("cut_start_ms", cut_start).withColumn("cut_end_ms", cut_end)
-    return rows.withColumn("visible", visible_words(F.col("_w"), F.col("cut_start_ms"), F.col("cut_end_ms"))).drop(
-        "_w", "_s", "_e")
+    return rows.withColumn("visible", visible_words(F.col("chunk"), F.col("cut_start_ms"), F.col("cut_end_ms"))).drop("chunk", "_s", "_e")
 
 
 def background_windows(takes: DataFrame) -> DataFrame:

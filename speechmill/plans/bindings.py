@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores where its files give fewer tasks than cores.
+
+    A large table has more splits than cores and is left as it is; the small
+    single-file tables here would otherwise keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def phrase_of(slug: Column) -> Column:
     return rules._lookup(PHRASE_BY_PROJECT, slug)
 
@@ -48,27 +58,32 @@ def _gap_ms(word: Column) -> Column:
     return F.when(F.endswith(word, F.lit(".")), 400).otherwise(40).cast("bigint")
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per whitespace token, without timings (no shuffle)."""
-    docs = table(spark, sf_dir, "documents")
+def tokens(spark: SparkSession, sf_dir: str, by_take: bool = False) -> DataFrame:
+    """One row per whitespace token, without timings.
+
+    No shuffle, or with ``by_take`` one of the whole texts: moving a text and
+    splitting it afterwards is several times smaller than moving its words, and
+    windows over the take then need no further exchange.
+    """
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", recording_id_of(F.col("doc_id")).alias("recording_id"), F.col("lang").alias("project_slug"), "text")
+    docs = docs.repartition("recording_id") if by_take else spread(docs)
     return docs.select(
-        "doc_id", F.col("lang").alias("project_slug"),
-        F.posexplode(text.tokens(F.col("text"))).alias("ordinal", "word"),
+        "doc_id", "recording_id", "project_slug", F.posexplode(text.tokens(F.col("text"))).alias("ordinal", "word"),
     ).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word timings. One shuffle on the take, whose words come from one row."""
-    w = W.partitionBy("doc_id").orderBy("ordinal")
-    toks = tokens(spark, sf_dir)
+    """Word timings; one shuffle, of the texts. A take's words come from one row."""
+    w = W.partitionBy("recording_id").orderBy("ordinal")
+    toks = tokens(spark, sf_dir, by_take=True)
     ms = _word_ms(F.col("word"), F.col("doc_id"), F.col("ordinal"))
     step = ms + _gap_ms(F.col("word"))
     start = F.coalesce(F.sum(step).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return (
         toks.withColumn("start_ms", start)
         .select(
-            "doc_id", recording_id_of(F.col("doc_id")).alias("recording_id"), "project_slug", "ordinal", "word",
-            "start_ms", (F.col("start_ms") + ms).alias("end_ms"),
+            "doc_id", "recording_id", "project_slug", "ordinal", "word", "start_ms", (F.col("start_ms") + ms).alias("end_ms"),
             (((F.col("doc_id") * 31 + F.col("ordinal") * 17) % 100) / 100.0).cast("double").alias("prob"),
         )
     )
@@ -76,7 +91,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; the duration is summed inside the row."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     d = F.col("doc_id")
     toks = text.tokens(F.col("text"))
     spans = F.transform(toks, lambda w, i: _word_ms(w, d, i.cast("bigint")) + _gap_ms(w))
@@ -185,7 +200,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     loud = F.when(F.col("vec_id") % 3 == 0, 30000.0).otherwise(300.0)
     return (
         v.groupBy("label", F.expr("vec_id div 400").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct(
+        .agg(F.sort_array(F.collect_list(F.struct(
             "vec_id", F.transform("embedding", lambda e: F.round(e.cast("double") * loud).cast("int")).alias("s")
         ))).alias("v"))
         .select(

@@ -73,7 +73,7 @@ nw AS (SELECT * FROM nr WHERE position <= 16)"""
 WITH {NEAR_SQL}
 SELECT DISTINCT word, array_to_string(list_sort(list_distinct(words)), ' ') AS exclude, near, near_rank, CAST(distance AS INTEGER) AS distance, CAST(position AS INTEGER) AS position FROM nw""")
 def near_words(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).select("word", F.array_join(F.array_sort("exclude"), " ").alias("exclude"), "near", "near_rank", "distance", "position").distinct()
+    return _near(spark, d).select("word", F.array_join(F.sort_array("exclude"), " ").alias("exclude"), "near", "near_rank", "distance", "position").distinct()
 
 
 @query("near_miss_phrases", f"""

@@ -222,7 +222,7 @@ def take_table(spark: SparkSession, d: str) -> DataFrame:
 
     def part(prefix: str) -> F.Column:
         mine = F.startswith("recording_id", F.lit(prefix))
-        return F.array_sort(F.collect_list(F.when(mine, item)))
+        return F.sort_array(F.collect_list(F.when(mine, item)))
 
     packed = b.takes(spark, d).groupBy("project_slug", F.expr("doc_id div 50")).agg(
         part("bulk_").alias("bulk_recordings"), part("background_").alias("background_recordings"), part("test_").alias("test_recordings"))

@@ -109,10 +109,7 @@ DATA_CUES = [["of", "the"], ["and", "the"], ["la", "de"], ["die", "der"]]
 
 
 def _data_cues(spark: SparkSession, d: str) -> DataFrame:
-    cues = spark.createDataFrame([(i, c) for i, c in enumerate(DATA_CUES)], "cue_id int, _t array<string>")
-    toks = ww.phrase_tokens(cues, F.col("_t"), ["cue_id"])
-    return ww.phrase_ranges(b.words(spark, d), toks, text.norm_edge(F.col("word")), [KEY], ["cue_id"]).select(
-        KEY, F.col("first").alias("cue_first"), F.col("last").alias("cue_last"))
+    return ww.cue_hits(b.words(spark, d), text.norm_edge(F.col("word")), [KEY], DATA_CUES)
 
 
 _CUE_SQL = """
@@ -235,8 +232,9 @@ free AS (SELECT w.* FROM v_words w WHERE w.end_ms - w.start_ms <= 1500 AND NOT E
 SELECT w.recording_id, c.ordinal AS first, c.last FROM chunk c JOIN v_words w ON w.doc_id = c.doc_id AND w.ordinal = c.ordinal""")
 def negative_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every take between its phrase cuts."""
-    free = ww.free_words(b.words(spark, d), _geometry(spark, d).select(KEY, "cut_start_ms", "cut_end_ms"), KEY)
-    return ww.negative_chunks(free, KEY)
+    words = b.words(spark, d).select(KEY, "ordinal", "start_ms", "end_ms")
+    chunks = ww.negative_chunks(words, _geometry(spark, d).select(KEY, "cut_start_ms", "cut_end_ms"), KEY)
+    return chunks.select(KEY, F.get("chunk", F.lit(0))["ordinal"].alias("first"), F.element_at("chunk", -1)["ordinal"].alias("last"))
 
 
 @query("background_windows", """
@@ -309,9 +307,9 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     """Recogniser JSON of every take, built from its segmented words."""
     w = segmented(spark, d)
     item = F.struct("ordinal", "word", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), F.col("prob").alias("probability"))
-    segs = w.groupBy("doc_id", "seg").agg(F.first("seg_start_ms").alias("s"), F.first("seg_end_ms").alias("e"), F.array_sort(F.collect_list(item)).alias("words"))
+    segs = w.groupBy("doc_id", "seg").agg(F.first("seg_start_ms").alias("s"), F.first("seg_end_ms").alias("e"), F.sort_array(F.collect_list(item)).alias("words"))
     seg = F.struct("seg", (F.col("s") / 1000.0).alias("start"), (F.col("e") / 1000.0).alias("end"), "words")
-    return segs.groupBy("doc_id").agg(F.array_sort(F.collect_list(seg)).alias("segments")).select(
+    return segs.groupBy("doc_id").agg(F.sort_array(F.collect_list(seg)).alias("segments")).select(
         "doc_id", F.to_json(F.struct(F.lit("").alias("text"), "segments")).alias("response"))
 
 
@@ -326,5 +324,5 @@ def transcript_words(spark: SparkSession, d: str) -> DataFrame:
 
     rows = tr.transcript_words(tr.parse_transcripts(responses(spark, d)), ["doc_id"])
     return rows.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("words"), F.array_sort(F.collect_list(F.struct("ordinal", "word"))).alias("w"), F.sum("start_ms").alias("start_sum")
+        F.count(F.lit(1)).alias("words"), F.sort_array(F.collect_list(F.struct("ordinal", "word"))).alias("w"), F.sum("start_ms").alias("start_sum")
     ).select("doc_id", "words", F.sha2(F.array_join("w.word", " "), 256).alias("digest"), "start_sum")

@@ -23,6 +23,6 @@ def curves_to_ticks(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ticks_to_curves(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ticks of one take, model and mode back to the stored array form."""
-    points = F.array_sort(F.collect_list(F.struct("t_ms", "score")))
+    points = F.sort_array(F.collect_list(F.struct("t_ms", "score")))
     grouped = ticks.groupBy(*keys).agg(points.alias("_p"))
     return grouped.select(*keys, F.col("_p.t_ms").alias("times_ms"), F.col("_p.score").alias("scores"))

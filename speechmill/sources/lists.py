@@ -25,7 +25,7 @@ def read_ranked_words(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "value"))
     kept = keep_lines(lines).select(F.lower("value").alias("word"), "pos")
     # Ranks count kept lines only; the list is bounded, so one array holds it.
-    ordered = kept.agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    ordered = kept.agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
     return ordered.select(F.posexplode("w").alias("rank", "w")).select(F.col("w.word").alias("word"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -46,11 +46,11 @@ def nested_report(projects: DataFrame, categories: DataFrame, labels: DataFrame,
     Inputs are aggregated already, so the maps hold a few entries each.
     """
     def as_map(counts: DataFrame, key: str, name: str) -> DataFrame:
-        return counts.groupBy(F.col("project_slug").alias("slug")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+        return counts.groupBy(F.col("project_slug").alias("slug")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))
 
     out = projects.join(as_map(categories, "category", "categories"), "slug", "left").join(as_map(labels, "label", "labels"), "slug", "left")
     if provenance is not None:
         dims = provenance.groupBy(F.col("project_slug").alias("slug"), "dimension").agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("m"))
-        out = out.join(dims.groupBy("slug").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "m")))).alias("provenance")), "slug", "left")
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "n")))).alias("m"))
+        out = out.join(dims.groupBy("slug").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", "m")))).alias("provenance")), "slug", "left")
     return out
