@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import inline_rows
+
 # Types are built as objects, not DDL text: parsing text needs a session, and
 # Python workers that import this module have none.
 _LONGS = T.ArrayType(T.LongType())
@@ -88,7 +90,7 @@ def _chain(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
             acc["out"], F.struct(b["_blk"].alias("_blk"), acc["x"].alias("enter"))).alias("out"))
 
     chained = blocks.groupBy(*keys).agg(ordered.alias("_b"))
-    return chained.select(*keys, F.inline(F.aggregate("_b", start, step)["out"]))
+    return inline_rows(chained, keys, F.aggregate("_b", start, step)["out"])
 
 
 def _finish(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -96,7 +98,7 @@ def _finish(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     enter = _chain(blocks.select(*keys, "_blk", "entry", "leave"), keys)
     picked = blocks.select(*keys, "_blk", "pos", "nxt").join(enter, [*keys, "_blk"]).select(
         *keys, _select("pos", "nxt", "enter").alias("_sel"))
-    return picked.select(*keys, F.inline(F.arrays_zip("_sel.pos", "_sel.nxt"))).toDF(*keys, "pos", "nxt")
+    return inline_rows(picked, keys, F.arrays_zip(F.col("_sel.pos").alias("pos"), F.col("_sel.nxt").alias("nxt")))
 
 
 def greedy_select(df: DataFrame, keys: Sequence[str], pos: str, nxt: str, reach: int, block: int) -> DataFrame:
@@ -202,4 +204,4 @@ def greedy_chunks(words: DataFrame, spans: DataFrame, keys: Sequence[str], carry
         *keys, *group, "_i", _select_at(F.col("_i.ordinal"), F.col("_p.pos"), F.col("_p.nxt"), F.col("enter")).alias("_sel"))
     cuts = F.transform(F.arrays_zip("_sel.pos", "_sel.nxt"), lambda z: F.struct(
         F.slice("_i", z["pos"].cast("int") + 1, z["nxt"].cast("int")).alias("chunk")))
-    return picked.select(*keys, *group, F.inline(cuts))
+    return inline_rows(picked, [*keys, *group], cuts)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import rules, text
+from ..functions.rows import explode_rows
 
 # Fixed value: the target phrase of each project.
 PHRASE_BY_PROJECT = {"en": "the the", "es": "de de", "de": "der der", "fr": "de de"}
@@ -68,9 +69,8 @@ def tokens(spark: SparkSession, sf_dir: str, by_take: bool = False) -> DataFrame
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", recording_id_of(F.col("doc_id")).alias("recording_id"), F.col("lang").alias("project_slug"), "text")
     docs = docs.repartition("recording_id") if by_take else spread(docs)
-    return docs.select(
-        "doc_id", "recording_id", "project_slug", F.posexplode(text.tokens(F.col("text"))).alias("ordinal", "word"),
-    ).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    keep = ["doc_id", "recording_id", "project_slug"]
+    return explode_rows(docs, keep, text.tokens(F.col("text")), "ordinal", "word").withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import signal as sg
+from ..functions.rows import explode_rows, inline_rows
 from ..operators import augment as au
 from ..operators import ranking as rk
 from ..operators import scoring as sc
@@ -78,7 +79,7 @@ bursts AS (SELECT take_id, GREATEST(s - 100, 0) AS start_ms, LEAST(t + 180, tota
 
 @query("rms_envelope", f"WITH {_ENVELOPE_SQL} SELECT take_id, CAST(f AS INTEGER) AS frame, round(e, 6) AS rms FROM env")
 def rms_envelope(spark: SparkSession, d: str) -> DataFrame:
-    return b.clips(spark, d).select("take_id", F.posexplode(sg.rms_envelope(F.col(S), F.lit(FRAME))).alias("frame", "e")).select(
+    return explode_rows(b.clips(spark, d), ["take_id"], sg.rms_envelope(F.col(S), F.lit(FRAME)), "frame", "e").select(
         "take_id", "frame", F.round("e", 6).alias("rms"))
 
 
@@ -94,15 +95,14 @@ def bursts(clips: DataFrame, rate: Column) -> DataFrame:
     env = clips.withColumn("_env", sg.rms_envelope(F.col(S), frame)).withColumn("_lev", sg.open_close(F.col("_env")))
     runs = sg.hysteresis_runs(F.col("_env"), F.col("_lev.open"), F.col("_lev.close"))
     spans = sg.merge_and_pad(runs, frame * 1000.0 / rate, sg.total_ms(F.col(S), rate))
-    return env.filter("_lev IS NOT NULL").select("take_id", F.inline(spans).alias("start_ms", "end_ms"))
+    return inline_rows(env, ["take_id"], spans).toDF("take_id", "start_ms", "end_ms")
 
 
 @query("hysteresis_runs", f"WITH {_BURST_SQL} SELECT take_id, CAST(a AS BIGINT) AS first_frame, CAST(z AS BIGINT) AS end_frame FROM ru")
 def hysteresis_runs(spark: SparkSession, d: str) -> DataFrame:
     env = b.clips(spark, d).withColumn("_env", sg.rms_envelope(F.col(S), F.lit(FRAME))).withColumn("_lev", sg.open_close(F.col("_env")))
-    return env.filter("_lev IS NOT NULL").select("take_id", F.inline(
-        sg.hysteresis_runs(F.col("_env"), F.col("_lev.open"), F.col("_lev.close"))).alias("a", "z")).select(
-        "take_id", F.col("a").cast("bigint").alias("first_frame"), F.col("z").cast("bigint").alias("end_frame"))
+    runs = inline_rows(env, ["take_id"], sg.hysteresis_runs(F.col("_env"), F.col("_lev.open"), F.col("_lev.close")))
+    return runs.select("take_id", F.col("start").cast("bigint").alias("first_frame"), F.col("end").cast("bigint").alias("end_frame"))
 
 
 @query("energy_bursts", f"WITH {_BURST_SQL} SELECT take_id, start_ms, end_ms FROM bursts")

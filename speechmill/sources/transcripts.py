@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.rows import explode_rows
 
 # Fixed value: lag in seconds past which word times count as segment-relative.
 SEGMENT_LAG = 0.5
@@ -31,7 +32,7 @@ def flatten_words(segments: Column) -> Column:
 
 def transcript_words(responses: DataFrame, keys: list[str]) -> DataFrame:
     """Word rows of parsed responses; times as rounded milliseconds, words trimmed."""
-    rows = responses.select(*keys, F.posexplode(flatten_words(F.col("segments"))).alias("ordinal", "_w"))
+    rows = explode_rows(responses, keys, flatten_words(F.col("segments")), "ordinal", "_w")
     return rows.select(
         *keys, F.col("ordinal").cast("bigint").alias("ordinal"), F.trim("_w.word").alias("word"),
         F.round(F.col("_w.start") * 1000).cast("bigint").alias("start_ms"), F.round(F.col("_w.end") * 1000).cast("bigint").alias("end_ms"),
