@@ -133,7 +133,8 @@ def last_percent(line: Column) -> Column:
         lambda d: (F.length(F.ltrim(d, F.lit("0"))) <= 5)
         & (F.concat(F.lit("0"), F.right(d, F.lit(6))).cast("bigint") <= 65535),
     )
-    return F.least(F.get(found, F.size(found) - 1).cast("bigint"), F.lit(100).cast("bigint"))
+    last = F.get(found, F.size(found) - 1).cast("bigint")
+    return F.when(last > 100, F.lit(100).cast("bigint")).otherwise(last)
 
 
 def line_step(line: Column) -> Column:

@@ -62,7 +62,7 @@ def runs(df: DataFrame, keys: Sequence[str], pos: str, seq: str, block: int, val
         "_group", F.sum("_fresh").over(w2.rowsBetween(W.unboundedPreceding, 0)))
     merged = local.groupBy(*keys, "_part", "_group").agg(
         F.first("_v").alias("value"), F.min("_start").alias("start"), F.max("_end").alias("end"),
-        F.sum("_n").alias("n"), F.max(F.coalesce("_next", "_after")).alias("next_start"),
+        F.sum("_n").alias("n"), F.max_by(F.coalesce("_next", "_after"), F.struct("_blk", "_run")).alias("next_start"),
         *([F.max("_peak").alias("_peak")] if score else []),
     )
     out = [*keys, "start", "end", "n", "value", "next_start"]

@@ -85,15 +85,22 @@ def training_pool(clips: DataFrame, targets: Sequence[str], cfg: PoolSettings, s
     return out.withColumn("category", category)
 
 
-def pool_counts(clips: DataFrame, cfg: PoolSettings, synthetic: DataFrame | None = None) -> DataFrame:
+def pool_counts(clips: DataFrame, cfg: PoolSettings, synthetic: DataFrame | None = None,
+                projects: DataFrame | None = None) -> DataFrame:
     """Pool size of every project at once, by branch, without building any pool.
 
+    ``projects(slug)`` adds projects that have no clips of their own yet; they
+    still borrow.
+
     A pool holds nearly all clips, so all pools together would be projects x
     clips rows. Their sizes follow from one count per project and category and
     the grand totals: own, and total minus own for what is borrowed.
     """
     per = clips.groupBy(F.col("project_slug").alias("target")).agg(*[
         F.count_if(F.col("category") == c).alias(f"_{c}") for c in ("positive", "negative", "hard_negative", "background")])
+    if projects is not None:
+        named = projects.select(F.col("slug").alias("target")).distinct()
+        per = named.join(per, "target", "full").na.fill(0)
     lent = ("positive", "negative", "background")
     totals = per.agg(F.struct(*[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(c) for c in lent])).scalar()
     zero = F.lit(0).cast("bigint")

@@ -254,7 +254,7 @@ px AS (SELECT doc_id, pos, line,
     list_filter(regexp_extract_all(line, '([0-9]+)%', 1), lambda x: length(ltrim(x, '0')) <= 5 AND CAST('0' || right(x, 6) AS BIGINT) <= 65535) AS pcs,
     CASE WHEN instr(line, '%|') = 0 THEN '' ELSE trim(regexp_replace(rtrim(regexp_replace(rtrim(substr(line, 1, CAST(instr(line, '%|') - 1 AS BIGINT))), '[0-9]+$', '')), ':[^:]*$', '')) END AS label
   FROM lg),
-pr AS (SELECT doc_id, pos, step, CAST(LEAST(CAST(pcs[-1] AS BIGINT), 100) AS BIGINT) AS pct, label FROM px)"""
+pr AS (SELECT doc_id, pos, step, CASE WHEN len(pcs) > 0 THEN CAST(LEAST(CAST(pcs[-1] AS BIGINT), 100) AS BIGINT) END AS pct, label FROM px)"""
 
 
 @query("log_lines", f"WITH {LOG_SQL} SELECT doc_id, pos, step, pct, label FROM pr WHERE step IS NOT NULL OR pct IS NOT NULL")

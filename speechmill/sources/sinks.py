@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,7 @@ def append_metadata(records: DataFrame, path: str, keys: list[str]) -> None:
     spark = records.sparkSession
     try:
         stored = spark.read.schema(records.schema).json(path)
-        stored.limit(0).collect()  # resolves the path
-    except Exception:  # first write: nothing is stored
+    except AnalysisException:  # first write: the path does not exist
         stored = records.limit(0)
     new_rows(stored, records, keys).write.mode("append").json(path)
 
@@ -52,5 +52,5 @@ def nested_report(projects: DataFrame, categories: DataFrame, labels: DataFrame,
     if provenance is not None:
         dims = provenance.groupBy(F.col("project_slug").alias("slug"), "dimension").agg(
             F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "n")))).alias("m"))
-        out = out.join(dims.groupBy("slug").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", "m")))).alias("provenance")), "slug", "left")
+        out = out.join(dims.groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "m"))).alias("provenance")), "slug", "left")
     return out
