@@ -257,3 +257,13 @@ def batch_gate(clips: DataFrame, batch: str) -> DataFrame:
         F.try_divide(F.count_if(~F.col("passed")), F.count("passed")).alias("_fail"))
     trusted = F.coalesce(F.col("_fail"), F.lit(0.0)) <= GATE_MAX_REJECT
     return clips.join(share, batch).filter(~(trusted & F.coalesce(~F.col("passed"), F.lit(False)))).drop("_fail")
+
+
+def locate_targets(occurrences: DataFrame, ticks: DataFrame, threshold: float) -> DataFrame:
+    """Phrase occurrences of the transcripts with their peak in each model's curve.
+
+    ``occurrences`` are the non-overlapping phrase hits (recording_id, first,
+    start_ms, end_ms); the first word's ordinal identifies a target in its take.
+    """
+    targets = occurrences.select(REC, F.col("first").alias("target_id"), "start_ms", "end_ms")
+    return target_peaks(ticks, target_bands(targets), threshold)

@@ -41,28 +41,23 @@ def _lexical(takes: DataFrame) -> DataFrame:
     return takes.filter(F.col("strategy") == "lexical").select("recording_id", "kind", "source_end", "take_ms", "recorded_at")
 
 
-def hits_and_cues(words: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Phrase hits and near-miss cues from one pass over the words.
+def hits_and_cues(words: DataFrame, projects: DataFrame) -> DataFrame:
+    """Phrase hits (``cue_id`` -1) and near-miss cues from one pass over the words.
 
-    Cues count in every project, so they join the project's own token list; the
-    two results share the vote aggregate below them.
+    Cues count in every project, so they join the project's own token list.
     """
     own = ww.phrase_tokens(projects.select(F.col("slug").alias("project_slug"), "phrase"),
                            text.normalized_words(F.col("phrase")), ["project_slug"]).withColumn("cue_id", F.lit(-1))
     cues = projects.select(F.col("slug").alias("project_slug"), F.explode(
         F.array(*[F.struct(F.lit(i).alias("cue_id"), F.array(*[F.lit(w) for w in c]).alias("_t")) for i, c in enumerate(ww.CUES)])).alias("_c"))
     cue_tokens = ww.phrase_tokens(cues.select("project_slug", "_c.*"), F.col("_t"), ["project_slug", "cue_id"])
-    tokens = own.unionByName(cue_tokens)
-    found = ww.phrase_ranges(words, tokens, text.norm_edge(F.col("word")), ["recording_id"], ["cue_id"], ["project_slug"])
-    hits = found.filter("cue_id = -1").drop("cue_id")
-    return hits, found.filter("cue_id >= 0").select("recording_id", F.col("first").alias("cue_first"), F.col("last").alias("cue_last"))
+    return ww.phrase_ranges(words, own.unionByName(cue_tokens), text.norm_edge(F.col("word")), ["recording_id"], ["cue_id"], ["project_slug"])
 
 
 def _phrase_cuts(words: DataFrame, enriched: DataFrame, takes: DataFrame, projects: DataFrame) -> DataFrame:
-    hits, cues = hits_and_cues(words, projects)
+    hits = ww.mark_near_miss(hits_and_cues(words, projects), ["recording_id"])
     hits = hits.join(_lexical(takes).filter(rules.expects_positive(F.col("kind"))), "recording_id")
-    roles = ww.split_hits(ww.near_miss(hits, cues, ["recording_id"]), F.col("kind"))
-    return ww.phrase_geometry(roles, enriched, "recording_id")
+    return ww.phrase_geometry(ww.split_hits(hits, F.col("kind")), enriched, "recording_id")
 
 
 def _plain(rows: DataFrame) -> DataFrame:
@@ -154,13 +149,18 @@ def verified(slices: DataFrame, verdicts: DataFrame) -> DataFrame:
     return judged.filter((F.col("category") != "positive") | F.coalesce(F.col("heard"), F.lit(True))).drop("heard")
 
 
-def alignment_view(takes: DataFrame, words: DataFrame, slices: DataFrame) -> DataFrame:
-    """Per take: script lines, ordered words and ordered active cuts, as arrays.
+def alignment_view(takes: DataFrame, words: DataFrame, slices: DataFrame, page_ms: int = 60_000) -> DataFrame:
+    """Script lines, ordered words and ordered active cuts of each take, in pages.
 
-    Rows per take, by the nature of the view; words and cuts are collected side
-    by side so that no take is joined word by cut.
+    A page is one minute of the take, so its arrays stay small however long the
+    take is. Words and cuts are one union, gathered once; nothing is paired.
     """
-    w = words.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "word", "start_ms", "end_ms"))).alias("words"))
-    c = slices.filter("status = 'active'").groupBy("recording_id").agg(
-        F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "slice_id", "category"))).alias("cuts"))
-    return takes.join(w, "recording_id", "left").join(c, "recording_id", "left")
+    page = F.floor(F.col("start_ms") / page_ms).cast("bigint").alias("page")
+    word = F.struct("ordinal", "word", "start_ms", "end_ms").alias("_w")
+    cut = F.struct("start_ms", "end_ms", "slice_id", "category").alias("_c")
+    items = words.select("recording_id", page, word).unionByName(
+        slices.filter("status = 'active'").select("recording_id", page, cut), allowMissingColumns=True)
+    pages = items.groupBy("recording_id", "page").agg(
+        F.sort_array(F.collect_list("_w")).alias("words"), F.sort_array(F.collect_list("_c")).alias("cuts"))
+    none = [F.coalesce(c, F.array()).alias(c) for c in ("words", "cuts")]
+    return takes.join(pages, "recording_id", "left").select(*takes.columns, "page", *none)

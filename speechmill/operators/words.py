@@ -95,8 +95,8 @@ def word_timings(words: DataFrame, key: str) -> DataFrame:
 
 def cue_tokens(spark: SparkSession, cues: Sequence[Sequence[str]] = CUES) -> DataFrame:
     """The near-miss cues as phrase tokens, with a ``cue_id``."""
-    rows = spark.createDataFrame([(i, list(c)) for i, c in enumerate(cues)], "cue_id int, _t array<string>")
-    return phrase_tokens(rows, F.col("_t"), ["cue_id"])
+    rows = F.array(*[F.struct(F.lit(i).alias("cue_id"), F.array(*[F.lit(w) for w in c]).alias("_t")) for i, c in enumerate(cues)])
+    return phrase_tokens(spark.range(1).select(F.inline(rows)), F.col("_t"), ["cue_id"])
 
 
 def cue_hits(words: DataFrame, norm: Column, keys: Sequence[str], cues: Sequence[Sequence[str]] = CUES) -> DataFrame:
@@ -105,19 +105,27 @@ def cue_hits(words: DataFrame, norm: Column, keys: Sequence[str], cues: Sequence
         *keys, F.col("first").alias("cue_first"), F.col("last").alias("cue_last"))
 
 
-def near_miss(hits: DataFrame, cues: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mark hits with a whole cue from 8 words before to 5 words after (``near_miss``).
+def mark_near_miss(found: DataFrame, keys: Sequence[str], max_words: int = 64) -> DataFrame:
+    """Hits with ``near_miss``: a whole cue lies from 8 words before to 5 after.
 
-    The frame of a hit reaches past both takes' ends harmlessly: no cue lies
-    there. Cues are rare, so the band join stays small.
+    ``found`` holds hits (``cue_id`` -1) and cues in one table (first, last), so
+    both come from one pass over the words. Positions are cut into blocks with
+    a halo as wide as the frame; only hits and cues are moved.
     """
     keys = list(keys)
-    framed = hits.select("*", (F.col("first") - CUE_BEFORE).alias("_flo"), (F.col("last") + CUE_AFTER).alias("_fhi"))
-    met = band_join(framed.select(*keys, "first", "_flo", "_fhi"), cues, keys, ("_flo", "_fhi"),
-                    ("cue_first", "cue_last"), 64)
-    inside = met.filter("cue_first >= _flo AND cue_last <= _fhi").select(*keys, "first").distinct()
-    return hits.join(inside.withColumn("near_miss", F.lit(True)), [*keys, "first"], "left").withColumn(
-        "near_miss", F.coalesce("near_miss", F.lit(False)))
+    reach = CUE_AFTER + max_words
+    w = W.partitionBy(*keys, "_blk").orderBy("first").rangeBetween(-CUE_BEFORE, reach)
+    cue = F.when(F.col("cue_id") >= 0, F.struct("first", "last"))
+    framed = halo(found, "first", WORD_BLOCK, CUE_BEFORE, reach).withColumn("_cues", F.collect_list(cue).over(w))
+    inside = F.exists("_cues", lambda c: (c["first"] >= F.col("first") - CUE_BEFORE) & (c["last"] <= F.col("last") + CUE_AFTER))
+    return framed.filter("_core AND cue_id < 0").withColumn("near_miss", inside).drop("_cues", "_core", "_blk", "cue_id")
+
+
+def near_miss(hits: DataFrame, cues: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`mark_near_miss` for hits and cues found apart."""
+    marked = hits.withColumn("cue_id", F.lit(-1)).unionByName(
+        cues.select(*keys, F.col("cue_first").alias("first"), F.col("cue_last").alias("last"), F.lit(0).alias("cue_id")), allowMissingColumns=True)
+    return mark_near_miss(marked, keys)
 
 
 def split_hits(hits: DataFrame, kind: Column) -> DataFrame:

@@ -113,6 +113,15 @@ def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def phrase_table(spark: SparkSession) -> DataFrame:
+    """The target phrase of each project: a fixed table of four rows.
+
+    Literal rows carry exact statistics, so Spark broadcasts joins with them.
+    """
+    rows = F.array(*[F.struct(F.lit(slug).alias("slug"), F.lit(phrase).alias("phrase")) for slug, phrase in PHRASE_BY_PROJECT.items()])
+    return spark.range(1).select(F.inline(rows))
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct languages as projects; one language has no stored phrase row."""
     docs = table(spark, sf_dir, "documents")

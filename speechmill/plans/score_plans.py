@@ -234,3 +234,25 @@ SELECT e.recording_id, e.model, start, COALESCE(nx, last) AS "end" FROM e JOIN l
 def hysteresis_detector(spark: SparkSession, d: str) -> DataFrame:
     """Detections that open at 0.7 and close below 0.2."""
     return hysteresis(b.ticks(spark, d), ev.KEYS, "t_ms", "seq", "score", 0.7, 0.2, ev.BLOCK)
+
+
+def word_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """A curve for every take: one tick at each word's end, scored by its probability."""
+    return b.words(spark, d).select("recording_id", F.lit("m").alias("model"), F.col("end_ms").alias("t_ms"), F.col("ordinal").alias("seq"), F.col("prob").alias("score"))
+
+
+@query("locate_targets", r"""
+WITH n AS (SELECT *, lower(regexp_replace(word, '[^\p{L}\p{N}]', '', 'g')) AS tok FROM v_words),
+h AS (SELECT a.doc_id, a.recording_id, a.ordinal AS first, b.end_ms, a.ordinal - ROW_NUMBER() OVER (PARTITION BY a.doc_id ORDER BY a.ordinal) AS grp
+  FROM n a JOIN n b ON b.doc_id = a.doc_id AND b.ordinal = a.ordinal + 1 JOIN v_projects p ON p.slug = a.project_slug WHERE a.tok || ' ' || b.tok = p.phrase),
+o AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, grp ORDER BY first) AS rn FROM h) WHERE rn % 2 = 1),
+g AS (SELECT *, GREATEST(end_ms - 1200, COALESCE((lag(end_ms) OVER w + end_ms) / 2.0::DOUBLE, end_ms - 1200), 0)::DOUBLE AS lo,
+    LEAST(end_ms + 1200, COALESCE((end_ms + lead(end_ms) OVER w) / 2.0::DOUBLE, end_ms + 1200))::DOUBLE AS hi FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY end_ms, first))
+SELECT g.recording_id, g.first AS target_id, round(MAX(t.prob), 6) AS peak_score, arg_max(t.end_ms, (t.prob, t.end_ms, t.ordinal))::DOUBLE AS peak_ms, MAX(t.prob) >= 0.5 AS detected
+FROM g JOIN v_words t ON t.doc_id = g.doc_id AND t.end_ms >= g.lo AND t.end_ms <= g.hi GROUP BY g.recording_id, g.first""")
+def locate_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Phrase occurrences of all transcripts against a curve over the same takes."""
+    from .word_plans import _occurrences
+
+    out = ev.locate_targets(_occurrences(spark, d), word_ticks(spark, d), T)
+    return out.select("recording_id", "target_id", F.round("peak_score", 6).alias("peak_score"), "peak_ms", "detected")

@@ -104,7 +104,7 @@ FROM ({_SPOKEN_ROWS}) GROUP BY project_slug""")
 def positive_slices(spark: SparkSession, d: str) -> DataFrame:
     """Phrase slices per project, without the negative pass."""
     takes = routed(spark, d).withColumn("strategy", F.when(rules.expects_positive(F.col("kind")), F.col("strategy")))
-    rows = sl.finish(sl.phrase_slices(b.words(spark, d), takes, b.projects(spark, d)), b.projects(spark, d))
+    rows = sl.finish(sl.phrase_slices(b.words(spark, d), takes, b.phrase_table(spark)), b.phrase_table(spark))
     return rows.filter("category = 'positive'").groupBy("project_slug").agg(
         F.count(F.lit(1)).alias("slices"), F.sum("word_count").alias("words"),
         F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"))
@@ -122,7 +122,7 @@ FROM (SELECT doc_id, 'background' AS label, g AS cut_start_ms, LEAST(g + 2000, d
   FROM (SELECT doc_id, duration_ms, unnest(range(0, duration_ms, 2000)) AS g FROM r WHERE strategy = 'background' AND duration_ms > 0)
   WHERE LEAST(g + 2000, duration_ms) - g >= 1000) s JOIN v_takes t ON t.doc_id = s.doc_id""")
 def slice_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = sl.slice_table(b.words(spark, d), routed(spark, d), b.projects(spark, d))
+    rows = sl.slice_table(b.words(spark, d), routed(spark, d), b.phrase_table(spark))
     return rows.withColumn("avg_probability", F.round("avg_probability", 6))
 
 

@@ -15,7 +15,7 @@ KEY = "recording_id"
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return sl.phrase_hits(b.words(spark, d), b.projects(spark, d))
+    return sl.phrase_hits(b.words(spark, d), b.phrase_table(spark))
 
 
 def segmented(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ def many_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:
-    p = b.projects(spark, d).select(F.col("slug").alias("project_slug"), "phrase")
+    p = b.phrase_table(spark).withColumnRenamed("slug", "project_slug")
     toks = ww.phrase_tokens(
         p, F.filter(F.transform(text.tokens(F.col("phrase")), text.norm_alnum), lambda w: w != ""), ["project_slug"])
     hits = ww.phrase_ranges(b.words(spark, d), toks, text.norm_alnum(F.col("word")), [KEY], [], ["project_slug"])
@@ -96,7 +96,7 @@ SELECT a.recording_id, a.ordinal AS first, b.end_ms
 FROM n a JOIN n b ON b.doc_id = a.doc_id AND b.ordinal = a.ordinal + 1
 JOIN v_projects p ON p.slug = a.project_slug WHERE a.tok || ' ' || b.tok = p.phrase""")
 def target_tails(spark: SparkSession, d: str) -> DataFrame:
-    p = b.projects(spark, d).select(F.col("slug").alias("project_slug"), "phrase")
+    p = b.phrase_table(spark).withColumnRenamed("slug", "project_slug")
     toks = ww.phrase_tokens(
         p, F.filter(F.transform(text.tokens(F.col("phrase")), text.norm_letters), lambda w: w != ""), ["project_slug"])
     return ww.phrase_ranges(b.words(spark, d), toks, text.norm_letters(F.col("word")), [KEY], [], ["project_slug"]).select(
@@ -278,17 +278,18 @@ def cut_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("alignment_view", """
-SELECT t.recording_id, t.kind, w.words, w.word_text, COALESCE(c.cuts, '') AS cuts
-FROM v_takes t
-LEFT JOIN (SELECT doc_id, COUNT(*) AS words, sha256(string_agg(word, ' ' ORDER BY ordinal)) AS word_text FROM v_words GROUP BY doc_id) w ON w.doc_id = t.doc_id
-LEFT JOIN (SELECT doc_id, string_agg(slice_id, ' ' ORDER BY start_ms) AS cuts FROM v_slices WHERE status = 'active' GROUP BY doc_id) c ON c.doc_id = t.doc_id""")
+WITH w AS (SELECT recording_id, start_ms // 60000 AS page, COUNT(*) AS words, sha256(string_agg(word, ' ' ORDER BY ordinal)) AS word_text FROM v_words GROUP BY ALL),
+c AS (SELECT recording_id, start_ms // 60000 AS page, string_agg(slice_id, ' ' ORDER BY start_ms) AS cuts FROM v_slices WHERE status = 'active' GROUP BY ALL),
+p AS (SELECT COALESCE(w.recording_id, c.recording_id) AS recording_id, COALESCE(w.page, c.page) AS page, words, word_text, cuts
+  FROM w FULL JOIN c ON c.recording_id = w.recording_id AND c.page = w.page)
+SELECT t.recording_id, t.kind, p.page, COALESCE(words, 0) AS words, COALESCE(word_text, sha256('')) AS word_text, COALESCE(cuts, '') AS cuts
+FROM v_takes t LEFT JOIN p ON p.recording_id = t.recording_id""")
 def alignment_view(spark: SparkSession, d: str) -> DataFrame:
     v = sl.alignment_view(b.takes(spark, d).select(KEY, "kind"), b.words(spark, d),
                           b.slices(spark, d).select(KEY, "slice_id", "start_ms", "end_ms", "category", "status"))
     return v.select(
-        KEY, "kind", F.size("words").cast("bigint").alias("words"),
-        F.sha2(F.array_join(F.transform("words", lambda w: w["word"]), " "), 256).alias("word_text"),
-        F.coalesce(F.array_join(F.transform("cuts", lambda c: c["slice_id"]), " "), F.lit("")).alias("cuts"))
+        KEY, "kind", "page", F.size("words").cast("bigint").alias("words"),
+        F.sha2(F.array_join("words.word", " "), 256).alias("word_text"), F.array_join("cuts.slice_id", " ").alias("cuts"))
 
 
 @query("udtf_phrase_hits", "SELECT recording_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM v_hits")

@@ -141,8 +141,7 @@ MIXED = ("this is not the wake phrase all set okay now let us go ahead and final
 
 def roles(spark, kind):
     w = words_frame(spark, [(x, i * 0.3, i * 0.3 + 0.2) for i, x in enumerate(MIXED)])
-    hits, cues = sl.hits_and_cues(w, projects(spark, "all set"))
-    out = ww.split_hits(ww.near_miss(hits, cues, [KEY]), F.lit(kind))
+    out = ww.split_hits(ww.mark_near_miss(sl.hits_and_cues(w, projects(spark, "all set")), [KEY]), F.lit(kind))
     return rows_of(out, "first", "last", "role")
 
 
