@@ -75,19 +75,20 @@ def _select(pos: pd.Series, nxt: pd.Series, start: pd.Series) -> pd.DataFrame:
 
 
 def _chain(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The entry position of every block, from the block summaries of its key.
+    """The entry position of every block, and ``tail`` of the block before it.
 
-    One small struct per block and key meets here, not the items.
+    ``blocks``: keys, _blk, entry, leave, tail. One small struct per block and
+    key meets here, not the items.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("_blk", "entry", "leave")))
-    start = F.struct(F.lit(-(2 ** 62)).cast("bigint").alias("x"),
-                     F.array().cast("array<struct<_blk:bigint,enter:bigint>>").alias("out"))
+    ordered = F.sort_array(F.collect_list(F.struct("_blk", "entry", "leave", "tail")))
+    start = F.struct(F.lit(-(2 ** 62)).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("tail"),
+                     F.array().cast("array<struct<_blk:bigint,enter:bigint,before:bigint>>").alias("out"))
 
     def step(acc, b):
         k = F.array_position(F.transform(b["entry"], lambda e: e >= acc["x"]), True)
         after = F.when(k > 0, F.get(b["leave"], (k - 1).cast("int"))).otherwise(acc["x"])
-        return F.struct(after.alias("x"), F.array_append(
-            acc["out"], F.struct(b["_blk"].alias("_blk"), acc["x"].alias("enter"))).alias("out"))
+        here = F.struct(b["_blk"].alias("_blk"), acc["x"].alias("enter"), acc["tail"].alias("before"))
+        return F.struct(after.alias("x"), b["tail"].alias("tail"), F.array_append(acc["out"], here).alias("out"))
 
     chained = blocks.groupBy(*keys).agg(ordered.alias("_b"))
     return inline_rows(chained, keys, F.aggregate("_b", start, step)["out"])
@@ -95,7 +96,7 @@ def _chain(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _finish(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
-    enter = _chain(blocks.select(*keys, "_blk", "entry", "leave"), keys)
+    enter = _chain(blocks.select(*keys, "_blk", "entry", "leave", F.lit(None).cast("bigint").alias("tail")), keys)
     picked = blocks.select(*keys, "_blk", "pos", "nxt").join(enter, [*keys, "_blk"]).select(
         *keys, _select("pos", "nxt", "enter").alias("_sel"))
     return inline_rows(picked, keys, F.arrays_zip(F.col("_sel.pos").alias("pos"), F.col("_sel.nxt").alias("nxt")))
@@ -152,7 +153,7 @@ def _chunk_paths(ordinal: pd.Series, start: pd.Series, end: pd.Series, core: pd.
     none = np.empty(0, dtype=np.int64)
     for o, s, e, c, x, m, a, z in zip(ordinal, start, end, core, near, limit, span_start, span_end):
         o, s, e = np.asarray(o), np.asarray(s), np.asarray(e)
-        keep = _free(s, e, none if a is None else np.asarray(a), none if z is None else np.asarray(z))
+        keep = _free(s, e, none if a is None else np.asarray(a), none if z is None else np.asarray(z)) & (e - s <= int(m))
         c = int(np.count_nonzero(keep[:int(c)]))
         o, s, e = o[keep], s[keep], e[keep]
         entries = int(np.count_nonzero(s[:c] <= x)) + 1
@@ -172,25 +173,25 @@ def _select_at(ordinal: pd.Series, pos: pd.Series, nxt: pd.Series, start: pd.Ser
 
 
 def greedy_chunks(words: DataFrame, spans: DataFrame, keys: Sequence[str], carry: Sequence[str], group: Sequence[str],
-                  limit_ms: int, block_ms: int = 300_000) -> DataFrame:
+                  limit_ms: int, margin_ms: int = 0, block_ms: int = 300_000) -> DataFrame:
     """Greedy chunks of at most ``limit_ms`` of the words that overlap no span.
 
-    ``words``: keys, ordinal, start_ms, end_ms, the ``carry`` columns of each
-    word and the ``group`` columns, constant per key. ``spans``: keys,
-    span_start, span_end. Returns keys, group and ``chunk``, the array of the
-    chunk's words. A word longer than the limit or under a span ends a chunk and
-    belongs to none.
+    ``words``: keys, ordinal (dense), start_ms, end_ms, the ``carry`` columns of
+    each word and the ``group`` columns, constant per key. ``spans``: keys,
+    span_start, span_end. A word longer than the limit or under a span ends a
+    chunk and belongs to none. Returns keys, group, ``chunk`` (array of the
+    chunk's words), ``prev_end`` of the word before it and ``next_start`` of the
+    word after it; the latter is null where that word is over ``margin_ms`` away.
 
     Words are gathered into time blocks once (a block is bounded, however long
-    the take); words that start within the limit after a block are copied to
-    it, so a chunk can cross the edge.
+    the take); words that start within limit and margin after a block are copied
+    to it, so a chunk can cross the edge.
     """
     keys, group = list(keys), list(group)
     own = F.floor(F.col("start_ms") / block_ms).cast("bigint")
-    copies = F.array_compact(F.array(own, F.when(F.col("start_ms") - own * block_ms <= limit_ms, own - 1)))
+    copies = F.array_compact(F.array(own, F.when(F.col("start_ms") - own * block_ms <= limit_ms + margin_ms, own - 1)))
     item = F.struct("ordinal", "start_ms", "end_ms", *carry)
-    spread = words.filter(F.col("end_ms") - F.col("start_ms") <= limit_ms).select(
-        *keys, *group, item.alias("_w"), own.alias("_own"), F.explode(copies).alias("_blk"))
+    spread = words.select(*keys, *group, item.alias("_w"), own.alias("_own"), F.explode(copies).alias("_blk"))
     grouped = spread.groupBy(*keys, *group, "_blk").agg(
         F.sort_array(F.collect_list("_w")).alias("_i"), F.count_if(F.col("_own") == F.col("_blk")).alias("_core")).filter("_core > 0")
     reach = F.sequence(F.floor((F.col("span_start") - 2 * limit_ms) / block_ms).cast("bigint"), F.floor(F.col("span_end") / block_ms).cast("bigint"))
@@ -199,9 +200,15 @@ def greedy_chunks(words: DataFrame, spans: DataFrame, keys: Sequence[str], carry
     paths = grouped.join(taken, [*keys, "_blk"], "left").withColumn("_p", _chunk_paths(
         F.col("_i.ordinal"), F.col("_i.start_ms"), F.col("_i.end_ms"), "_core", F.col("_blk") * block_ms + limit_ms, F.lit(limit_ms),
         F.col("_s.span_start"), F.col("_s.span_end")))
-    enter = _chain(paths.select(*keys, "_blk", "_p.entry", "_p.leave"), keys)
+    tail = F.get("_i", (F.col("_core") - 1).cast("int"))["end_ms"]
+    enter = _chain(paths.select(*keys, "_blk", "_p.entry", "_p.leave", tail.alias("tail")), keys)
     picked = paths.select(*keys, *group, "_blk", "_i", "_p").join(enter, [*keys, "_blk"]).select(
-        *keys, *group, "_i", _select_at(F.col("_i.ordinal"), F.col("_p.pos"), F.col("_p.nxt"), F.col("enter")).alias("_sel"))
-    cuts = F.transform(F.arrays_zip("_sel.pos", "_sel.nxt"), lambda z: F.struct(
-        F.slice("_i", z["pos"].cast("int") + 1, z["nxt"].cast("int")).alias("chunk")))
-    return inline_rows(picked, [*keys, *group], cuts)
+        *keys, *group, "_i", "before", _select_at(F.col("_i.ordinal"), F.col("_p.pos"), F.col("_p.nxt"), F.col("enter")).alias("_sel"))
+
+    def cut(z):
+        at, n = z["pos"].cast("int"), z["nxt"].cast("int")
+        return F.struct(F.slice("_i", at + 1, n).alias("chunk"),
+                        F.when(at > 0, F.get("_i", at - 1)["end_ms"]).otherwise(F.col("before")).alias("prev_end"),
+                        F.get("_i", at + n)["start_ms"].alias("next_start"))
+
+    return inline_rows(picked, [*keys, *group], F.transform(F.arrays_zip("_sel.pos", "_sel.nxt"), cut))

@@ -47,9 +47,12 @@ PHONES = ("AA AE AH AO AW AY B CH D DH EH ER EY F G HH IH IY JH K L M N NG OW OY
 def frequency_lexicon(tokens: DataFrame, word: Column, size: int = PROMPT_WORDS) -> DataFrame:
     """The ``size`` most frequent plain words with their rank (from 1).
 
-    Counts combine map-side; only ``size`` rows reach the final ordering.
+    ``word`` is the normal form of the column ``word``. Raw words are counted
+    first, so only distinct ones are normalised; counts combine map-side and
+    only ``size`` rows reach the final ordering.
     """
-    counts = tokens.select(word.alias("word")).filter(F.col("word").rlike(WORD_PATTERN)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    raw = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = raw.select(word.alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("word").rlike(WORD_PATTERN))
     top = counts.orderBy(F.desc("n"), "word").limit(size)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "word")).cast("bigint"))
 

@@ -83,8 +83,8 @@ def lexical_slices(words: DataFrame, takes: DataFrame, projects: DataFrame) -> D
     w = ww.neighbours(words, "recording_id")
     cuts = _phrase_cuts(words, w, takes, projects)
     phrase_rows = _plain(cuts.withColumn("label", F.col("role")).withColumn("category", F.col("role")))
-    pool = w.join(_lexical(takes).filter(rules.runs_negative_pass(F.col("kind"))), "recording_id")
-    chunks = ww.negative_chunks(pool, cuts, "recording_id", ["word", "prev_end", "next_start", "prob"],
+    pool = words.join(_lexical(takes).filter(rules.runs_negative_pass(F.col("kind"))), "recording_id")
+    chunks = ww.negative_chunks(pool, cuts, "recording_id", ["word", "prob"],
                                 ["project_slug", "kind", "source_end", "take_ms", "recorded_at"])
     negatives = ww.chunk_geometry(chunks)
     label = rules.negative_pass_label(F.col("kind"))

@@ -53,7 +53,8 @@ def phrase_ranges(words: DataFrame, tokens: DataFrame, norm: Column, keys: Seque
     """
     keys, phrase_keys = list(keys), list(phrase_keys)
     w = words.select(*dict.fromkeys([*keys, *match, "ordinal", "word", "start_ms", "end_ms"]), norm.alias("_token"))
-    votes = w.join(tokens, [*match, "_token"]).withColumn("first", F.col("ordinal") - F.col("_at"))
+    # A token that is never null spares Spark a filter that would normalise twice.
+    votes = w.withColumn("_token", F.coalesce("_token", F.lit(""))).join(tokens, [*match, "_token"]).withColumn("first", F.col("ordinal") - F.col("_at"))
     at_end = F.col("_at") == F.col("n") - 1
     return (
         votes.groupBy(*dict.fromkeys([*keys, *match, *phrase_keys]), "first", "n").agg(
@@ -216,16 +217,16 @@ def negative_chunks(words: DataFrame, occupied: DataFrame, key: str, carry: Sequ
     words as an array (ordinal, start_ms, end_ms and ``carry``).
     """
     spans = occupied.select(key, F.col("cut_start_ms").alias("span_start"), F.col("cut_end_ms").alias("span_end"))
-    return greedy_chunks(words, spans, [key], carry, group, NEGATIVE_CHUNK_MS)
+    return greedy_chunks(words, spans, [key], carry, group, NEGATIVE_CHUNK_MS, NEGATIVE_TAIL_MS)
 
 
 def chunk_geometry(chunks: DataFrame) -> DataFrame:
     """Padded and clamped bounds of negative chunks with their visible words.
 
-    ``chunk`` carries prev_end and next_start, the row source_end; all in the row.
+    ``prev_end``, ``next_start`` and ``source_end`` are columns; all in the row.
     """
     head, tail = F.get("chunk", F.lit(0)), F.element_at("chunk", -1)
-    start, end = padded_bounds(head["start_ms"], tail["end_ms"], head["prev_end"], tail["next_start"],
+    start, end = padded_bounds(head["start_ms"], tail["end_ms"], F.col("prev_end"), F.col("next_start"),
                                F.col("source_end"), LEAD_MS, NEGATIVE_TAIL_MS, True)
     rows = chunks.withColumn("_s", start).withColumn("_e", end)
     cut_start, cut_end = clamp_span(F.col("_s"), F.col("_e"), False)

@@ -65,7 +65,7 @@ def test_visible_words(spark, span, kept):
 def chunks_of(spark, words, occupied, block=300_000):
     w = words_frame(spark, words) if isinstance(words, list) else words
     spans = spark.createDataFrame([("r", a, b) for a, b in occupied], "recording_id string, span_start bigint, span_end bigint")
-    out = gr.greedy_chunks(w, spans, [KEY], ["word"], [], 1500, block)
+    out = gr.greedy_chunks(w, spans, [KEY], ["word"], [], 1500, block_ms=block)
     return sorted((r.chunk[0].ordinal, r.chunk[-1].ordinal) for r in out.collect())
 
 
