@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rows import let
+
 # Burst segmentation.
 FRAME_SECONDS = 0.02
 FLOOR_FRACTION = 0.10
@@ -31,13 +33,15 @@ def _energy(samples: Column) -> Column:
 
 
 def rms(samples: Column) -> Column:
-    return F.coalesce(F.sqrt(F.try_divide(_energy(samples).cast("double"), F.size(samples))), F.lit(0.0))
+    return let(samples, lambda a: F.coalesce(F.sqrt(F.try_divide(_energy(a).cast("double"), F.size(a))), F.lit(0.0)))
 
 
 def power(samples: Column) -> Column:
     """Mean square of float samples."""
-    total = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x * x)
-    return F.coalesce(F.try_divide(total, F.size(samples)), F.lit(0.0))
+    def mean(a: Column) -> Column:
+        return F.coalesce(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x), F.size(a)), F.lit(0.0))
+
+    return let(samples, mean)
 
 
 def frame_length(rate: Column) -> Column:
@@ -57,12 +61,17 @@ def open_close(envelope: Column) -> Column:
     The floor is the element at index floor(0.1 n) of the sorted frames, not an
     interpolated percentile.
     """
-    at = F.floor(F.size(envelope) * FLOOR_FRACTION).cast("int")
-    floor = F.get(F.sort_array(envelope), at)
-    top = F.array_max(envelope)
-    return F.when(top - floor >= 1.0, F.struct(
-        (floor + F.lit(OPEN_FRACTION) * (top - floor)).alias("open"),
-        (floor + F.lit(CLOSE_FRACTION) * (top - floor)).alias("close")))
+    def edges(e: Column) -> Column:
+        at = F.floor(F.size(e) * FLOOR_FRACTION).cast("int")
+        return F.struct(F.get(F.sort_array(e), at).alias("floor"), F.array_max(e).alias("top"))
+
+    def levels(x: Column) -> Column:
+        floor, top = x["floor"], x["top"]
+        return F.when(top - floor >= 1.0, F.struct(
+            (floor + F.lit(OPEN_FRACTION) * (top - floor)).alias("open"),
+            (floor + F.lit(CLOSE_FRACTION) * (top - floor)).alias("close")))
+
+    return let(let(envelope, edges), levels)
 
 
 def hysteresis_runs(envelope: Column, open_at: Column, close_below: Column) -> Column:
@@ -87,6 +96,10 @@ def hysteresis_runs(envelope: Column, open_at: Column, close_below: Column) -> C
 
 def merge_and_pad(runs: Column, frame_ms: Column, total_ms: Column) -> Column:
     """Frame runs to padded millisecond spans: merge short gaps, drop short bursts."""
+    return let(total_ms, lambda total: _merge_and_pad(runs, frame_ms, total))
+
+
+def _merge_and_pad(runs: Column, frame_ms: Column, total_ms: Column) -> Column:
     spans = F.transform(runs, lambda r: F.struct(
         (r["start"] * frame_ms).alias("start"), F.least(r["end"] * frame_ms, total_ms).alias("end")))
 
@@ -121,31 +134,43 @@ def to_float(samples: Column) -> Column:
 
 def scale_to_peak(samples: Column, target: float) -> Column:
     """Scale so that the highest magnitude is ``target``; silence stays as it is."""
-    top = peak(samples)
-    return F.when(top < EPSILON, samples).otherwise(F.transform(samples, lambda x: x * (F.lit(target) / top)))
+    def scaled(a: Column) -> Column:
+        return let(peak(a), lambda top: F.when(top < EPSILON, a).otherwise(F.transform(a, lambda x: x * (F.lit(target) / top))))
+
+    return let(samples, scaled)
 
 
 def guard_clipping(samples: Column) -> Column:
-    top = peak(samples)
-    return F.when(top > CLIP_GUARD, F.transform(samples, lambda x: x * (F.lit(CLIP_GUARD) / top))).otherwise(samples)
+    def guarded(a: Column) -> Column:
+        return let(peak(a), lambda top: F.when(top > CLIP_GUARD, F.transform(a, lambda x: x * (F.lit(CLIP_GUARD) / top))).otherwise(a))
+
+    return let(samples, guarded)
 
 
 def fade_edges(samples: Column, fade: int) -> Column:
     """Raised-cosine fade in and out; clips shorter than two fades are left alone."""
-    n = F.size(samples)
+    if fade <= 0:
+        return samples
     step = 3.141592653589793 / max(fade - 1, 1)
 
     def ramp(i: Column) -> Column:
         return F.lit(0.5) * (F.lit(1.0) - F.cos(i * step))
 
-    faded = F.transform(samples, lambda x, i: x * F.when(i < fade, ramp(i)).when(i >= n - fade, ramp(n - 1 - i)).otherwise(1.0))
-    return F.when((n < 2 * fade) | F.lit(fade <= 0), samples).otherwise(faded)
+    def faded(a: Column) -> Column:
+        n = F.size(a)
+        return F.when(n < 2 * fade, a).otherwise(
+            F.transform(a, lambda x, i: x * F.when(i < fade, ramp(i)).when(i >= n - fade, ramp(n - 1 - i)).otherwise(1.0)))
+
+    return let(samples, faded)
 
 
 def loop_to(samples: Column, length: Column, start: Column) -> Column:
     """A bed of exactly ``length`` samples: repeated while short, cut at ``start``."""
-    reps = F.when(F.size(samples) < length, F.floor(length / F.size(samples)).cast("int") + 1).otherwise(1)
-    return F.slice(F.flatten(F.array_repeat(samples, reps)), start + 1, length)
+    def looped(a: Column) -> Column:
+        reps = F.when(F.size(a) < length, F.floor(length / F.size(a)).cast("int") + 1).otherwise(1)
+        return F.slice(F.flatten(F.array_repeat(a, reps)), start + 1, length)
+
+    return let(samples, looped)
 
 
 def snr_scale(voice_power: Column, bed_power: Column, snr_db: Column) -> Column:
@@ -153,7 +178,7 @@ def snr_scale(voice_power: Column, bed_power: Column, snr_db: Column) -> Column:
 
 
 def mix(samples: Column, bed: Column, scale: Column) -> Column:
-    return F.zip_with(samples, bed, lambda x, y: x + scale * y)
+    return let(scale, lambda s: F.zip_with(samples, bed, lambda x, y: x + s * y))
 
 
 def zeros(n: Column) -> Column:
@@ -162,23 +187,29 @@ def zeros(n: Column) -> Column:
 
 def align_to_end(samples: Column, length: int, jitter: Column) -> Column:
     """Tail-aligned in a window of ``length``, ending ``jitter`` samples early."""
-    end = F.lit(length) - jitter
-    kept = F.least(F.size(samples), end)
-    return F.concat(zeros(end - kept), F.slice(samples, F.size(samples) - kept + 1, kept), zeros(jitter))
+    def aligned(a: Column) -> Column:
+        end = F.lit(length) - jitter
+        kept = F.least(F.size(a), end)
+        return F.concat(zeros(end - kept), F.slice(a, F.size(a) - kept + 1, kept), zeros(jitter))
+
+    return let(samples, aligned)
 
 
 def center_fit(samples: Column, length: int) -> Column:
     """Centre-padded or centre-cropped to ``length``."""
-    n = F.size(samples)
-    left = F.floor((F.lit(length) - n) / 2).cast("int")
-    padded = F.concat(zeros(left), samples, zeros(F.lit(length) - n - left))
-    cropped = F.slice(samples, F.floor((n - length) / 2).cast("int") + 1, length)
-    return F.when(n < length, padded).when(n > length, cropped).otherwise(samples)
+    def fitted(a: Column) -> Column:
+        n = F.size(a)
+        left = F.floor((F.lit(length) - n) / 2).cast("int")
+        padded = F.concat(zeros(left), a, zeros(F.lit(length) - n - left))
+        cropped = F.slice(a, F.floor((n - length) / 2).cast("int") + 1, length)
+        return F.when(n < length, padded).when(n > length, cropped).otherwise(a)
+
+    return let(samples, fitted)
 
 
 def head_fit(samples: Column, length: int) -> Column:
     """Cut or zero-padded at the end to ``length``."""
-    return F.concat(F.slice(samples, 1, length), zeros(F.lit(length) - F.size(samples)))
+    return let(samples, lambda a: F.concat(F.slice(a, 1, length), zeros(F.lit(length) - F.size(a))))
 
 
 def scan_ends(n: Column, step: int) -> Column:

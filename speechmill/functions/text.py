@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rows import let
+
 # Fixed value: whitespace class shared by the tokenizer here and in SQL.
 WHITESPACE = "[ \\t\\n\\r\\f]+"
 
@@ -86,11 +88,14 @@ def contains_run(words: Column, phrase: Column) -> Column:
 
 def tail_has_phrase(words: Column, phrase: Column, slack: int = 2) -> Column:
     """True where ``phrase`` ends within ``slack`` words of the end of ``words``."""
-    n, m = F.size(words), F.size(phrase)
-    # Only the last m + slack words can hold a match that ends late enough.
-    keep = F.least(n, m + slack)
-    tail = F.slice(words, F.greatest(n - keep + 1, F.lit(1)), keep)
-    return (m > 0) & (n >= m) & contains_run(tail, phrase)
+    def at_tail(w: Column) -> Column:
+        n, m = F.size(w), F.size(phrase)
+        # Only the last m + slack words can hold a match that ends late enough.
+        keep = F.least(n, m + slack)
+        tail = F.slice(w, F.greatest(n - keep + 1, F.lit(1)), keep)
+        return (m > 0) & (n >= m) & contains_run(tail, phrase)
+
+    return let(words, at_tail)
 
 
 def prompt_lines(script: Column) -> Column:

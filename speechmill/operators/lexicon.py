@@ -85,7 +85,10 @@ def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT,
         F.col("word").alias("near"), F.col("rank").alias("near_rank"), F.col(code).alias("_nc"), F.length(code).alias("_len"))
     n = F.length(code)
     lengths = F.sequence(F.greatest(n - LENGTH_SLACK, F.lit(1)), n + LENGTH_SLACK)
-    t = targets.select("word", F.col(code).alias("_tc"), "exclude", F.explode(lengths).alias("_len"))
+    # Few targets, much work per target: spread them over all cores by number,
+    # which adaptive execution does not merge again.
+    cores = targets.sparkSession.sparkContext.defaultParallelism
+    t = targets.repartition(cores * 2, "word").select("word", F.col(code).alias("_tc"), "exclude", F.explode(lengths).alias("_len"))
     pairs = t.join(F.broadcast(lex), "_len").filter(~F.array_contains("exclude", F.col("near")))
     scored = pairs.withColumn("distance", F.levenshtein("_tc", "_nc", MAX_DISTANCE)).filter(F.col("distance").between(1, MAX_DISTANCE))
     w = W.partitionBy("word", "exclude").orderBy("distance", "near_rank", "near")

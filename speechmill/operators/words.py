@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
+from ..functions.rows import let
 from .greedy import greedy_chunks, greedy_select
 from .joins import band_join, halo, last_refs, overlap_anti
 
@@ -198,7 +199,7 @@ def phrase_geometry(hits: DataFrame, words: DataFrame, key: str) -> DataFrame:
     before = F.reverse(F.filter("_w", lambda w: w["ordinal"] < F.col("first")))
     # Contiguous lead-in: the i-th word back must be exactly first - 1 - i.
     lead_n = F.size(F.filter(before, lambda w, i: w["ordinal"] == F.col("first") - 1 - i))
-    rows = rows.withColumn("_ctx", F.filter("_w", lambda w: w["ordinal"] >= F.col("first") - lead_n))
+    rows = rows.withColumn("_ctx", let(lead_n, lambda n: F.filter("_w", lambda w: w["ordinal"] >= F.col("first") - n)))
     head = F.get("_ctx", F.lit(0))
     start, end = padded_bounds(head["start_ms"], F.col("end_ms"), head["prev_end"], F.lit(None).cast("bigint"),
                                F.col("source_end"), LEAD_MS, POSITIVE_TAIL_MS, False)
