@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
+from ..functions.rows import let
 
 # Words of the ranked list and of its part that gets phones.
 WORD_PATTERN = "^[a-z]{2,12}$"
@@ -141,6 +142,10 @@ def candidates(words: Column, phonetic: Column) -> Column:
     ``phonetic`` are the near-miss phrases found before. The phrase itself and
     everything that contains it as a word run drops out.
     """
+    return let(words, lambda w: _candidates(w, phonetic))
+
+
+def _candidates(words: Column, phonetic: Column) -> Column:
     n, first, last = F.size(words), F.get(words, F.lit(0)), F.element_at(words, -1)
     alike = sound_alikes(first)
     lead = F.get(alike, F.lit(0))
@@ -156,8 +161,8 @@ def candidates(words: Column, phonetic: Column) -> Column:
     built = F.concat(F.when(n == 1, single).otherwise(several), doubled, F.array(rest, head))
     every = F.concat(F.coalesce(phonetic, F.array().cast("array<string>")), F.when(n > 0, built).otherwise(F.array().cast("array<string>")))
     flat = F.transform(every, text.squeeze)
-    whole = F.array_join(words, " ")
-    kept = F.filter(flat, lambda v: (v != "") & (v != whole) & ~text.contains_run(F.split(v, " "), words))
+    kept = let(F.array_join(words, " "), lambda whole: F.filter(
+        flat, lambda v: (v != "") & (v != whole) & ~text.contains_run(F.split(v, " "), words)))
     return F.array_distinct(kept)
 
 
