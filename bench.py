@@ -14,7 +14,7 @@ from speechmill.plans import registry  # noqa: E402
 from speechmill.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "slice_table", "phrase_ranges", "phrase_occurrences", "many_phrases", "negative_chunks", "word_timings", "words_outside_slices",
+    "word_timings", "phrase_ranges", "phrase_occurrences", "many_phrases", "words_outside_slices", "negative_chunks", "slice_table",
     "provenance_counts", "project_summaries", "training_pool", "pool_counts", "recording_upsert", "run_ledger",
     "take_grades", "threshold_sweep", "fire_events", "tally", "model_comparison", "hysteresis_detector",
     "energy_bursts", "snr_mix", "window_scores", "lexicon", "near_miss_phrases", "run_progress",

@@ -14,7 +14,7 @@ from .ranking import hashed_index
 
 @dataclass(frozen=True)
 class CompositeSettings:
-    """Knobs of a composited window; the defaults are the reference values."""
+    """Knobs of a composited window. The defaults are fixed values."""
 
     rate: int = 16000
     window_ms: int = 2000

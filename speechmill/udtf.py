@@ -15,7 +15,7 @@ class EnergyBursts:
     """``energy_bursts(samples, rate)``: sound bursts of one clip."""
 
     def eval(self, samples, rate):
-        if not samples or rate <= 0:
+        if samples is None or len(samples) == 0 or rate <= 0:
             return
         x = np.asarray(samples, dtype=np.float64)
         frame = max(int(np.floor(0.02 * rate + 0.5)), 1)
@@ -45,12 +45,15 @@ class PhraseHits:
     """``phrase_hits(words, phrase)``: every occurrence of a normal phrase in normal words."""
 
     def eval(self, words, phrase):
-        n = len(phrase or [])
-        for i in range(len(words or []) - n + 1 if n else 0):
+        if words is None or phrase is None or len(phrase) == 0:
+            return
+        words, phrase = list(words), list(phrase)
+        n = len(phrase)
+        for i in range(len(words) - n + 1):
             if words[i:i + n] == phrase:
                 yield i, i + n - 1
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("energy_bursts", F.udtf(EnergyBursts, returnType=_BURST))
-    spark.udtf.register("phrase_hits", F.udtf(PhraseHits, returnType=_HIT))
+    spark.udtf.register("energy_bursts", F.udtf(EnergyBursts, returnType=_BURST, useArrow=True))
+    spark.udtf.register("phrase_hits", F.udtf(PhraseHits, returnType=_HIT, useArrow=True))
