@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, toxicity
+from . import decontaminate, jaccard_join, line_dedup, piece_sampling, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,10 @@ def _pipeline_module():
 
 
 QUERIES: dict[str, Query] = {
+    "op1_piece_sampling": _documents(piece_sampling.sampling_report),
     "op2_line_dedup": _documents(line_dedup.line_report),
+    "op4_decontamination": lambda spark, sf_dir: decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op6_token_counts": _documents(token_counts.token_report),
     "op9_jaccard_join": _documents(jaccard_join.jaccard_report),
     "op10_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
