@@ -9,7 +9,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, piece_sampling, token_counts, toxicity
+from . import (
+    decontaminate,
+    fingerprints,
+    jaccard_join,
+    language_model,
+    license_scan,
+    line_dedup,
+    pii,
+    piece_sampling,
+    token_counts,
+    toxicity,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +45,12 @@ def _pipeline_module():
 QUERIES: dict[str, Query] = {
     "op1_piece_sampling": _documents(piece_sampling.sampling_report),
     "op2_line_dedup": _documents(line_dedup.line_report),
+    "op3_fingerprints": _documents(fingerprints.neighbour_report),
     "op4_decontamination": lambda spark, sf_dir: decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op5_license_scan": _documents(license_scan.license_report),
     "op6_token_counts": _documents(token_counts.token_report),
+    "op7_language_model": _documents(language_model.score_report),
+    "op8_pii": _documents(pii.surrogate_report),
     "op9_jaccard_join": _documents(jaccard_join.jaccard_report),
     "op10_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
