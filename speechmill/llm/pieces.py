@@ -12,9 +12,11 @@ of one file); tokenizers are never trained here.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import cached_property
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,6 +34,37 @@ def units_of(text: str) -> list[str]:
     return UNIT.findall(" " + text) if text else []
 
 
+@dataclass
+class Layout:
+    """Units in one string with a gap in front of each; nodes are positions of it.
+
+    A node's depth is its place in the unit; the gap, at depth 0, is the unit's
+    start. The nodes of one depth are ``order[cuts[depth - 1]: cuts[depth]]``.
+    """
+
+    codes: np.ndarray  # characters
+    escaped: np.ndarray  # the same with blanks as in pieces
+    first: np.ndarray  # the gap of each unit
+    lengths: np.ndarray
+    depth: np.ndarray
+
+    @classmethod
+    def of(cls, units: list[str]) -> Layout:
+        codes = np.frombuffer("".join(["\x00" + u for u in units]).encode("utf-32-le"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        first = np.cumsum(lengths + 1) - lengths - 1
+        depth = np.arange(len(codes)) - np.repeat(first, lengths + 1)
+        escaped = np.where(codes == ord(BLANK), np.uint32(0), np.where(codes == ord(" "), np.uint32(ord(BLANK)), codes))
+        return cls(codes, escaped, first, lengths, depth)
+
+    def by_depth(self):
+        """The nodes of depth 1, 2, ..."""
+        depth = self.depth.astype(np.uint16) if self.lengths.max() < 1 << 16 else self.depth
+        order = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(self.depth[order], np.arange(1, int(self.lengths.max()) + 2))
+        return [order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+
 class Vocabulary:
     def __init__(self, model: bytes):
         p = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -50,29 +83,14 @@ class Vocabulary:
             self.surface[i] = bytes([b])
 
     @cached_property
-    def matches(self) -> ahocorasick.Automaton:
-        """Enumerates all pieces in a unit."""
+    def automaton(self) -> ahocorasick.Automaton:
+        """Enumerates all pieces in a string, by its characters."""
         a = ahocorasick.Automaton()
         for t, i in self.ids.items():
-            a.add_word(t, (i, len(t), self.scores[t]))
+            a.add_word(t, i)
         a.make_automaton()
         return a
 
-    def escaped(self, unit: str) -> str:
-        """Blanks as in pieces; a literal U+2581 becomes a character that no piece has."""
-        return unit.replace(BLANK, "\x00").replace(" ", BLANK)
-
-    def edges(self, unit: str) -> list[list[tuple[int, int, float]]]:
-        """Per end position, (start, piece id, score) of all pieces; id -1 is an unknown character."""
-        escaped = self.escaped(unit)
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(len(escaped) + 1)]
-        for end, (i, n, score) in self.matches.iter(escaped):
-            into[end + 1].append((end + 1 - n, i, score))
-        for e in range(1, len(into)):
-            if not any(s == e - 1 for s, *_ in into[e]):
-                into[e].append((e - 1, -1, self.unknown_score))
-        return into
-
     def decode(self, ids) -> bytes:
         """The text of piece ids, without its dummy blank."""
         surface = self.surface
