@@ -2,8 +2,8 @@
 
 P(w | v) = l2 c(vw) / c(v) + l1 c(w) / N + l0 / (V + 1); the three weights depend
 on the frequency bucket of the context v (powers of two) and are learned by
-expectation-maximisation on held-out counts: each training block of every
-`EM_EVERY`-th block is scored with the counts of all other blocks, that is, with
+expectation-maximisation on held-out counts: each training text of every
+`EM_EVERY`-th block is scored with the counts of all other texts, that is, with
 its own counts deleted from the total.
 
 Texts are dealt into blocks by a hash of their id. A block sends its distinct
@@ -155,9 +155,9 @@ def count_tables(dealt: DataFrame, blocks: int) -> DataFrame:
 def estimates(texts: list[bytes], trained: np.ndarray, parts: int, answers: dict[int, bytes], deleted: bool):
     """Counts (bigram, context, word) of each token, and tokens per text.
 
-    With `deleted`, the block's own training counts are taken out of the totals.
+    With `deleted`, each text's own counts are taken out of the totals.
     """
-    keys, own, w, v, b, sizes = block_keys(texts, trained)
+    keys, _, w, v, b, sizes = block_keys(texts, trained)
     part = part_of(keys, parts)
     total = np.empty(len(keys), dtype=np.int64)
     at = np.argsort(part, kind="stable")
@@ -165,9 +165,16 @@ def estimates(texts: list[bytes], trained: np.ndarray, parts: int, answers: dict
     for p, (a, e) in enumerate(zip(cuts, cuts[1:])):
         if e > a:
             total[at[a:e]] = np.frombuffer(answers[p], np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
-    if deleted:
-        total -= own
-    return total[b], total[v], total[w], sizes
+    if not deleted:
+        return total[b], total[v], total[w], sizes
+    text = np.repeat(np.arange(len(texts)) * len(keys), sizes)
+    return (*(total[x] - times(text + x) for x in (b, v, w)), sizes)
+
+
+def times(x: np.ndarray) -> np.ndarray:
+    """How often each value stands in the array."""
+    _, where, n = np.unique(x, return_inverse=True, return_counts=True)
+    return n[where]
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -225,7 +232,8 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             trained, pair, context, word, sizes = unpack(left, right, True)
             use = np.repeat(trained, sizes)
             pair, context, word = pair[use], context[use], word[use]
-            cell = (bucket_of(context) * LEVELS + _level(pair / np.maximum(context, 1))) * LEVELS + _level(word / max(n_tokens - int(use.sum()), 1))
+            others = np.maximum(n_tokens - np.repeat(sizes, sizes)[use], 1)
+            cell = (bucket_of(context) * LEVELS + _level(pair / np.maximum(context, 1))) * LEVELS + _level(word / others)
             cells, counts = np.unique(cell, return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(counts, pa.int64())})
 
