@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from conftest import prose
+from llm_samples import none, odd, odd_rows, prose  # noqa: F401
 from speechmill.llm import (
     components,
     decontaminate,
