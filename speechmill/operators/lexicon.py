@@ -67,34 +67,37 @@ def content_words(lexicon: DataFrame, size: int = CONTENT_WORDS) -> DataFrame:
 
 def phone_code(phones: Column) -> Column:
     """Phones as a string with one character per phone, so that the built-in
-    edit distance counts phones. Symbols outside the dictionary share no code
-    with it."""
+    edit distance counts phones. A symbol outside the dictionary gets one of
+    11,172 characters by its hash, so that two of them rarely count as equal."""
     known = F.array(*[F.lit(p) for p in PHONES])
+
+    def other(p: Column) -> Column:
+        return F.decode(F.unhex(F.hex(F.crc32(p) % 11_172 + 0xAC00)), "UTF-16BE")
+
     return F.array_join(F.transform(phones, lambda p: F.when(
-        F.array_contains(known, p), F.chr(F.array_position(known, p) + 64)).otherwise(F.lit("~"))), "")
+        F.array_contains(known, p), F.chr(F.array_position(known, p) + 64)).otherwise(other(p))), "")
 
 
-def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT, code: str = "code", bound: int = PHONE_WORDS) -> DataFrame:
-    """Nearest lexicon words of each target (word, code): distance 1..4, ranked.
+def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT, code: str = "code") -> DataFrame:
+    """Nearest lexicon words of each target (word, code, exclude): distance 1..4, ranked.
 
-    The lexicon is cut to its fixed size (``bound`` words), which is what makes
-    it safe to broadcast; targets are distinct words. Candidates meet on code
-    length (within two), the per-target cut to ``limit`` happens before the
-    shuffle (window group limit).
+    Each distinct word is compared once, with the lexicon words of nearly its
+    length; how many of the nearest are kept allows for the most words that one
+    of its targets excludes, and the targets then drop theirs. Spark broadcasts
+    the lexicon only while it is small.
     """
-    lex = lexicon.filter(F.length("word") > 2).orderBy("rank").limit(bound).select(
+    lex = lexicon.filter(F.length("word") > 2).select(
         F.col("word").alias("near"), F.col("rank").alias("near_rank"), F.col(code).alias("_nc"), F.length(code).alias("_len"))
-    n = F.length(code)
+    n = F.length("_tc")
     lengths = F.sequence(F.greatest(n - LENGTH_SLACK, F.lit(1)), n + LENGTH_SLACK)
-    # Few targets, much work per target: spread them over all cores by number,
-    # which adaptive execution does not merge again.
-    cores = targets.sparkSession.sparkContext.defaultParallelism
-    t = targets.repartition(cores * 2, "word").select("word", F.col(code).alias("_tc"), "exclude", F.explode(lengths).alias("_len"))
-    pairs = t.join(F.broadcast(lex), "_len").filter(~F.array_contains("exclude", F.col("near")))
+    each = targets.groupBy("word", F.col(code).alias("_tc")).agg(F.max(F.size("exclude")).alias("_most"))
+    pairs = each.select("word", "_tc", "_most", F.explode(lengths).alias("_len")).join(lex, "_len")
     scored = pairs.withColumn("distance", F.levenshtein("_tc", "_nc", MAX_DISTANCE)).filter(F.col("distance").between(1, MAX_DISTANCE))
-    w = W.partitionBy("word", "exclude").orderBy("distance", "near_rank", "near")
-    return scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit).select(
-        "word", "exclude", "near", "near_rank", "distance", "position")
+    order = ["distance", "near_rank", "near"]
+    nearest = scored.withColumn("_r", F.row_number().over(W.partitionBy("word").orderBy(*order))).filter(F.col("_r") <= limit + F.col("_most"))
+    allowed = targets.select("word", "exclude").distinct().join(nearest.select("word", *order), "word").filter(~F.array_contains("exclude", F.col("near")))
+    return allowed.withColumn("position", F.row_number().over(W.partitionBy("word", "exclude").orderBy(*order))).filter(
+        F.col("position") <= limit).select("word", "exclude", "near", "near_rank", "distance", "position")
 
 
 def _replace_at(words: Column, index: Column, value: Column) -> Column:

@@ -33,16 +33,24 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: str, block: int = O
 def hashed_index(df: DataFrame, row_id: str, buckets: int = 1024) -> DataFrame:
     """Add a dense ``rn`` over all rows, in hash order of ``row_id``, and the total ``n``.
 
-    The numbering goes through at most ``buckets`` counts, never one big sort.
+    Two levels of hash buckets: rows are numbered inside a small bucket, small
+    buckets inside one of ``buckets`` large ones, and those over all. No step
+    sorts more than ``buckets`` counts or one in ``buckets`` squared of the rows.
     """
-    blocked = df.withColumn("_hb", F.pmod(F.xxhash64(row_id), F.lit(buckets)))
-    inner = blocked.withColumn("_in", F.row_number().over(W.partitionBy("_hb").orderBy(row_id)))
-    counts = blocked.groupBy("_hb").agg(F.count(F.lit(1)).alias("_c"))
+    hashed = F.xxhash64(row_id)
+    blocked = df.withColumn("_hb", F.pmod(hashed, F.lit(buckets))).withColumn("_hs", F.pmod(F.xxhash64(hashed), F.lit(buckets)))
+    inner = blocked.withColumn("_in", F.row_number().over(W.partitionBy("_hb", "_hs").orderBy(row_id)))
+    counts = blocked.groupBy("_hb", "_hs").agg(F.count(F.lit(1)).alias("_c"))
+
+    def before(w):
+        return F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
+
+    small = counts.withColumn("_so", before(W.partitionBy("_hb").orderBy("_hs"))).select("_hb", "_hs", "_so")
     # At most `buckets` rows reach this unpartitioned window.
-    upto = W.orderBy("_hb")
-    offsets = counts.select("_hb", (F.sum("_c").over(upto.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_off"),
-                            F.sum("_c").over(W.partitionBy()).alias("n"))
-    return inner.join(offsets, "_hb").withColumn("rn", F.col("_off") + F.col("_in") - 1).drop("_hb", "_in", "_off")
+    large = counts.groupBy("_hb").agg(F.sum("_c").alias("_c")).select(
+        "_hb", before(W.orderBy("_hb")).alias("_off"), F.sum("_c").over(W.partitionBy()).alias("n"))
+    return (inner.join(small, ["_hb", "_hs"]).join(large, "_hb")
+            .withColumn("rn", F.col("_off") + F.col("_so") + F.col("_in") - 1).drop("_hb", "_hs", "_in", "_off", "_so"))
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column, salt_on: str, salts: int = 64) -> DataFrame:

@@ -55,7 +55,8 @@ def hits_and_cues(words: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def _phrase_cuts(words: DataFrame, enriched: DataFrame, takes: DataFrame, projects: DataFrame) -> DataFrame:
-    hits = ww.mark_near_miss(hits_and_cues(words, projects), ["recording_id"])
+    reach = ww.longest(projects, F.size(text.normalized_words(F.col("phrase"))))
+    hits = ww.mark_near_miss(hits_and_cues(words, projects), ["recording_id"], reach)
     hits = hits.join(_lexical(takes).filter(rules.expects_positive(F.col("kind"))), "recording_id")
     return ww.phrase_geometry(ww.split_hits(hits, F.col("kind")), enriched, "recording_id")
 

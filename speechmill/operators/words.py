@@ -67,10 +67,45 @@ def phrase_ranges(words: DataFrame, tokens: DataFrame, norm: Column, keys: Seque
     )
 
 
-def phrase_occurrences(hits: DataFrame, keys: Sequence[str], max_words: int = 64) -> DataFrame:
-    """Greedy non-overlapping subset of ``phrase_ranges`` output."""
+def longest(rows: DataFrame, length: Column) -> int:
+    """The largest ``length`` in ``rows``: one aggregate, best run on the phrase table."""
+    return int(rows.agg(F.max(length)).first()[0] or 1)
+
+
+def rare_phrase_ranges(words: DataFrame, phrases: DataFrame, tokens: Column, norm: Column, keys: Sequence[str],
+                       phrase_keys: Sequence[str]) -> DataFrame:
+    """:func:`phrase_ranges` for many long phrases.
+
+    Only the longest token of a phrase, which is rarely a common word, looks for
+    places; the other tokens are then compared at the places found.
+    """
+    keys, phrase_keys = list(keys), list(phrase_keys)
+    # a phrase without words would match everywhere
+    whole = phrases.select(*phrase_keys, tokens.alias("_t")).filter(F.size("_t") > 0)
+    lengths = F.transform("_t", lambda t: F.length(t))
+    anchor = (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int")
+    anchored = whole.select(*phrase_keys, "_t", anchor.alias("_at"), F.get("_t", anchor).alias("_token"))
+    w = words.select(*keys, "ordinal", F.coalesce(norm, F.lit("")).alias("_token"), "start_ms", "end_ms")
+    places = w.select(*keys, "ordinal", "_token").join(anchored, "_token").select(
+        *keys, *phrase_keys, (F.col("ordinal") - F.col("_at")).alias("first"), "_t")
+    wanted = places.select(*keys, *phrase_keys, "first", F.size("_t").cast("bigint").alias("n"), F.posexplode("_t").alias("_at", "_token")).withColumn(
+        "ordinal", F.col("first") + F.col("_at"))
+    met = w.join(wanted, [*keys, "ordinal", "_token"])
+    return (met.groupBy(*keys, *phrase_keys, "first", "n").agg(
+        F.count(F.lit(1)).alias("_votes"), F.min(F.when(F.col("_at") == 0, F.col("start_ms"))).alias("start_ms"),
+        F.max(F.when(F.col("_at") == F.col("n") - 1, F.col("end_ms"))).alias("end_ms"))
+        .filter("_votes = n").drop("_votes").withColumn("last", F.col("first") + F.col("n") - 1))
+
+
+def phrase_occurrences(hits: DataFrame, keys: Sequence[str], max_words: int | None = None) -> DataFrame:
+    """Greedy non-overlapping subset of ``phrase_ranges`` output.
+
+    ``max_words`` is the length of the longest phrase, so how far an occurrence
+    reaches; unless given it is read from the hits.
+    """
+    reach = longest(hits, F.col("n")) if max_words is None else max_words
     ends = hits.withColumn("_nxt", F.col("first") + F.col("n"))
-    kept = greedy_select(ends, keys, "first", "_nxt", max_words, WORD_BLOCK)
+    kept = greedy_select(ends, keys, "first", "_nxt", reach, max(WORD_BLOCK, reach))
     return hits.join(kept.select(*keys, F.col("pos").alias("first")), [*keys, "first"])
 
 
@@ -107,27 +142,29 @@ def cue_hits(words: DataFrame, norm: Column, keys: Sequence[str], cues: Sequence
         *keys, F.col("first").alias("cue_first"), F.col("last").alias("cue_last"))
 
 
-def mark_near_miss(found: DataFrame, keys: Sequence[str], max_words: int = 64) -> DataFrame:
+def mark_near_miss(found: DataFrame, keys: Sequence[str], max_words: int | None = None) -> DataFrame:
     """Hits with ``near_miss``: a whole cue lies from 8 words before to 5 after.
 
     ``found`` holds hits (``cue_id`` -1) and cues in one table (first, last), so
     both come from one pass over the words. Positions are cut into blocks with
-    a halo as wide as the frame; only hits and cues are moved.
+    a halo as wide as the frame; only hits and cues are moved. ``max_words`` is
+    the length of the longest phrase; unless given it is read from ``found``.
     """
     keys = list(keys)
-    reach = CUE_AFTER + max_words
+    reach = CUE_AFTER + (longest(found, F.col("last") - F.col("first") + 1) if max_words is None else max_words)
+    block = max(WORD_BLOCK, reach + CUE_BEFORE)
     w = W.partitionBy(*keys, "_blk").orderBy("first").rangeBetween(-CUE_BEFORE, reach)
     cue = F.when(F.col("cue_id") >= 0, F.struct("first", "last"))
-    framed = halo(found, "first", WORD_BLOCK, CUE_BEFORE, reach).withColumn("_cues", F.collect_list(cue).over(w))
+    framed = halo(found, "first", block, CUE_BEFORE, reach).withColumn("_cues", F.collect_list(cue).over(w))
     inside = F.exists("_cues", lambda c: (c["first"] >= F.col("first") - CUE_BEFORE) & (c["last"] <= F.col("last") + CUE_AFTER))
     return framed.filter("_core AND cue_id < 0").withColumn("near_miss", inside).drop("_cues", "_core", "_blk", "cue_id")
 
 
-def near_miss(hits: DataFrame, cues: DataFrame, keys: Sequence[str]) -> DataFrame:
+def near_miss(hits: DataFrame, cues: DataFrame, keys: Sequence[str], max_words: int | None = None) -> DataFrame:
     """:func:`mark_near_miss` for hits and cues found apart."""
     marked = hits.withColumn("cue_id", F.lit(-1)).unionByName(
         cues.select(*keys, F.col("cue_first").alias("first"), F.col("cue_last").alias("last"), F.lit(0).alias("cue_id")), allowMissingColumns=True)
-    return mark_near_miss(marked, keys)
+    return mark_near_miss(marked, keys, max_words)
 
 
 def split_hits(hits: DataFrame, kind: Column) -> DataFrame:

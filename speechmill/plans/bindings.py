@@ -28,16 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores where its files give fewer tasks than cores.
-
-    A large table has more splits than cores and is left as it is; the small
-    single-file tables here would otherwise keep one core busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def phrase_of(slug: Column) -> Column:
     return rules._lookup(PHRASE_BY_PROJECT, slug)
 
@@ -68,7 +58,7 @@ def tokens(spark: SparkSession, sf_dir: str, by_take: bool = False) -> DataFrame
     """
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", recording_id_of(F.col("doc_id")).alias("recording_id"), F.col("lang").alias("project_slug"), "text")
-    docs = docs.repartition("recording_id") if by_take else spread(docs)
+    docs = docs.repartition("recording_id") if by_take else docs
     keep = ["doc_id", "recording_id", "project_slug"]
     return explode_rows(docs, keep, text.tokens(F.col("text")), "ordinal", "word").withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
@@ -91,7 +81,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; the duration is summed inside the row."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     d = F.col("doc_id")
     toks = text.tokens(F.col("text"))
     spans = F.transform(toks, lambda w, i: _word_ms(w, d, i.cast("bigint")) + _gap_ms(w))

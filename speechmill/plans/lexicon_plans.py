@@ -38,9 +38,8 @@ def content_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, d: str) -> DataFrame:
-    """The first three normal words of each benchmark item as phrases."""
-    return b.table(spark, d, "benchmark").select(
-        F.col("item_id").alias("phrase_id"), F.slice(text.normalized_words(F.col("text")), 1, 3).alias("words"))
+    """The normal words of each benchmark item as a phrase."""
+    return b.table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), text.normalized_words(F.col("text")).alias("words"))
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +53,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 _PHRASE_SQL = """
 ph AS (SELECT item_id AS phrase_id, list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\r\\f]+'),
     lambda x: translate(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
-    lambda x: x <> '')[1:3] AS words FROM benchmark)"""
+    lambda x: x <> '') AS words FROM benchmark)"""
 
 NEAR_SQL = f"""
 {VOCAB_SQL}, {_PHRASE_SQL},
@@ -63,7 +62,8 @@ dw AS MATERIALIZED (SELECT DISTINCT word FROM tg),
 ds AS MATERIALIZED (SELECT dw.word, l.word AS near, l.rank AS near_rank, levenshtein(dw.word, l.word) AS distance
   FROM dw JOIN lex l ON length(l.word) > 2 AND length(l.word) BETWEEN GREATEST(length(dw.word) - 2, 1) AND length(dw.word) + 2
   WHERE levenshtein(dw.word, l.word) BETWEEN 1 AND 4),
-dr AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY word ORDER BY distance, near_rank, near) AS r FROM ds) WHERE r <= 24),
+dr AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY word ORDER BY distance, near_rank, near) AS r FROM ds)
+  WHERE r <= 16 + (SELECT MAX(len(words)) FROM ph)),
 nr AS (SELECT phrase_id, words, word, near, near_rank, distance, ROW_NUMBER() OVER (PARTITION BY phrase_id, word ORDER BY distance, near_rank, near) AS position
   FROM tg JOIN dr USING (word) WHERE NOT list_contains(words, near)),
 nw AS (SELECT * FROM nr WHERE position <= 16)"""
@@ -88,19 +88,26 @@ def near_miss_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def short_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """One to three words of every conversation turn; every fifth one doubled."""
+    """Every conversation turn cut into phrases of one to three words.
+
+    In every fifth conversation each word is a phrase, said twice.
+    """
     w = text.normalized_words(F.col("text"))
-    c = b.table(spark, d, "conversations").select("conv_id", "turn", w.alias("w"))
-    n = (F.col("conv_id") + F.col("turn")) % 3 + 1
-    first = F.get("w", F.lit(0))
-    words = F.when((F.col("conv_id") % 5 == 0) & first.isNotNull(), F.array(first, first)).otherwise(F.slice("w", F.lit(1), n.cast("int")))
-    return c.select("conv_id", "turn", words.alias("words"))
+    c = b.table(spark, d, "conversations").select("conv_id", "turn", w.alias("w")).filter(F.size("w") > 0)
+    n = ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int")
+    twice = F.transform("w", lambda x: F.array(x, x))
+    cut = F.transform(F.sequence(F.lit(0), ((F.size("w") - 1) / n).cast("int")), lambda k: F.slice("w", k * n + 1, n))
+    parts = F.when(F.col("conv_id") % 5 == 0, twice).otherwise(cut)
+    return c.select("conv_id", "turn", F.posexplode(parts).alias("part", "words"))
 
 
 _SHORT_SQL = """
 sw AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\r\\f]+'),
     lambda x: translate(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda x: x <> '') AS w FROM conversations),
-sp AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND len(w) > 0 THEN [w[1], w[1]] ELSE w[1:(conv_id + turn) % 3 + 1] END AS p FROM sw)"""
+sc AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN list_transform(w, lambda x: [x, x])
+    ELSE list_transform(range(0, (len(w) - 1) // ((conv_id + turn) % 3 + 1) + 1), lambda k: w[k * ((conv_id + turn) % 3 + 1) + 1:(k + 1) * ((conv_id + turn) % 3 + 1)]) END AS ps
+  FROM sw WHERE len(w) > 0),
+sp AS (SELECT conv_id, turn, unnest(ps) AS p, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS part FROM sc)"""
 
 
 def _alike(x: str) -> str:
@@ -118,19 +125,19 @@ def sound_alikes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hard_negative_candidates", f"""
 WITH {_SHORT_SQL},
-v AS (SELECT conv_id, turn, p, CASE WHEN len(p) = 1 THEN list_concat({_alike("p[1]")}, [p[1] || ' now', p[1], p[1]])
+v AS (SELECT conv_id, turn, part, p, CASE WHEN len(p) = 1 THEN list_concat({_alike("p[1]")}, [p[1] || ' now', p[1], p[1]])
     ELSE list_concat(list_concat(list_concat([array_to_string(list_transform(p, lambda x: ({_alike("x")})[1]), ' ')],
       flatten(list_transform(p, lambda x, i: list_transform(({_alike("x")})[1:2], lambda r: array_to_string(list_transform(p, lambda y, j: CASE WHEN j = i THEN r ELSE y END), ' '))))),
       [p[1], p[-1]]), list_concat(CASE WHEN len(p) = 2 AND p[1] = p[2] THEN [p[1] || ' ' || ({_alike("p[1]")})[1], ({_alike("p[1]")})[1] || ' ' || p[1], p[1] || ' ' || p[1] || ' ' || p[1]] ELSE [] END,
       [array_to_string(p[2:], ' '), array_to_string(p[1:len(p) - 1], ' ')])) END AS c FROM sp WHERE len(p) > 0),
-u AS (SELECT conv_id, turn, p, unnest(c) AS x, generate_subscripts(c, 1) AS o FROM v),
-k AS (SELECT conv_id, turn, x, MIN(o) AS o FROM u WHERE x <> '' AND NOT contains(' ' || x || ' ', ' ' || array_to_string(p, ' ') || ' ') GROUP BY ALL)
-SELECT conv_id, turn, string_agg(x, '|' ORDER BY o) AS candidates FROM k GROUP BY conv_id, turn""")
+u AS (SELECT conv_id, turn, part, p, unnest(c) AS x, generate_subscripts(c, 1) AS o FROM v),
+k AS (SELECT conv_id, turn, part, x, MIN(o) AS o FROM u WHERE x <> '' AND NOT contains(' ' || x || ' ', ' ' || array_to_string(p, ' ') || ' ') GROUP BY ALL)
+SELECT conv_id, turn, part, string_agg(x, '|' ORDER BY o) AS candidates FROM k GROUP BY conv_id, turn, part""")
 def hard_negative_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Rule-based candidates of every phrase (without the phonetic part)."""
-    p = short_phrases(spark, d).filter(F.size("words") > 0)
-    c = p.select("conv_id", "turn", lx.candidates(F.col("words"), F.lit(None).cast("array<string>")).alias("c")).filter(F.size("c") > 0)
-    return c.select("conv_id", "turn", F.array_join("c", "|").alias("candidates"))
+    p = short_phrases(spark, d)
+    c = p.select("conv_id", "turn", "part", lx.candidates(F.col("words"), F.lit(None).cast("array<string>")).alias("c")).filter(F.size("c") > 0)
+    return c.select("conv_id", "turn", "part", F.array_join("c", "|").alias("candidates"))
 
 
 def _project_keys(spark: SparkSession, d: str) -> DataFrame:

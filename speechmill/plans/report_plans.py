@@ -229,14 +229,14 @@ def even_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Document lines dressed as training-log lines of the document's run."""
+    """Document lines as training-log lines of the document's run: two of three behind a marker."""
     docs = b.table(spark, d, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "[\\r\\n]")).alias("pos", "raw"))
     step = (F.col("doc_id") + F.expr("pos div 3")) % 8
     pct = (F.col("doc_id") * 7 + F.col("pos") * 13) % 140
     line = (
-        F.when(F.col("pos") % 3 == 0, F.concat(F.lit("=== Step "), step.cast("string"), F.lit("/6 ===")))
-        .when(F.col("pos") % 3 == 1, F.concat(F.lit("Augmenting r"), (F.col("pos") % 5).cast("string"), F.lit(": "), pct.cast("string"), F.lit("%|##| "), F.substring("raw", 1, 20)))
+        F.when(F.col("pos") % 3 == 0, F.concat(F.lit("=== Step "), step.cast("string"), F.lit("/6 === "), F.col("raw")))
+        .when(F.col("pos") % 3 == 1, F.concat(F.lit("Augmenting r"), (F.col("pos") % 5).cast("string"), F.lit(": "), pct.cast("string"), F.lit("%|##| "), F.col("raw")))
         .otherwise(F.col("raw"))
     )
     return lines.select("doc_id", F.col("pos").cast("bigint").alias("pos"), line.alias("line"))
@@ -244,8 +244,8 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 
 LOG_SQL = r"""
 ln AS (SELECT doc_id, unnest(string_split_regex(text, '[\r\n]')) AS raw, generate_subscripts(string_split_regex(text, '[\r\n]'), 1) - 1 AS pos FROM documents),
-lg AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE pos % 3 WHEN 0 THEN '=== Step ' || ((doc_id + pos // 3) % 8) || '/6 ==='
-    WHEN 1 THEN 'Augmenting r' || (pos % 5) || ': ' || ((doc_id * 7 + pos * 13) % 140) || '%|##| ' || substr(raw, 1, 20) ELSE raw END AS line FROM ln),
+lg AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE pos % 3 WHEN 0 THEN '=== Step ' || ((doc_id + pos // 3) % 8) || '/6 === ' || raw
+    WHEN 1 THEN 'Augmenting r' || (pos % 5) || ': ' || ((doc_id * 7 + pos * 13) % 140) || '%|##| ' || raw ELSE raw END AS line FROM ln),
 px AS (SELECT doc_id, pos, line,
     CASE WHEN regexp_matches(line, 'Step [^/]*/6') AND TRY_CAST(trim(regexp_extract(line, 'Step (.*?)/6', 1)) AS INT) BETWEEN 1 AND 6
       THEN CAST(trim(regexp_extract(line, 'Step (.*?)/6', 1)) AS INT)

@@ -230,14 +230,19 @@ def take_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("curve_ticks", """
-SELECT doc_id, i * 10.0::DOUBLE AS t_ms, ((doc_id + i) % 100) / 100.0::DOUBLE AS score FROM (
-  SELECT doc_id, unnest(range(0, 1 + doc_id % 30)) AS i FROM v_takes WHERE doc_id % 9 <> 0)""")
+SELECT recording_id, model, page, CAST(t_ms AS DOUBLE) AS t_ms, score FROM (
+  SELECT *, t_ms // 600000 AS page FROM v_ticks) WHERE page % 9 <> 0""")
 def curve_ticks(spark: SparkSession, d: str) -> DataFrame:
-    """Stored JSON curves as ticks; a curve whose JSON is broken yields none."""
+    """Score curves stored as JSON, in pages of ten minutes, and read as ticks.
+
+    A page whose JSON is broken (here every ninth) yields none.
+    """
     from ..sources.curves import curves_to_ticks
 
-    n = F.sequence(F.lit(0).cast("bigint"), F.col("doc_id") % 30)
-    good = F.to_json(F.transform(n, lambda i: i * 10.0))
-    scores = F.to_json(F.transform(n, lambda i: (F.col("doc_id") + i) % 100 / 100.0))
-    stored = b.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.substring(good, 1, 2)).otherwise(good).alias("times_ms"), scores.alias("scores"))
-    return curves_to_ticks(stored, ["doc_id"])
+    keys = ["recording_id", "model", "page"]
+    ticks = b.ticks(spark, d).withColumn("page", F.expr("t_ms div 600000"))
+    pages = ticks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t_ms", "seq", "score"))).alias("_p"))
+    times = F.to_json(F.col("_p.t_ms"))
+    stored = pages.select(*keys, F.when(F.col("page") % 9 == 0, F.regexp_replace(times, "]$", "")).otherwise(times).alias("times_ms"),
+                          F.to_json(F.col("_p.score")).alias("scores"))
+    return curves_to_ticks(stored, keys)

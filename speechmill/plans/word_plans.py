@@ -12,6 +12,7 @@ from . import bindings as b
 from .registry import query
 
 KEY = "recording_id"
+PHRASE_WORDS = max(len(p.split()) for p in b.PHRASE_BY_PROJECT.values())
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -55,18 +56,16 @@ def phrase_ranges(spark: SparkSession, d: str) -> DataFrame:
 @query("many_phrases", """
 WITH p AS (SELECT item_id, list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\r\\f]+'),
     lambda x: translate(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda x: x <> '')[1:3] AS t FROM benchmark)
-SELECT p.item_id, w1.recording_id, w1.ordinal AS first, w1.start_ms, w3.end_ms
-FROM p JOIN v_norm w1 ON w1.norm = p.t[1]
-JOIN v_norm w2 ON w2.doc_id = w1.doc_id AND w2.ordinal = w1.ordinal + 1 AND w2.norm = p.t[2]
-JOIN v_norm w3 ON w3.doc_id = w1.doc_id AND w3.ordinal = w1.ordinal + 2 AND w3.norm = p.t[3]
-WHERE len(p.t) = 3""")
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda x: x <> '') AS t FROM benchmark)
+SELECT p.item_id, w.recording_id, w.ordinal AS first, w.start_ms, e.end_ms
+FROM p JOIN v_norm w ON w.norm = p.t[1]
+JOIN (SELECT doc_id, list(norm ORDER BY ordinal) AS ns FROM v_norm GROUP BY doc_id) d ON d.doc_id = w.doc_id
+JOIN v_norm e ON e.doc_id = w.doc_id AND e.ordinal = w.ordinal + len(p.t) - 1
+WHERE d.ns[w.ordinal + 1:w.ordinal + len(p.t)] = p.t""")
 def many_phrases(spark: SparkSession, d: str) -> DataFrame:
-    phrases = b.table(spark, d, "benchmark").select(
-        "item_id", F.slice(text.normalized_words(F.col("text")), 1, 3).alias("t")).filter(F.size("t") == 3)
-    toks = ww.phrase_tokens(phrases, F.col("t"), ["item_id"])
-    return ww.phrase_ranges(b.words(spark, d), toks, text.norm_edge(F.col("word")), [KEY], ["item_id"]).select(
-        "item_id", KEY, "first", "start_ms", "end_ms")
+    """Every benchmark item, whole, as a phrase."""
+    return ww.rare_phrase_ranges(b.words(spark, d), b.table(spark, d, "benchmark"), text.normalized_words(F.col("text")),
+                                 text.norm_edge(F.col("word")), [KEY], ["item_id"]).select("item_id", KEY, "first", "start_ms", "end_ms")
 
 
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +73,7 @@ def _occurrences(spark: SparkSession, d: str) -> DataFrame:
     toks = ww.phrase_tokens(
         p, F.filter(F.transform(text.tokens(F.col("phrase")), text.norm_alnum), lambda w: w != ""), ["project_slug"])
     hits = ww.phrase_ranges(b.words(spark, d), toks, text.norm_alnum(F.col("word")), [KEY], [], ["project_slug"])
-    return ww.phrase_occurrences(hits, [KEY])
+    return ww.phrase_occurrences(hits, [KEY], ww.longest(toks, F.col("n")))
 
 
 @query("phrase_occurrences", r"""
@@ -125,7 +124,7 @@ WITH {_CUE_SQL}
 SELECT h.recording_id, h.first, (nm.first IS NOT NULL) AS near_miss
 FROM v_hits h LEFT JOIN nm ON nm.doc_id = h.doc_id AND nm.first = h.first""")
 def near_miss_context(spark: SparkSession, d: str) -> DataFrame:
-    return ww.near_miss(_hits(spark, d), _data_cues(spark, d), [KEY]).select(KEY, "first", "near_miss")
+    return ww.near_miss(_hits(spark, d), _data_cues(spark, d), [KEY], PHRASE_WORDS).select(KEY, "first", "near_miss")
 
 
 @query("near_miss_split", f"""
@@ -135,7 +134,7 @@ SELECT h.recording_id, h.first, CASE WHEN t.kind = 'positive' THEN 'positive'
 FROM v_hits h JOIN v_takes t ON t.doc_id = h.doc_id LEFT JOIN nm ON nm.doc_id = h.doc_id AND nm.first = h.first
 WHERE t.kind NOT IN ('negative', 'hard_negative')""")
 def near_miss_split(spark: SparkSession, d: str) -> DataFrame:
-    marked = ww.near_miss(_hits(spark, d), _data_cues(spark, d), [KEY])
+    marked = ww.near_miss(_hits(spark, d), _data_cues(spark, d), [KEY], PHRASE_WORDS)
     kinds = b.takes(spark, d).select(KEY, "kind")
     return ww.split_hits(marked.join(kinds, KEY), F.col("kind")).select(KEY, "first", "role")
 
@@ -256,16 +255,16 @@ def word_timings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("active_word", """
-WITH p AS (SELECT event_id, event_id % 200 AS doc_id, t_ms % 60000 AS at_ms FROM v_ev),
+WITH p AS (SELECT event_id, event_id % (SELECT COUNT(*) FROM documents) AS doc_id, t_ms % 60000 AS at_ms FROM v_ev),
 c AS (SELECT p.*, w.ordinal, w.word, GREATEST(w.start_ms - at_ms, at_ms - w.end_ms, 0) AS dist
   FROM p JOIN v_words w ON w.doc_id = p.doc_id AND w.start_ms <= at_ms + 80 AND w.end_ms >= at_ms - 80)
 SELECT event_id, at_ms, ordinal, word, CAST(dist AS BIGINT) AS distance_ms FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY dist, ordinal) AS rn FROM c) WHERE rn = 1""")
 def active_word(spark: SparkSession, d: str) -> DataFrame:
     e = b._clock(b.table(spark, d, "events"))
-    probes = e.select(F.col("event_id"), (F.col("event_id") % 200).alias("doc_id"), (F.col("t_ms") % 60000).alias("at_ms"))
-    words = b.words(spark, d).filter("doc_id < 200")
-    return ww.active_word(probes, words, "doc_id", ["event_id"]).select(
+    takes = b.table(spark, d, "documents").agg(F.count(F.lit(1))).scalar()
+    probes = e.select(F.col("event_id"), (F.col("event_id") % takes).alias("doc_id"), (F.col("t_ms") % 60000).alias("at_ms"))
+    return ww.active_word(probes, b.words(spark, d), "doc_id", ["event_id"]).select(
         "event_id", "at_ms", "ordinal", "word", F.col("distance_ms").cast("bigint").alias("distance_ms"))
 
 

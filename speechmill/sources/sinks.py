@@ -30,8 +30,10 @@ def append_metadata(records: DataFrame, path: str, keys: list[str]) -> None:
     spark = records.sparkSession
     try:
         stored = spark.read.schema(records.schema).json(path)
-    except AnalysisException:  # first write: the path does not exist
-        stored = records.limit(0)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = records.limit(0)  # first write
     new_rows(stored, records, keys).write.mode("append").json(path)
 
 

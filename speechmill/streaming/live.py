@@ -118,13 +118,13 @@ def ingest(uploads: DataFrame, stored: DataFrame, keys: Sequence[str], name: str
     Late takes are not dropped: the rule is the key, not the time.
     """
     spark = uploads.sparkSession
-    schema = uploads.schema
+    schema = T.StructType([*uploads.schema.fields, T.StructField("_batch", T.LongType())])
 
     def step(batch: DataFrame, batch_id: int, base: str) -> None:
         known = stored.select(*keys)
         if batch_id > 0:
             earlier = spark.read.schema(schema).parquet(f"{base}/out")
-            known = known.unionByName(earlier.filter(F.col("_batch") < batch_id).select(*keys)) if "_batch" in earlier.columns else known
+            known = known.unionByName(earlier.filter(F.col("_batch") < batch_id).select(*keys))
         fresh = new_rows(known, batch, keys).withColumn("_batch", F.lit(batch_id))
         fresh.write.mode("overwrite").parquet(f"{base}/out/_batch={batch_id}")
 
@@ -175,19 +175,26 @@ def hysteresis(ticks: DataFrame, open_at: float, close_below: float, block: int,
     cols = [*keys, "t_ms", "seq", "score"]
     schema = T.StructType([*[ticks.schema[k] for k in keys], T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                            T.StructField("is_open", T.BooleanType())])
+    past = T.StructType([*[ticks.schema[k] for k in keys], T.StructField("_seen", T.LongType())])
 
     def step(batch: DataFrame, batch_id: int, base: str) -> None:
         rows = batch.select(*cols)
+        seen = None
         if batch_id > 0:
             before = spark.read.schema(schema).parquet(f"{base}/out/part={batch_id - 1}")
+            seen = spark.read.schema(past).parquet(f"{base}/seen/part={batch_id - 1}")
             carried = before.filter("is_open").select(*keys, F.col("start").alias("t_ms"), F.lit(-1).cast("bigint").alias("seq"), F.lit(float(open_at)).alias("score"))
-            seen = before.groupBy(*keys).agg(F.max(F.when(~F.col("is_open"), F.col("end")).otherwise(F.col("start"))).alias("_seen"))
             rows = rows.join(seen, keys, "left").filter(F.col("_seen").isNull() | (F.col("t_ms") >= F.col("_seen"))).select(*cols).unionByName(carried)
         state = F.when(F.col("score") >= open_at, True).when(F.col("score") < close_below, False)
         last = rows.groupBy(*keys).agg(F.max("t_ms").alias("_last"))
         found = runs(rows.filter(state.isNotNull()), keys, "t_ms", "seq", block, value=state).filter("value").join(last, keys)
         out = found.select(*keys, F.col("start"), F.coalesce("next_start", "_last").alias("end"), F.col("next_start").isNull().alias("is_open"))
         out.write.mode("overwrite").parquet(f"{base}/out/part={batch_id}")
+        # how far each curve is settled, also for curves that this batch left out
+        now = spark.read.schema(schema).parquet(f"{base}/out/part={batch_id}").select(
+            *keys, F.when(~F.col("is_open"), F.col("end")).otherwise(F.col("start")).alias("_seen"))
+        now = now if seen is None else now.unionByName(seen)
+        now.groupBy(*keys).agg(F.max("_seen").alias("_seen")).write.mode("overwrite").parquet(f"{base}/seen/part={batch_id}")
 
     base = drain_batches(ticks, name, step)
     full = T.StructType([*schema.fields, T.StructField("part", T.LongType())])

@@ -183,3 +183,32 @@ def test_no_shuffle_by_recording_alone(spark):
             keys = line.split("hashpartitioning(")[1].split(")")[0]
             assert "_blk" in keys or "_part" in keys or "_group" in keys or "lo#" in keys, line
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_late_ticks_of_a_settled_curve_open_nothing(spark, tmp_path):
+    """A curve closes, is silent for a batch, and then gets a tick behind its end."""
+    from speechmill.streaming import live
+
+    schema = "recording_id string, model string, t_ms bigint, seq bigint, score double"
+    for n, ticks in enumerate([[("a", 0, 12.0), ("a", 100, 0.0)], [("b", 0, 1.0)], [("a", 50, 12.0), ("a", 60, 0.0), ("b", 10, 12.0)]]):
+        rows = [(r, "m", t, n * 100 + i, s) for i, (r, t, s) in enumerate(ticks)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "*"))
+    got = live.hysteresis(stream, 10, 5, 1000)
+    assert rows_of(got, "recording_id", "start", "end", "is_open") == [("a", 0, 100, False), ("b", 10, 10, True)]
+
+
+def test_hashed_index_numbers_all_rows(spark):
+    from speechmill.operators.ranking import hashed_index
+
+    got = hashed_index(spark.range(500), "id", 4).collect()
+    assert sorted(r["rn"] for r in got) == list(range(500)) and {r["n"] for r in got} == {500}
+
+
+def test_unknown_phones_differ(spark):
+    from pyspark.sql import functions as F
+
+    from speechmill.operators.lexicon import phone_code
+
+    row = spark.range(1).select(phone_code(F.array(F.lit("AA"), F.lit("Q1"), F.lit("Q2"))).alias("c")).first()
+    assert len(row["c"]) == 3 and len(set(row["c"])) == 3

@@ -191,3 +191,32 @@ def test_transcript_offsets(spark):
     raw = spark.createDataFrame([(1, doc)], "id int, response string")
     out = tr.transcript_words(tr.parse_transcripts(raw), ["id"])
     assert rows_of(out, "ordinal", "word", "start_ms", "end_ms") == [(0, "a", 10000, 10300), (1, "b", 10800, 11300), (2, "c", 20100, 20900)]
+
+
+def test_phrases_longer_than_a_block_edge_allows(spark):
+    """70-word phrases that cross the edge of a word block, against a plain walk."""
+    n, edge = 70, ww.WORD_BLOCK
+    starts = [edge - 200, edge - 150, edge - 65, edge - 1, edge + 3, edge + 60, edge + 140]
+    hits = spark.createDataFrame([("r", s, s + n - 1, n, -1) for s in starts], "recording_id string, first bigint, last bigint, n bigint, cue_id int")
+    want, at = [], -1
+    for s in starts:
+        if s >= at:
+            want.append(s)
+            at = s + n
+    assert sorted(r[0] for r in rows_of(ww.phrase_occurrences(hits, [KEY]), "first")) == want
+    cues = [(edge + 3 + n - 1 + d, edge + 3 + n + d) for d in (1, 4)] + [(edge - 210, edge - 209)]
+    found = hits.unionByName(spark.createDataFrame([("r", a, z, 2, 0) for a, z in cues], hits.schema))
+    got = {r["first"]: r["near_miss"] for r in ww.mark_near_miss(found, [KEY]).collect()}
+    assert got == {s: any(a >= s - ww.CUE_BEFORE and z <= s + n - 1 + ww.CUE_AFTER for a, z in cues) for s in starts}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rare_token_search_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    said = [rng.choice(["a", "bb", "the", "ccc", "dddd"]) for _ in range(400)]
+    w = words_frame(spark, [(x, i * 0.3, i * 0.3 + 0.2) for i, x in enumerate(said)])
+    phrases = [(i, said[k: k + m]) for i, (k, m) in enumerate([(0, 1), (5, 2), (50, 6), (120, 40), (390, 10)])] + [(9, ["zz", "a"]), (10, [])]
+    df = spark.createDataFrame(phrases, "item_id int, t array<string>")
+    got = rows_of(ww.rare_phrase_ranges(w, df, F.col("t"), text.norm_edge(F.col("word")), [KEY], ["item_id"]), "item_id", "first", "last")
+    want = sorted((i, k, k + len(t) - 1) for i, t in phrases if t for k in range(len(said)) if said[k: k + len(t)] == t)
+    assert got == want
