@@ -10,6 +10,7 @@ from ..operators import slices as sl
 from ..operators import words as ww
 from . import bindings as b
 from .registry import query
+from .signal_plans import _BURST_SQL, RATE, bursts
 from .word_plans import CHUNKS_SQL, GEOMETRY_SQL
 
 KEY = "recording_id"
@@ -110,8 +111,24 @@ def positive_slices(spark: SparkSession, d: str) -> DataFrame:
         F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"))
 
 
+# Each take's audio is one of the clips, by its number.
+CLIP_SQL = """CAST(r.doc_id % (SELECT MAX(label) + 1 FROM embeddings) AS VARCHAR) || '_'
+      || CAST(r.doc_id // (SELECT MAX(label) + 1 FROM embeddings) % (SELECT MAX(vec_id) // 400 + 1 FROM embeddings) AS VARCHAR)"""
+
+
+def take_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Sound bursts of the energy-cut takes; each take's audio is one of the clips, by its number."""
+    vectors = b.table(spark, d, "embeddings")
+    labels, parts = vectors.agg(F.max("label").cast("bigint") + 1).scalar(), vectors.agg(F.expr("max(vec_id) div 400 + 1")).scalar()
+    takes = routed(spark, d).filter(F.col("strategy").isin("energy_forced", "energy_fallback")).withColumn("labels", labels).select(
+        KEY, F.concat_ws("_", (F.col("doc_id") % F.col("labels")).cast("string"),
+                         (F.expr("doc_id div labels") % parts).cast("string")).alias("take_id"))
+    return takes.join(bursts(b.clips(spark, d), F.lit(RATE)), "take_id").select(
+        KEY, F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"))
+
+
 @query("slice_table", f"""
-WITH RECURSIVE {_ROLES_SQL}, {_NEGATIVE_SQL},
+WITH RECURSIVE {_ROLES_SQL}, {_NEGATIVE_SQL}, {_BURST_SQL},
 span AS (SELECT doc_id, label, vf, vl, cut_start_ms, cut_end_ms FROM role
   UNION ALL SELECT n.doc_id, n.label, n.first, v.vl, n.cut_start_ms, n.cut_end_ms FROM neg n JOIN negvis v ON v.doc_id = n.doc_id AND v.first = n.first),
 {_SPOKEN_SQL}
@@ -120,9 +137,14 @@ UNION ALL
 SELECT {_ID_SQL.format(words="''")}, t.recording_id, t.project_slug, s.label, s.label, '', s.cut_start_ms, s.cut_end_ms, 0.0::DOUBLE, 0, 'background'
 FROM (SELECT doc_id, 'background' AS label, g AS cut_start_ms, LEAST(g + 2000, duration_ms) AS cut_end_ms
   FROM (SELECT doc_id, duration_ms, unnest(range(0, duration_ms, 2000)) AS g FROM r WHERE strategy = 'background' AND duration_ms > 0)
-  WHERE LEAST(g + 2000, duration_ms) - g >= 1000) s JOIN v_takes t ON t.doc_id = s.doc_id""")
+  WHERE LEAST(g + 2000, duration_ms) - g >= 1000) s JOIN v_takes t ON t.doc_id = s.doc_id
+UNION ALL
+SELECT {_ID_SQL.format(words="''")}, t.recording_id, t.project_slug, s.label, s.label, '', s.cut_start_ms, s.cut_end_ms, 0.0::DOUBLE, 0, {_STEM_SQL.format(x="p.phrase")}
+FROM (SELECT r.doc_id, 'positive' AS label, CAST(CASE WHEN end_ms - start_ms > 1500 THEN end_ms - 1500 ELSE start_ms END AS BIGINT) AS cut_start_ms,
+    CAST(end_ms AS BIGINT) AS cut_end_ms FROM r JOIN bursts ON bursts.take_id = {{clip}} WHERE r.strategy IN ('energy_forced', 'energy_fallback')) s
+JOIN v_takes t ON t.doc_id = s.doc_id JOIN v_projects p ON p.slug = t.project_slug""".replace("{clip}", CLIP_SQL))
 def slice_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = sl.slice_table(b.words(spark, d), routed(spark, d), b.phrase_table(spark))
+    rows = sl.slice_table(b.words(spark, d), routed(spark, d), b.phrase_table(spark), take_bursts(spark, d))
     return rows.withColumn("avg_probability", F.round("avg_probability", 6))
 
 
