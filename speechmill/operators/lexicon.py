@@ -84,13 +84,16 @@ def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT,
     Each distinct word is compared once, with the lexicon words of nearly its
     length; how many of the nearest are kept allows for the most words that one
     of its targets excludes, and the targets then drop theirs. Spark broadcasts
-    the lexicon only while it is small.
+    the lexicon only while it is small. Words are few bytes but much work, so
+    they are dealt over the session's shuffle partitions, which adaptive
+    execution would otherwise merge by size.
     """
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lex = lexicon.filter(F.length("word") > 2).select(
         F.col("word").alias("near"), F.col("rank").alias("near_rank"), F.col(code).alias("_nc"), F.length(code).alias("_len"))
     n = F.length("_tc")
     lengths = F.sequence(F.greatest(n - LENGTH_SLACK, F.lit(1)), n + LENGTH_SLACK)
-    each = targets.groupBy("word", F.col(code).alias("_tc")).agg(F.max(F.size("exclude")).alias("_most"))
+    each = targets.groupBy("word", F.col(code).alias("_tc")).agg(F.max(F.size("exclude")).alias("_most")).repartition(tasks, "word")
     pairs = each.select("word", "_tc", "_most", F.explode(lengths).alias("_len")).join(lex, "_len")
     scored = pairs.withColumn("distance", F.levenshtein("_tc", "_nc", MAX_DISTANCE)).filter(F.col("distance").between(1, MAX_DISTANCE))
     order = ["distance", "near_rank", "near"]

@@ -323,11 +323,10 @@ SELECT *, translate(regexp_replace(word, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM v_words""",
     # edge-normalised phrase hits, overlapping (two-word phrases)
     "v_hits": """
-SELECT w1.doc_id, w1.recording_id, w1.project_slug, w1.ordinal AS first, w1.ordinal + 1 AS last,
-  w1.start_ms, w2.end_ms
-FROM v_norm w1 JOIN v_norm w2 ON w2.doc_id = w1.doc_id AND w2.ordinal = w1.ordinal + 1
-JOIN v_projects p ON p.slug = w1.project_slug
-WHERE w1.norm || ' ' || w2.norm = p.phrase""",
+SELECT w.doc_id, w.recording_id, w.project_slug, w.ordinal AS first, w.ordinal + 1 AS last, w.start_ms, w.next_end AS end_ms
+FROM (SELECT *, lead(norm) OVER q AS next_norm, lead(end_ms) OVER q AS next_end FROM v_norm
+  WINDOW q AS (PARTITION BY doc_id ORDER BY ordinal)) w
+JOIN v_projects p ON p.slug = w.project_slug WHERE w.norm || ' ' || w.next_norm = p.phrase""",
     # search bands: end +- 1200 ms, clamped to the midpoints between neighbours
     "v_bands": """
 SELECT *, GREATEST(end_ms - 1200, COALESCE((lag(end_ms) OVER w + end_ms) / 2.0::DOUBLE, end_ms - 1200), 0)::DOUBLE AS lo,
@@ -350,7 +349,8 @@ def oracle(body: str) -> str:
     body = body.strip()
     head = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
     recursive = "RECURSIVE " if head and head.group(1) else ""
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in wanted)
+    once = {"v_words", "v_norm", "v_hits"}
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in once)}({VIEWS[name].strip()})" for name in wanted)
     if head:
         rest = body[head.end():]
         return f"WITH {recursive}{ctes},\n{rest}" if ctes else body

@@ -12,7 +12,7 @@ from .bindings import oracle
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = ["text_plans", "word_plans", "slice_plans", "signal_plans", "report_plans",
-           "table_plans", "score_plans", "lexicon_plans", "stream_plans"]
+           "table_plans", "score_plans", "lexicon_plans", "stream_plans", "source_plans"]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

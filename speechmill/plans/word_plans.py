@@ -90,10 +90,10 @@ def phrase_occurrences(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("target_tails", r"""
-WITH n AS (SELECT *, regexp_replace(lower(word), '[^\p{L}]', '', 'g') AS tok FROM v_words)
-SELECT a.recording_id, a.ordinal AS first, b.end_ms
-FROM n a JOIN n b ON b.doc_id = a.doc_id AND b.ordinal = a.ordinal + 1
-JOIN v_projects p ON p.slug = a.project_slug WHERE a.tok || ' ' || b.tok = p.phrase""")
+WITH n AS MATERIALIZED (SELECT *, regexp_replace(lower(word), '[^\p{L}]', '', 'g') AS tok FROM v_words),
+l AS (SELECT *, lead(tok) OVER q AS next_tok, lead(end_ms) OVER q AS next_end FROM n WINDOW q AS (PARTITION BY doc_id ORDER BY ordinal))
+SELECT recording_id, ordinal AS first, next_end AS end_ms
+FROM l JOIN v_projects p ON p.slug = l.project_slug WHERE tok || ' ' || next_tok = p.phrase""")
 def target_tails(spark: SparkSession, d: str) -> DataFrame:
     p = b.phrase_table(spark).withColumnRenamed("slug", "project_slug")
     toks = ww.phrase_tokens(

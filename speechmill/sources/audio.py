@@ -49,7 +49,12 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
 def read_wavs(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     """All WAV files under ``path``; an unreadable one becomes a row with ``error``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    listed = files.select("path", "length", F.unix_millis("modificationTime").alias("modified_ms"), F.sha2("content", 256).alias("sha256"), "content")
+    return decode_files(files.select("path", "length", F.unix_millis("modificationTime").alias("modified_ms"), "content"))
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """Header fields and samples of files(path, length, modified_ms, content)."""
+    listed = files.select("path", "length", "modified_ms", F.sha2("content", 256).alias("sha256"), "content")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

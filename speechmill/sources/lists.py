@@ -32,7 +32,7 @@ def read_ranked_words(spark: SparkSession, path: str) -> DataFrame:
 def parse_phones(lines: DataFrame) -> DataFrame:
     """``word<TAB>PH ON ES`` lines to word and phones, stress digits stripped.
 
-    Lines without exactly two fields are skipped; the last entry of a word wins.
+    Lines without exactly two fields are skipped; other columns are kept.
     """
     parts = keep_lines(lines).select(F.split("value", "\t").alias("p"), *[c for c in lines.columns if c != "value"])
     good = parts.filter(F.size("p") == 2)
@@ -40,5 +40,13 @@ def parse_phones(lines: DataFrame) -> DataFrame:
     return good.select(F.col("p")[0].alias("word"), phones.alias("phones"), *[c for c in parts.columns if c != "p"])
 
 
+def first_phones(entries: DataFrame, order: str) -> DataFrame:
+    """The first pronunciation of each word, by line position ``order``."""
+    return entries.groupBy("word").agg(F.min_by("phones", order).alias("phones"))
+
+
 def read_phones(spark: SparkSession, path: str) -> DataFrame:
-    return parse_phones(spark.read.text(path)).dropDuplicates(["word"])
+    """The first pronunciation of each word, by file and place in the file."""
+    lines = spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"))
+    return first_phones(parse_phones(lines), "_at")

@@ -15,6 +15,12 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path).withColumn("source_file", F.input_file_name())
 
 
+def parse_manifests(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Manifests that lie in a text column, with the declared schema."""
+    rest = [c for c in texts.columns if c != column]
+    return texts.select(*rest, F.from_json(column, schemas.MANIFEST).alias("_m")).select(*rest, "_m.*")
+
+
 def flatten_takes(manifests: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """All takes of all sections in one table, with their ``section`` and ``position``."""
     parts = []
