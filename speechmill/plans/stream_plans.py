@@ -1,7 +1,8 @@
 """Streams over the given tables, run to the end of the input.
 
 In append mode a window is emitted once the watermark (latest time minus ten
-seconds) has passed its end; the oracle SQL states that as a filter.
+seconds) has passed its end; a closing row ends the input, so that all windows
+are emitted.
 """
 
 from __future__ import annotations
@@ -16,32 +17,42 @@ from .registry import query
 from .score_plans import EVENT_SQL
 
 T = 0.5
-_WM = "(SELECT MAX(t_ms) - 10000 FROM v_ev)"
 
 
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     return b.event_ticks(live.file_stream(spark, d, "events.parquet"))
 
 
+def _to_the_end(spark: SparkSession, d: str, operator, name: str) -> DataFrame:
+    """The operator over all ticks, with the windows still open at the end."""
+    stream = ticks(spark, d)
+    closing = live.Closing(spark, stream.schema)
+
+    def close() -> None:
+        closing.close(recording_id="", model="", t_ms=live.Closing.FAR_MS, seq=0, score=1.0)
+
+    return live.drain(operator(stream.unionByName(closing.rows)), name, close=close).withColumn("peak", F.round("peak", 6))
+
+
 @query("stream_fire_events", f"""
-WITH {EVENT_SQL}, hw AS (SELECT MAX(t_ms) - 10000 AS wm FROM v_ticks WHERE score >= 0.5)
-SELECT recording_id, model, start_ms, end_ms, peak_ms, round(peak, 6) AS peak, n FROM evt, hw WHERE end_ms + 75 <= wm""")
+WITH {EVENT_SQL}
+SELECT recording_id, model, start_ms, end_ms, peak_ms, round(peak, 6) AS peak, n FROM evt""")
 def stream_fire_events(spark: SparkSession, d: str) -> DataFrame:
-    return live.drain(live.fire_events(ticks(spark, d), T, 150), "fire").withColumn("peak", F.round("peak", 6))
+    return _to_the_end(spark, d, lambda t: live.fire_events(t, T, 150), "fire")
 
 
-@query("stream_sliding_peak", f"""
+@query("stream_sliding_peak", """
 WITH w AS (SELECT recording_id, model, unnest(range((t_ms // 10) * 10 - 140, (t_ms // 10) * 10 + 10, 10)) AS start_ms, score FROM v_ticks)
-SELECT recording_id, model, start_ms, round(MAX(score), 6) AS peak FROM w WHERE start_ms + 150 <= {_WM} GROUP BY ALL""")
+SELECT recording_id, model, start_ms, round(MAX(score), 6) AS peak FROM w GROUP BY ALL""")
 def stream_sliding_peak(spark: SparkSession, d: str) -> DataFrame:
-    return live.drain(live.sliding_peak(ticks(spark, d)), "slide").withColumn("peak", F.round("peak", 6))
+    return _to_the_end(spark, d, live.sliding_peak, "slide")
 
 
-@query("stream_background_chunks", f"""
+@query("stream_background_chunks", """
 WITH c AS (SELECT recording_id, model, (t_ms // 2000) * 2000 AS start_ms, score FROM v_ticks)
-SELECT recording_id, model, start_ms, COUNT(*) AS n, round(MAX(score), 6) AS peak FROM c WHERE start_ms + 2000 <= {_WM} GROUP BY ALL""")
+SELECT recording_id, model, start_ms, COUNT(*) AS n, round(MAX(score), 6) AS peak FROM c GROUP BY ALL""")
 def stream_background_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return live.drain(live.background_chunks(ticks(spark, d)), "chunks").withColumn("peak", F.round("peak", 6))
+    return _to_the_end(spark, d, live.background_chunks, "chunks")
 
 
 @query("stream_target_match", """

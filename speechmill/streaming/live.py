@@ -31,13 +31,44 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all available input into a Parquet sink and read it back."""
+class Closing:
+    """Ends a stream: a last row far in the future lets the watermark pass all windows.
+
+    ``rows`` is an empty stream to be united with the data; :func:`drain` writes
+    the last row there after all data is through, and the query, started again
+    from its checkpoint, then emits what was still open. The window of the last
+    row itself stays open and is never emitted.
+    """
+
+    FAR_MS = 253_370_764_800_000  # the start of the year 9999
+
+    def __init__(self, spark: SparkSession, schema: T.StructType):
+        self.spark, self.schema, self.folder = spark, schema, state_dir(spark, "closing")
+        spark.createDataFrame([], schema).write.parquet(f"{self.folder}/part=0")
+        self.rows = spark.readStream.schema(schema).parquet(f"{self.folder}/*")
+
+    def close(self, **last) -> None:
+        rows = self.spark.createDataFrame([tuple(last.get(f.name) for f in self.schema.fields)], self.schema)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/part=1")
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over all available input into a Parquet sink and read it back.
+
+    ``close`` ends the input (see :class:`Closing`); the query then runs once more.
+    """
     spark = stream.sparkSession
     base = state_dir(spark, name)
-    query = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
+                 .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
+
+    run()
+    if close is not None:
+        close()
+        run()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
