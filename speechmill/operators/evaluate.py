@@ -193,9 +193,19 @@ def threshold_sweep(ticks: DataFrame, bands: DataFrame, thresholds: Sequence[flo
 
 def window_sweep(ticks: DataFrame, threshold: float, windows: Sequence[int]) -> DataFrame:
     """Event count and fired time for several pooling windows of one curve."""
-    hot = ticks.filter(F.col("score") >= threshold).select("*", F.explode(F.array(*[F.lit(x) for x in windows])).alias("window_ms"))
-    found = runs(hot, [*KEYS, "window_ms"], "t_ms", "seq", BLOCK, gap=F.col("window_ms"), score="score")
-    return found.groupBy(*KEYS, "window_ms").agg(
+    return sweep_grid(ticks, [threshold], windows).drop("threshold")
+
+
+def sweep_grid(ticks: DataFrame, thresholds: Sequence[float], windows: Sequence[int]) -> DataFrame:
+    """Event count and fired time for every threshold with every pooling window.
+
+    A tick is copied only to the thresholds that it clears.
+    """
+    cleared = F.filter(F.array(*[F.lit(float(x)) for x in thresholds]), lambda t: F.col("score") >= t)
+    hot = ticks.select("*", F.explode(cleared).alias("threshold")).select("*", F.explode(F.array(*[F.lit(x) for x in windows])).alias("window_ms"))
+    keys = [*KEYS, "threshold", "window_ms"]
+    found = runs(hot, keys, "t_ms", "seq", BLOCK, gap=F.col("window_ms"), score="score")
+    return found.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"), F.sum(F.col("end") - F.col("start") + F.col("window_ms")).alias("fired_ms"))
 
 

@@ -14,6 +14,9 @@ STRICT_CATEGORIES = ["positive", "negative", "background"]
 # Wall-clock weight of each training stage.
 STEP_WEIGHTS = [10, 12, 10, 53, 5, 10]
 
+# Counters of a take summary.
+SUMMARY_FIELDS = ["positives", "hard_negatives", "negatives", "dropped_positives", "background"]
+
 ACTIVE = "status = 'active'"
 
 
@@ -127,8 +130,7 @@ def fold_summaries(summaries: DataFrame, by: Sequence[str]) -> DataFrame:
     which could hold a third of all takes.
     """
     return summaries.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("recordings"), F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"),
-        F.sum("background").alias("background"), F.sum(F.size("warnings")).alias("warnings"))
+        F.count(F.lit(1)).alias("recordings"), *[F.sum(c).alias(c) for c in SUMMARY_FIELDS], F.sum(F.size("warnings")).alias("warnings"))
 
 
 def warning_counts(summaries: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -157,8 +157,8 @@ def alignment_view(takes: DataFrame, words: DataFrame, slices: DataFrame, page_m
     take is. Words and cuts are one union, gathered once; nothing is paired.
     """
     page = F.floor(F.col("start_ms") / page_ms).cast("bigint").alias("page")
-    word = F.struct("ordinal", "word", "start_ms", "end_ms").alias("_w")
-    cut = F.struct("start_ms", "end_ms", "slice_id", "category").alias("_c")
+    word = F.struct("ordinal", "word", "start_ms", "end_ms", "prob").alias("_w")
+    cut = F.struct("start_ms", "end_ms", "slice_id", "label", "category").alias("_c")
     items = words.select("recording_id", page, word).unionByName(
         slices.filter("status = 'active'").select("recording_id", page, cut), allowMissingColumns=True)
     pages = items.groupBy("recording_id", "page").agg(

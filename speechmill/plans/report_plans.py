@@ -118,18 +118,33 @@ def run_estimates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("summary_fold", """
 SELECT project_slug, COUNT(*) AS recordings, CAST(SUM(CASE WHEN kind = 'positive' THEN word_count ELSE 0 END) AS BIGINT) AS positives,
+  CAST(SUM(CASE WHEN kind = 'hard_negative' THEN word_count ELSE 0 END) AS BIGINT) AS hard_negatives,
+  CAST(SUM(CASE WHEN kind = 'positive' THEN word_count // 7 ELSE 0 END) AS BIGINT) AS dropped_positives,
   CAST(SUM(CASE WHEN kind = 'negative' THEN word_count ELSE 0 END) AS BIGINT) AS negatives, CAST(SUM(duration_ms // 2000) AS BIGINT) AS background,
   CAST(SUM(CASE WHEN duration_ms > 5000 THEN 1 ELSE 0 END + CASE WHEN word_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS warnings
 FROM v_takes GROUP BY project_slug""")
 def summary_fold(spark: SparkSession, d: str) -> DataFrame:
+    return rp.fold_summaries(summaries(spark, d), ["project_slug"])
+
+
+@query("summary_warnings", """
+SELECT project_slug, warning, COUNT(*) AS n FROM (SELECT project_slug, unnest(list_filter([CASE WHEN duration_ms > 5000 THEN 'long' END,
+  CASE WHEN word_count = 0 THEN 'no words' END], lambda x: x IS NOT NULL)) AS warning FROM v_takes) GROUP BY ALL""")
+def summary_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return rp.warning_counts(summaries(spark, d), ["project_slug"])
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A summary per take: words by kind, windows of 2 s and warning texts."""
     from ..functions import rules
 
     k, zero = F.col("kind"), F.lit(0).cast("bigint")
-    t = b.takes(spark, d).select(
+    return b.takes(spark, d).select(
         "project_slug", F.when(k == "positive", F.col("word_count")).otherwise(zero).alias("positives"),
+        F.when(k == "hard_negative", F.col("word_count")).otherwise(zero).alias("hard_negatives"),
+        F.when(k == "positive", F.expr("word_count div 7")).otherwise(zero).alias("dropped_positives"),
         F.when(k == "negative", F.col("word_count")).otherwise(zero).alias("negatives"), F.expr("duration_ms div 2000").alias("background"),
         rules.reasons((F.col("duration_ms") > 5000, "long"), (F.col("word_count") == 0, "no words")).alias("warnings"))
-    return rp.fold_summaries(t, ["project_slug"])
 
 
 @query("total_positive_input", """

@@ -168,6 +168,17 @@ def window_sweep(spark: SparkSession, d: str) -> DataFrame:
     return ev.window_sweep(b.ticks(spark, d), T, [80, 150, 240, 719])
 
 
+@query("sweep_grid", """
+WITH w AS (SELECT unnest([80, 150, 240, 719]) AS window_ms), th AS (SELECT unnest([0.3, 0.5, 0.7, 0.85])::DOUBLE AS threshold),
+h AS (SELECT t.*, threshold, window_ms, t_ms - lag(t_ms) OVER (PARTITION BY threshold, window_ms, recording_id, model ORDER BY t_ms, seq) AS gap
+  FROM v_ticks t CROSS JOIN w CROSS JOIN th WHERE score >= threshold),
+g AS (SELECT *, SUM(CASE WHEN gap <= window_ms THEN 0 ELSE 1 END) OVER (PARTITION BY threshold, window_ms, recording_id, model ORDER BY t_ms, seq ROWS UNBOUNDED PRECEDING) AS g FROM h),
+e AS (SELECT recording_id, model, threshold, window_ms, MAX(t_ms) - MIN(t_ms) + window_ms AS ms FROM g GROUP BY recording_id, model, threshold, window_ms, g)
+SELECT recording_id, model, threshold, window_ms, COUNT(*) AS events, CAST(SUM(ms) AS BIGINT) AS fired_ms FROM e GROUP BY ALL""")
+def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
+    return ev.sweep_grid(b.ticks(spark, d), [0.3, 0.5, 0.7, 0.85], [80, 150, 240, 719])
+
+
 ACCOUNT_SQL = """
 m AS (SELECT DISTINCT recording_id, model FROM v_ticks),
 p AS (SELECT g.recording_id, m.model, g.target_id, COALESCE(MAX(t.score), 0.0::DOUBLE) AS peak FROM v_targets g JOIN m ON m.recording_id = g.recording_id

@@ -277,18 +277,20 @@ def cut_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("alignment_view", """
-WITH w AS (SELECT recording_id, start_ms // 60000 AS page, COUNT(*) AS words, sha256(string_agg(word, ' ' ORDER BY ordinal)) AS word_text FROM v_words GROUP BY ALL),
-c AS (SELECT recording_id, start_ms // 60000 AS page, string_agg(slice_id, ' ' ORDER BY start_ms) AS cuts FROM v_slices WHERE status = 'active' GROUP BY ALL),
-p AS (SELECT COALESCE(w.recording_id, c.recording_id) AS recording_id, COALESCE(w.page, c.page) AS page, words, word_text, cuts
+WITH w AS (SELECT recording_id, start_ms // 60000 AS page, COUNT(*) AS words, sha256(string_agg(word, ' ' ORDER BY ordinal)) AS word_text,
+  CAST(SUM(CAST(round(prob * 100) AS BIGINT)) AS BIGINT) AS prob_pct FROM v_words GROUP BY ALL),
+c AS (SELECT recording_id, start_ms // 60000 AS page, string_agg(slice_id || ':' || label, ' ' ORDER BY start_ms) AS cuts FROM v_slices WHERE status = 'active' GROUP BY ALL),
+p AS (SELECT COALESCE(w.recording_id, c.recording_id) AS recording_id, COALESCE(w.page, c.page) AS page, words, word_text, prob_pct, cuts
   FROM w FULL JOIN c ON c.recording_id = w.recording_id AND c.page = w.page)
-SELECT t.recording_id, t.kind, p.page, COALESCE(words, 0) AS words, COALESCE(word_text, sha256('')) AS word_text, COALESCE(cuts, '') AS cuts
+SELECT t.recording_id, t.kind, sha256(t.script) AS script, p.page, COALESCE(words, 0) AS words, COALESCE(prob_pct, 0) AS prob_pct, COALESCE(word_text, sha256('')) AS word_text, COALESCE(cuts, '') AS cuts
 FROM v_takes t LEFT JOIN p ON p.recording_id = t.recording_id""")
 def alignment_view(spark: SparkSession, d: str) -> DataFrame:
-    v = sl.alignment_view(b.takes(spark, d).select(KEY, "kind"), b.words(spark, d),
-                          b.slices(spark, d).select(KEY, "slice_id", "start_ms", "end_ms", "category", "status"))
+    v = sl.alignment_view(b.takes(spark, d).select(KEY, "kind", "script"), b.words(spark, d),
+                          b.slices(spark, d).select(KEY, "slice_id", "start_ms", "end_ms", "label", "category", "status"))
     return v.select(
-        KEY, "kind", "page", F.size("words").cast("bigint").alias("words"),
-        F.sha2(F.array_join("words.word", " "), 256).alias("word_text"), F.array_join("cuts.slice_id", " ").alias("cuts"))
+        KEY, "kind", F.sha2("script", 256).alias("script"), "page", F.size("words").cast("bigint").alias("words"),
+        F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + F.round(w["prob"] * 100).cast("bigint")).alias("prob_pct"),
+        F.sha2(F.array_join("words.word", " "), 256).alias("word_text"), F.array_join(F.transform("cuts", lambda c: F.concat_ws(":", c["slice_id"], c["label"])), " ").alias("cuts"))
 
 
 @query("udtf_phrase_hits", "SELECT recording_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM v_hits")
