@@ -38,14 +38,17 @@ def pair_drawn(clips: DataFrame, pool: DataFrame, clip_id: str, pool_id: str, se
                only: Column | None = None) -> DataFrame:
     """Join each clip with one row of ``pool``, drawn by hash; left join.
 
-    The pool gets a dense row number through bucket counts, so the pairing is an
-    equi-join on it: one partner per clip, evenly spread however the ids look.
+    Ids are paired first: the pool's ids get a dense number through bucket
+    counts, so the pairing is an equi-join on it, evenly spread however the ids
+    look. The samples then follow once, and a clip that draws nothing meets no
+    empty key.
     """
-    numbered = hashed_index(pool, pool_id)
+    numbered = hashed_index(pool.select(pool_id), pool_id)
     total = numbered.agg(F.max("n")).scalar()  # scalar subquery, one value
-    drawn = clips.withColumn(
-        "_rn", F.when((only if only is not None else F.lit(True)) & (total > 0), pick(F.col(clip_id), seed, purpose, total)))
-    return drawn.join(numbered.drop("n").withColumnRenamed("rn", "_rn"), "_rn", "left").drop("_rn")
+    wanted = clips.filter(only) if only is not None else clips
+    drawn = wanted.select(clip_id, pick(F.col(clip_id), seed, purpose, total).alias("_rn")).distinct().filter("_rn IS NOT NULL")
+    pairs = drawn.join(numbered.select(F.col("rn").alias("_rn"), pool_id), "_rn").drop("_rn")
+    return clips.join(pairs.join(pool, pool_id), clip_id, "left")
 
 
 def _jitter(key: Column, cfg: CompositeSettings, purpose: str, low_ms: float, high_ms: float) -> Column:
