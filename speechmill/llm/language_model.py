@@ -6,7 +6,7 @@ expectation-maximisation on held-out counts: each training text of every
 `EM_EVERY`-th block is scored with the counts of all other texts, that is, with
 its own counts deleted from the total.
 
-Texts are dealt into blocks by a hash of their id. A block sends its distinct
+Texts are packed into blocks where they are read. A block sends its distinct
 word and bigram hashes, sorted and packed, with its training counts to parts of
 the count table; a part adds them up and answers each block with the totals in
 the order in which the block asked. Only packed arrays move, a frequent word is
@@ -22,13 +22,16 @@ is that of an empty table; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, parts_for, settled, text_of, words_of
+from .common import bytes_of, mixed, settled, slices, text_of, words_of
 
 BLOCK_CHARS = 4_000_000
 #: One block in so many serves the expectation-maximisation.
@@ -101,55 +104,93 @@ def block_keys(texts: list[bytes], trained: np.ndarray):
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+    return (mixed(keys) % np.uint64(parts)).astype(np.int64)
 
 
-def _dealt(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, int]:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    chars = rows.agg(F.sum(F.length("text") + 50)).first()[0] or 0
-    blocks = parts_for(chars, BLOCK_CHARS)
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")), F.lit(blocks)).cast("int")
-    return rows.withColumn("block", block), blocks
+def packed(numbers: np.ndarray) -> bytes:
+    """Integers with their bytes of equal weight side by side: equal high bytes cost little."""
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
 
 
-def count_tables(dealt: DataFrame, blocks: int) -> DataFrame:
-    """(block, part, totals, n_types, n_tokens): the answers of each part to each block."""
-    parts = blocks
-
-    def ask(table: pa.Table) -> pa.Table:
-        texts = bytes_of(table.column("text").combine_chunks())
-        trained = ~np.array(table.column("held_out").to_pylist(), dtype=bool)
-        keys, counts, *_ = block_keys(texts, trained)
-        part = part_of(keys, parts)
-        at = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[at], np.arange(parts + 1))
-        groups = [(p, at[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return pa.table({
-            "part": pa.array([p for p, _ in groups], pa.int32()),
-            "block": pa.array([table.column("block")[0].as_py()] * len(groups), pa.int32()),
-            # bytes of equal weight side by side: sorted keys share their high bytes
-            "keys": pa.array([keys[g].view(np.uint8).reshape(-1, 8).T.tobytes() for _, g in groups], pa.binary()),
-            "counts": pa.array([counts[g].view(np.uint8).reshape(-1, 4).T.tobytes() for _, g in groups], pa.binary())})
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+class Block:
+    """Texts of one block as a row: their ids, fold and sizes, and one compressed string."""
+
+    FIELDS = "block long, n long, ids binary, nulls binary, held_out binary, sizes binary, texts binary"
+    NAMES = [f.split()[0] for f in FIELDS.split(", ")]
+
+    def __init__(self, row: dict):
+        self.ids = pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["nulls"], bool))
+        self.held_out = np.frombuffer(row["held_out"], bool)
+        ends = np.cumsum(np.frombuffer(row["sizes"], np.int64)).tolist()
+        joined = zlib.decompress(row["texts"])
+        self.texts = [joined[a:b] for a, b in zip([0, *ends], ends)]
 
-    end, start = word_key(np.array([END]))[0], word_key(np.array([START]))[0]
+    @staticmethod
+    def row(number: int, held: list[tuple]) -> pa.RecordBatch:
+        ids, folds, texts = zip(*held)
+        values = [number, len(ids), np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids]).tobytes(),
+                  np.array(folds, bool).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), zlib.compress(b"".join(texts), 6)]
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=Block.NAMES)
+
+
+def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per block of about BLOCK_CHARS bytes of text, written once; nothing is shuffled."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
+
+    def pack(batches):
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for part in slices(batches):
+            for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bytes_of(part.column(2)), strict=True):
+                held.append(row)
+                size += len(row[2]) + 50
+                if size >= BLOCK_CHARS:
+                    yield Block.row(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield Block.row(number, held)
+
+    return settled(rows.mapInArrow(pack, Block.FIELDS))
+
+
+def count_tables(blocks: DataFrame, parts: int) -> DataFrame:
+    """(block, part, totals, n_types, n_tokens): the answers of each part to each block."""
+    def ask(batches):
+        for batch in slices(batches, 1):
+            block = Block({n: batch.column(n)[0].as_py() for n in Block.NAMES})
+            keys, counts, *_ = block_keys(block.texts, ~block.held_out)
+            part = part_of(keys, parts)
+            at = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[at], np.arange(parts + 1))
+            groups = [(p, at[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p for p, _ in groups], pa.int32()), pa.array([batch.column("block")[0].as_py()] * len(groups), pa.int64()),
+                # 48 bits tell the keys of one part apart, whose number is bounded
+                pa.array([packed(keys[g] >> np.uint64(16)) for _, g in groups], pa.binary()),
+                pa.array([packed(counts[g]) for _, g in groups], pa.binary())], names=["part", "block", "keys", "counts"])
+
+    start = word_key(np.array([START]))[0] >> np.uint64(16)
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(k, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel() for k in table.column("keys").to_pylist()]
-        given = [np.frombuffer(c, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for c in table.column("counts").to_pylist()]
+        asked = [unpacked(k, np.uint64) for k in table.column("keys").to_pylist()]
+        given = [unpacked(c, np.uint32) for c in table.column("counts").to_pylist()]
         every, where = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(where, weights=np.concatenate(given)).astype(np.int64)
-        words = (every >> np.uint64(63) == 0) & (every != start)
+        words = (every >> np.uint64(47) == 0) & (every != start)
         ends = np.cumsum([len(a) for a in asked])
         n = len(asked)
-        totals = [total[where[e - len(a): e]].view(np.uint8).reshape(-1, 8).T.tobytes() for a, e in zip(asked, ends)]
+        totals = [packed(total[where[e - len(a): e]]) for a, e in zip(asked, ends)]
         first = [True] + [False] * (n - 1)
         return pa.table({
-            "block": table.column("block").cast(pa.int32()), "part": table.column("part").cast(pa.int32()), "totals": pa.array(totals, pa.binary()),
+            "block": table.column("block").cast(pa.int64()), "part": table.column("part").cast(pa.int32()), "totals": pa.array(totals, pa.binary()),
             "n_types": pa.array([int((total[words] > 0).sum()) * f for f in first], pa.int64()),
             "n_tokens": pa.array([int(total[words].sum()) * f for f in first], pa.int64())})
 
-    asked = dealt.select("block", "held_out", "text").groupBy("block").applyInArrow(ask, "part int, block int, keys binary, counts binary")
-    return settled(asked.groupBy("part").applyInArrow(answer, "block int, part int, totals binary, n_types long, n_tokens long"))
+    asked = blocks.mapInArrow(ask, "part int, block long, keys binary, counts binary")
+    return settled(asked.groupBy("part").applyInArrow(answer, "block long, part int, totals binary, n_types long, n_tokens long"))
 
 
 def estimates(texts: list[bytes], trained: np.ndarray, parts: int, answers: dict[int, bytes], deleted: bool):
@@ -164,7 +205,7 @@ def estimates(texts: list[bytes], trained: np.ndarray, parts: int, answers: dict
     cuts = np.searchsorted(part[at], np.arange(parts + 1))
     for p, (a, e) in enumerate(zip(cuts, cuts[1:])):
         if e > a:
-            total[at[a:e]] = np.frombuffer(answers[p], np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+            total[at[a:e]] = unpacked(answers[p], np.int64)
     if not deleted:
         return total[b], total[v], total[w], sizes
     text = np.repeat(np.arange(len(texts)) * len(keys), sizes)
@@ -215,22 +256,23 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, uniform: float, rounds:
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    dealt, blocks = _dealt(docs, text_col, id_col)
-    answers = count_tables(dealt, blocks)
+    blocks = text_blocks(docs, id_col, text_col)
+    size, lowest = blocks.agg(F.count("*"), F.min("block")).first()
+    parts = max(1, size)
+    answers = count_tables(blocks, parts)
     n_types, n_tokens = (int(x or 0) for x in answers.agg(F.sum("n_types"), F.sum("n_tokens")).first())
-    uniform, parts = 1.0 / (n_types + 1), blocks
+    uniform = 1.0 / (n_types + 1)
 
     def unpack(left: pa.Table, right: pa.Table, deleted: bool):
-        texts = bytes_of(left.column("text").combine_chunks())
-        trained = ~np.array(left.column("held_out").to_pylist(), dtype=bool)
+        block = Block(left.to_pylist()[0])
         got = dict(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))
-        return (trained, *estimates(texts, trained, parts, got, deleted))
+        return (block, *estimates(block.texts, ~block.held_out, parts, got, deleted))
 
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if left.num_rows:
-            trained, pair, context, word, sizes = unpack(left, right, True)
-            use = np.repeat(trained, sizes)
+            block, pair, context, word, sizes = unpack(left, right, True)
+            use = np.repeat(~block.held_out, sizes)
             pair, context, word = pair[use], context[use], word[use]
             others = np.maximum(n_tokens - np.repeat(sizes, sizes)[use], 1)
             cell = (bucket_of(context) * LEVELS + _level(pair / np.maximum(context, 1))) * LEVELS + _level(word / others)
@@ -238,10 +280,9 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(counts, pa.int64())})
 
     def both(mask):
-        left = dealt.filter(mask).select("block", "doc_id", "held_out", "text").groupBy("block")
-        return left.cogroup(answers.filter(mask).select("block", "part", "totals").groupBy("block"))
+        return blocks.filter(mask).groupBy("block").cogroup(answers.filter(mask).select("block", "part", "totals").groupBy("block"))
 
-    histogram = (both(F.col("block") % EM_EVERY == 0).applyInArrow(tally, "cell long, n long")
+    histogram = (both(F.pmod(F.xxhash64("block"), F.lit(EM_EVERY)) == F.pmod(F.xxhash64(F.lit(lowest or 0).cast("long")), F.lit(EM_EVERY))).applyInArrow(tally, "cell long, n long")
                  .groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect())
     weights = learn_weights(np.array([r["cell"] for r in histogram], dtype=np.int64), np.array([r["n"] for r in histogram], dtype=np.float64), uniform)
 
@@ -250,14 +291,14 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         if not left.num_rows:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
-        _, pair, context, word, sizes = unpack(left, right, False)
+        block, pair, context, word, sizes = unpack(left, right, False)
         weight = weights[bucket_of(context)]
         p = weight[:, 0] * (pair / np.maximum(context, 1)) + weight[:, 1] * (word / max(n_tokens, 1)) + weight[:, 2] * uniform
         starts = np.cumsum(sizes) - sizes
         base = np.log10((word + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-        columns = (left.column("doc_id"), left.column("held_out"), sizes, np.add.reduceat((word > 0).astype(np.int64), starts),
+        columns = (block.ids, block.held_out, sizes, np.add.reduceat((word > 0).astype(np.int64), starts),
                    np.full(len(sizes), n_tokens), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts))
-        return pa.table({n: c.cast(k) if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for n, k, c in zip(names, kinds, columns)})
+        return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, k) for n, k, c in zip(names, kinds, columns)})
 
     return both(F.lit(True)).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
