@@ -22,7 +22,7 @@ from .report_plans import _SYNTH_SQL, category_counts, label_counts, synthetic
 RATE = 16_000
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _as_wav(samples: pd.Series) -> pd.Series:
     return pd.Series([audio.encode_wav(np.clip(np.asarray(s), -32768, 32767), RATE) for s in samples])
 

@@ -34,3 +34,12 @@ def test_query(spark, con, name):
     rel = con.sql(sql)
     assert types_of(df, rel) == ""
     assert compare(got, rel.df()) == "ok"
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=entry.__file__.rpartition("/")[0])
+    assert out.returncode == 0 and int(out.stdout.split()[-2]) == len(NAMES)
