@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import add_columns, bytes_of, mixed, slices
+from .common import bytes_of, mixed, slices
 from .pieces import DEFAULT_MODEL, Layout, Vocabulary, model_bytes, units_of
 
 #: Lattice edges that a task remembers before it starts anew (memory only).
