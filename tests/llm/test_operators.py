@@ -146,7 +146,9 @@ def test_jaccard_odd_rows(odd, odd_rows, none):
     assert jaccard_join.jaccard_report(none).count() == 0
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("task_edges", [7, 500_000])
+def test_components_of_a_chain(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in rows(components.components(spark.createDataFrame(edges, "u long, v long")))}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
@@ -161,7 +163,7 @@ def test_machine_learns_a_pair_that_weights_miss():
     found = [np.flatnonzero(b).astype(np.uint32) for b in bits]
     found = [np.append(f, 2).astype(np.uint32) for f in found]
     labels = (bits[:, 0] == bits[:, 1]).astype(float)
-    model = toxicity.fit_machine(found, labels, min_z=0.0, steps=1500)
+    model = toxicity.fit_machine(found, labels, min_z=-1000.0, steps=1500)
     p = model.score_rows([np.searchsorted(model.slots, f) for f in found])
     assert ((p > 0.5) == labels).mean() > 0.95
 
