@@ -57,15 +57,21 @@ class FactorModel:
 
 
 def select_terms(rows: list[np.ndarray], labels: np.ndarray, min_rows: int, min_z: float, max_terms: int) -> np.ndarray:
-    """Slots whose share of positive rows lies min_z standard errors off the base rate."""
-    every, counts = np.unique(np.concatenate(rows), return_counts=True)
-    positive = [r for r, y in zip(rows, labels, strict=True) if y]
-    hit, hits = np.unique(np.concatenate(positive), return_counts=True)
-    pos = np.zeros(len(every))
-    pos[np.searchsorted(every, hit)] = hits
+    """Slots whose share of positive rows lies min_z standard errors over the base rate.
+
+    Only slots of at least two positive rows are looked at, so that no table of
+    all slots of the sample is built.
+    """
+    every, hits = np.unique(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), return_counts=True)
+    every, hits = every[hits > 1], hits[hits > 1]
+    counts = np.zeros(len(every), dtype=np.int64)
+    for r in rows:
+        at = np.searchsorted(every, r)
+        at = at[at < len(every)]
+        counts[at[every[at] == r[: len(at)]]] += 1  # rows are sorted: those beyond the last slot come last
     base = labels.mean()
-    z = np.abs(pos - counts * base) / np.sqrt(np.maximum(counts * base * (1 - base), 1e-9))
-    z[counts < min_rows] = 0
+    z = (hits - counts * base) / np.sqrt(np.maximum(counts * base * (1 - base), 1e-9))
+    z[counts < min_rows] = -1
     best = np.lexsort((every, -z))[:max_terms]
     return np.sort(every[best[z[best] >= min_z]])
 
