@@ -47,7 +47,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents hold is one hash whose side of the join Spark may split.
     """
     keys = line_keys(docs, id_col, text_col, min_chars)
-    dropped = (keys.join(frequent_lines(keys, min_docs), ["_h0", "_h1"]).filter("_id < _keeper")
+    # Computed anew, the hashes don't count as dealt out already: the join has a
+    # shuffle of its own on either side, and Spark can split that of a hot line.
+    again = [F.col(h).bitwiseOR(F.lit(0).cast("long")).alias(h) for h in ("_h0", "_h1")]
+    frequent = frequent_lines(keys, min_docs).select(*again, "_keeper")
+    dropped = (keys.join(frequent, ["_h0", "_h1"]).filter("_id < _keeper")
                .groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_dropped")))
     columns = [F.col(f"_d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     met = docs.alias("_d").join(
