@@ -45,6 +45,9 @@ SOUND_ALIKES = {
 PHONES = ("AA AE AH AO AW AY B CH D DH EH ER EY F G HH IH IY JH K L M N NG OW OY P R S SH T TH UH UW V W Y Z ZH").split()
 
 
+Uniform = Callable[[Column, str], Column]
+
+
 def frequency_lexicon(tokens: DataFrame, word: Column, size: int = PROMPT_WORDS) -> DataFrame:
     """The ``size`` most frequent plain words with their rank (from 1).
 
@@ -107,14 +110,17 @@ def _replace_at(words: Column, index: Column, value: Column) -> Column:
     return F.transform(words, lambda w, i: F.when(i == index, value).otherwise(w))
 
 
-def near_miss_phrases(phrases: DataFrame, near: DataFrame, per_word: int = NEAR_PER_WORD, limit: int = 10) -> DataFrame:
+def near_miss_phrases(phrases: DataFrame, near: DataFrame, uniform: Uniform, per_word: int = NEAR_PER_WORD, limit: int = 10) -> DataFrame:
     """Phrases with one word replaced by a near word: phrase_id and ``variant``.
 
-    ``phrases(phrase_id, words)``; ``near`` from :func:`near_words`. A one-word
-    phrase also gets near words with a filler word appended.
+    ``phrases(phrase_id, words)``; ``near`` from :func:`near_words`, of which
+    ``per_word`` are drawn for each word. A one-word phrase also gets near words
+    with a filler word appended.
     """
     each = phrases.select("phrase_id", "words", F.array_distinct("words").alias("exclude"), F.posexplode("words").alias("at", "word"))
-    picked = each.join(near.filter(F.col("position") <= per_word), ["word", "exclude"])
+    chance = uniform(F.col("phrase_id") * 1_000_003 + F.col("at") * 100 + F.col("position"), "near")
+    drawn = F.row_number().over(W.partitionBy("phrase_id", "at").orderBy(chance, "position"))
+    picked = each.join(near, ["word", "exclude"]).withColumn("position", drawn).filter(F.col("position") <= per_word)
     replaced = picked.select("phrase_id", "words", "at", "position",
                              F.array_join(_replace_at(F.col("words"), F.col("at"), F.col("near")), " ").alias("variant"), F.lit(0).alias("part"))
     appended = picked.filter(F.size("words") == 1).select(
@@ -172,23 +178,33 @@ def _candidates(words: Column, phonetic: Column) -> Column:
     return F.array_distinct(kept)
 
 
-Uniform = Callable[[Column, str], Column]
-
-
-def weighted_words(projects: DataFrame, lexicon: DataFrame, count: int, size: int, uniform: Uniform) -> DataFrame:
-    """Frequency-weighted word stream per project: rank = n * u^2.
+def weighted_words(projects: DataFrame, lexicon: DataFrame, count: int, uniform: Uniform) -> DataFrame:
+    """Frequency-weighted stream of ``count`` words per project: rank = n * u^2.
 
-    ``projects(slug, key, words)``; ``uniform(key, purpose)`` draws in [0, 1).
-    Words of the phrase and repeats within 48 draws drop out. (The source
-    compares with the 48 last accepted words; here with the 48 last draws,
-    which differ only around rejected words.)
+    ``projects(slug, key, words)``; ``lexicon`` is the ranked list, of bounded
+    size; ``uniform(key, purpose)`` draws in [0, 1). Words of the phrase and of
+    the last 48 accepted ones are drawn again, up to a fixed number of draws.
+    The stream of a project is one fold over its draws, of bounded length.
     """
-    draws = projects.select("slug", "key", "words", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
-    u = uniform(F.col("key") * 1_000_003 + F.col("i"), "word")
-    picked = draws.withColumn("rank", F.least(F.floor(F.lit(size) * u * u), F.lit(size - 1)).cast("bigint") + 1)
-    named = picked.join(lexicon.select("rank", "word"), "rank").filter((F.length("word") >= 2) & ~F.array_contains("words", F.col("word")))
-    last = F.lag("i").over(W.partitionBy("slug", "word").orderBy("i"))
-    return named.withColumn("_gap", F.col("i") - last).filter(F.col("_gap").isNull() | (F.col("_gap") > min(RECENT_WINDOW, size // 2))).select("slug", "i", "word")
+    ranked = lexicon.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("w")).scalar()
+    n = F.size("_lex")
+    window = F.least(F.lit(RECENT_WINDOW), (n / 2).cast("int"))
+    none = F.array().cast("array<string>")
+
+    def accept(out: Column, i: Column) -> Column:
+        u = uniform(F.col("key") * 1_000_003 + i, "word")
+        return let(F.get("_lex", F.least(F.floor(n * u * u), n - 1).cast("int")), lambda word: F.when(
+            (F.length(word) >= 2) & ~F.array_contains("words", word)
+            & ~F.array_contains(F.slice(out, F.greatest(F.size(out) - window, F.lit(0)) + 1, window), word), F.array_append(out, word)).otherwise(out))
+
+    def drawn(out: Column, first: int, last: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(first), F.lit(last)), out, lambda out, i: F.when(F.size(out) >= count, out).otherwise(accept(out, i)))
+
+    # nearly all streams are full after a few draws for each word; only the others go on
+    stream = let(drawn(none, 0, count * 4 - 1), lambda out: F.when(F.size(out) >= count, out).otherwise(drawn(out, count * 4, count * 40 + 63)))
+    stream = F.when(n > 0, stream).otherwise(none)
+    filled = projects.withColumn("_lex", ranked).select("slug", stream.alias("_out"))
+    return filled.select("slug", F.posexplode("_out").alias("i", "word"))
 
 
 def synthesis_plan(projects: DataFrame, count: int, voices: Sequence[str], carriers: Sequence[str], uniform: Uniform,

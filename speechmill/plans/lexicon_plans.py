@@ -69,6 +69,10 @@ nr AS (SELECT phrase_id, words, word, near, near_rank, distance, ROW_NUMBER() OV
 nw AS (SELECT * FROM nr WHERE position <= 16)"""
 
 
+def _u(key: str, purpose: int) -> str:
+    return f"((({key}) * 7919 + {purpose} * 104729) % 1000003 / 1000003.0::DOUBLE)"
+
+
 @query("near_words", f"""
 WITH {NEAR_SQL}
 SELECT DISTINCT word, array_to_string(list_sort(list_distinct(words)), ' ') AS exclude, near, near_rank, CAST(distance AS INTEGER) AS distance, CAST(position AS INTEGER) AS position FROM nw""")
@@ -79,12 +83,15 @@ def near_words(spark: SparkSession, d: str) -> DataFrame:
 @query("near_miss_phrases", f"""
 WITH {NEAR_SQL},
 ea AS (SELECT phrase_id, words, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS wi FROM ph),
-rp AS (SELECT e.phrase_id, e.words, e.wi, n.position AS np, array_to_string(list_transform(e.words, lambda w, i: CASE WHEN i - 1 = e.wi THEN n.near ELSE w END), ' ') AS variant
-  FROM ea e JOIN nw n ON n.phrase_id = e.phrase_id AND n.word = e.word WHERE n.position <= 4),
+nd AS (SELECT e.phrase_id, e.words, e.wi, n.near, ROW_NUMBER() OVER (PARTITION BY e.phrase_id, e.wi
+    ORDER BY {_u("e.phrase_id * 1000003 + e.wi * 100 + n.position", 5)}, n.position) AS np
+  FROM ea e JOIN nw n ON n.phrase_id = e.phrase_id AND n.word = e.word),
+rp AS (SELECT e.phrase_id, e.words, e.wi, np, array_to_string(list_transform(e.words, lambda w, i: CASE WHEN i - 1 = e.wi THEN e.near ELSE w END), ' ') AS variant
+  FROM nd e WHERE np <= 4),
 fi AS (SELECT phrase_id, variant, MIN((wi, np)) AS o FROM rp WHERE variant <> array_to_string(words, ' ') GROUP BY ALL)
 SELECT * FROM (SELECT phrase_id, variant, CAST(ROW_NUMBER() OVER (PARTITION BY phrase_id ORDER BY o, variant) AS INTEGER) AS position FROM fi) WHERE position <= 10""")
 def near_miss_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return lx.near_miss_phrases(phrases(spark, d), _near(spark, d))
+    return lx.near_miss_phrases(phrases(spark, d), _near(spark, d), arithmetic_uniform)
 
 
 def short_phrases(spark: SparkSession, d: str) -> DataFrame:
@@ -145,19 +152,21 @@ def _project_keys(spark: SparkSession, d: str) -> DataFrame:
     return phrases(spark, d).select(F.col("phrase_id").alias("slug"), F.col("phrase_id").alias("key"), "words", F.array_join("words", " ").alias("phrase"))
 
 
-def _u(key: str, purpose: int) -> str:
-    return f"((({key}) * 7919 + {purpose} * 104729) % 1000003 / 1000003.0::DOUBLE)"
-
-
 @query("weighted_words", f"""
-WITH {VOCAB_SQL}, {_PHRASE_SQL},
-dr AS (SELECT phrase_id AS slug, words, CAST(i AS INTEGER) AS i, CAST(LEAST(floor(2000 * {_u("phrase_id * 1000003 + i", 1)} * {_u("phrase_id * 1000003 + i", 1)}), 1999) AS BIGINT) + 1 AS rank
-  FROM (SELECT *, unnest(range(0, 300)) AS i FROM ph)),
-nm AS (SELECT d.slug, d.i, l.word FROM dr d JOIN lex l ON l.rank = d.rank WHERE length(l.word) >= 2 AND NOT list_contains(words, l.word)),
-lg AS (SELECT *, i - lag(i) OVER (PARTITION BY slug, word ORDER BY i) AS gap FROM nm)
-SELECT slug, i, word FROM lg WHERE gap IS NULL OR gap > 48""")
+WITH RECURSIVE {VOCAB_SQL}, {_PHRASE_SQL},
+n AS (SELECT LEAST(COUNT(*), 2000) AS n FROM lex),
+dr AS MATERIALIZED (SELECT slug, i, l.word FROM (
+    SELECT phrase_id AS slug, i, CAST(LEAST(floor(n * {_u("phrase_id * 1000003 + i", 1)} * {_u("phrase_id * 1000003 + i", 1)}), n - 1) AS BIGINT) + 1 AS rank
+    FROM (SELECT *, unnest(range(0, 12064)) AS i FROM ph), n) d JOIN lex l ON l.rank = d.rank),
+st(slug, words, i, acc) AS (
+  SELECT phrase_id, words, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM ph
+  UNION ALL SELECT st.slug, st.words, st.i + 1, CASE WHEN length(d.word) >= 2 AND NOT list_contains(st.words, d.word)
+      AND NOT list_contains(acc[-(LEAST(48, n // 2)):], d.word) THEN list_append(acc, d.word) ELSE acc END
+    FROM st JOIN dr d ON d.slug = st.slug AND d.i = st.i, n WHERE len(acc) < 300),
+fi AS (SELECT slug, arg_max(acc, i) AS acc FROM st GROUP BY slug)
+SELECT slug, CAST(generate_subscripts(acc, 1) - 1 AS INTEGER) AS i, unnest(acc) AS word FROM fi""")
 def weighted_words(spark: SparkSession, d: str) -> DataFrame:
-    return lx.weighted_words(_project_keys(spark, d), vocab(spark, d, 2000), 300, 2000, arithmetic_uniform)
+    return lx.weighted_words(_project_keys(spark, d), vocab(spark, d, 2000), 300, arithmetic_uniform)
 
 
 @query("synth_plan", f"""
