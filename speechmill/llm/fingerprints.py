@@ -120,10 +120,10 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     # the block below, first inside a group of blocks, then from the group below, then around
     tops = groups.groupBy("many").agg(F.max("block").alias("top"))
     below = tops.withColumn("under", F.lag("top").over(W.orderBy("many")))
-    around = tops.agg(F.max("top").alias("around"))
+    around = tops.agg(F.max("top")).scalar()  # one value
     near = groups.withColumn("lower", F.lag("block").over(W.partitionBy("many").orderBy("block")))
-    next_block = near.join(below.select("many", "under"), "many").crossJoin(F.broadcast(around)).select(
-        F.col("block").alias("asks"), F.coalesce("lower", "under", "around").alias("block"))
+    next_block = near.join(below.select("many", "under"), "many").select(
+        F.col("block").alias("asks"), F.coalesce(F.col("lower"), F.col("under"), around).alias("block"))
     halo = heads.join(next_block, "block").select(
         F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), F.col("asks").alias("block"), F.lit(True).alias("halo"))
     return rows.withColumn("halo", F.lit(False)).unionByName(halo).select("block", "halo", "doc_id", "text")
