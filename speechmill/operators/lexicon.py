@@ -81,12 +81,14 @@ def phone_code(phones: Column) -> Column:
         F.array_contains(known, p), F.chr(F.array_position(known, p) + 64)).otherwise(other(p))), "")
 
 
-def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT, code: str = "code") -> DataFrame:
+def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT, code: str = "code", most: int | None = None) -> DataFrame:
     """Nearest lexicon words of each target (word, code, exclude): distance 1..4, ranked.
 
-    Each distinct word is compared once, with the lexicon words of nearly its
-    length; how many of the nearest are kept allows for the most words that one
-    of its targets excludes, and the targets then drop theirs. Spark broadcasts
+    Each distinct word is compared with the lexicon words of nearly its length;
+    how many of the nearest are kept allows for the most words that a target
+    excludes (``most``, else read from the targets), and the targets then drop
+    theirs. The largest distance holds most words and is rarely needed, so only
+    words with too few nearer ones are compared up to it. Spark broadcasts
     the lexicon only while it is small. Words are few bytes but much work, so
     they are dealt over the session's shuffle partitions, which adaptive
     execution would otherwise merge by size.
@@ -96,12 +98,19 @@ def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT,
         F.col("word").alias("near"), F.col("rank").alias("near_rank"), F.col(code).alias("_nc"), F.length(code).alias("_len"))
     n = F.length("_tc")
     lengths = F.sequence(F.greatest(n - LENGTH_SLACK, F.lit(1)), n + LENGTH_SLACK)
-    each = targets.groupBy("word", F.col(code).alias("_tc")).agg(F.max(F.size("exclude")).alias("_most")).repartition(tasks, "word")
-    pairs = each.select("word", "_tc", "_most", F.explode(lengths).alias("_len")).join(lex, "_len")
-    scored = pairs.withColumn("distance", F.levenshtein("_tc", "_nc", MAX_DISTANCE)).filter(F.col("distance").between(1, MAX_DISTANCE))
+    each = targets.select("word", F.col(code).alias("_tc")).distinct().repartition(tasks, "word")
+    pairs = each.select("word", "_tc", F.explode(lengths).alias("_len")).join(lex, "_len")
     order = ["distance", "near_rank", "near"]
-    nearest = scored.withColumn("_r", F.row_number().over(W.partitionBy("word").orderBy(*order))).filter(F.col("_r") <= limit + F.col("_most"))
-    allowed = targets.select("word", "exclude").distinct().join(nearest.select("word", *order), "word").filter(~F.array_contains("exclude", F.col("near")))
+    kept = limit + (int(targets.agg(F.max(F.size("exclude"))).first()[0] or 0) if most is None else most)
+
+    def nearest_up_to(rows: DataFrame, far: int) -> DataFrame:
+        scored = rows.withColumn("distance", F.levenshtein("_tc", "_nc", far)).filter(F.col("distance").between(1, far))
+        return scored.withColumn("_r", F.row_number().over(W.partitionBy("word").orderBy(*order))).filter(F.col("_r") <= kept).select("word", *order)
+
+    near = nearest_up_to(pairs, MAX_DISTANCE - 1)
+    full = near.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == kept).select("word")
+    nearest = near.join(full, "word", "left_semi").unionByName(nearest_up_to(pairs.join(full, "word", "left_anti"), MAX_DISTANCE))
+    allowed = targets.select("word", "exclude").distinct().join(nearest, "word").filter(~F.array_contains("exclude", F.col("near")))
     return allowed.withColumn("position", F.row_number().over(W.partitionBy("word", "exclude").orderBy(*order))).filter(
         F.col("position") <= limit).select("word", "exclude", "near", "near_rank", "distance", "position")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.draws import arithmetic_uniform
 from ..operators import lexicon as lx
+from ..operators.words import longest
 from . import bindings as b
 from .registry import query
 
@@ -47,7 +48,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
     words = phrases(spark, d).select(F.explode("words").alias("word"), F.array_distinct("words").alias("exclude")).distinct()
     lex = vocab(spark, d).withColumn("code", F.col("word"))
     targets = words.join(lex.select("word", "code"), "word")
-    return lx.near_words(targets, lex)
+    return lx.near_words(targets, lex, most=longest(phrases(spark, d), F.size("words")))
 
 
 _PHRASE_SQL = """

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..operators import lexicon as lx
 from ..operators import pool as pl
 from ..operators import tables as tb
+from ..operators.words import longest
 from ..sources import audio, lists, manifests, sinks
 from . import bindings as b
 from .lexicon_plans import _PHRASE_SQL as PHRASE_SQL
@@ -159,5 +160,5 @@ def near_phones(spark: SparkSession, d: str) -> DataFrame:
     first = lists.first_phones(lists.parse_phones(spelt(spark, d)), "pos").withColumn("code", lx.phone_code(F.col("phones")))
     lexicon = vocab(spark, d).join(first.select("word", "code"), "word")
     words = phrases(spark, d).select(F.explode("words").alias("word"), F.col("words").alias("exclude")).distinct()
-    near = lx.near_words(words.join(lexicon.select("word", "code"), "word"), lexicon)
+    near = lx.near_words(words.join(lexicon.select("word", "code"), "word"), lexicon, most=longest(phrases(spark, d), F.size("words")))
     return near.select("word", F.md5(F.array_join("exclude", " ")).alias("phrase"), "near", "near_rank", "distance", "position")
