@@ -146,6 +146,32 @@ def test_jaccard_odd_rows(odd, odd_rows, none):
     assert jaccard_join.jaccard_report(none).count() == 0
 
 
+def test_stage_keeps_one_of_texts_alike_in_four_of_five_wide_shingles(spark):
+    texts = ["", None, "a b", "a b", *near_copies(20, 40, 4)]
+    for n in range(44, 64, 2):  # one word of n differs
+        base = [f"n{n}w{k}" for k in range(n)]
+        texts += [" ".join(base), " ".join([*base[: n // 2], "other", *base[n // 2 + 1:]])]
+    data = list(enumerate(texts))
+
+    def wide(text):
+        w = words(text)
+        return {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: wide(t) for i, t in data}, {i: i for i, _ in data}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a, b in itertools.combinations([i for i in sets if sets[i]], 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    want = {i for i in root if find(i) == i}
+    assert want < {i for i, (_, c) in components_brute(data).items() if c == i}  # three words at 90 % leave more
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["doc_id"] for r in rows(jaccard_join.one_of_each_group(df))} == want
+
+
 @pytest.mark.parametrize("task_edges", [7, 500_000])
 def test_components_of_a_chain(spark, monkeypatch, task_edges):
     monkeypatch.setattr(components, "TASK_EDGES", task_edges)
