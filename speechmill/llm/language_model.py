@@ -2,9 +2,8 @@
 
 P(w | v) = l2 c(vw) / c(v) + l1 c(w) / N + l0 / (V + 1); the three weights depend
 on the frequency bucket of the context v (powers of two) and are learned by
-expectation-maximisation on held-out counts: each training text of every
-`EM_EVERY`-th block is scored with the counts of all other texts, that is, with
-its own counts deleted from the total.
+expectation-maximisation on held-out counts: each training text is scored with
+the counts of all other texts, that is, with its own counts deleted from the total.
 
 Texts are packed into blocks where they are read. A block sends its distinct
 word and bigram hashes, sorted and packed, with its training counts to parts of
@@ -30,12 +29,12 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import bytes_of, mixed, settled, slices, text_of, words_of
 
 BLOCK_CHARS = 4_000_000
-#: One block in so many serves the expectation-maximisation.
-EM_EVERY = 8
 END, START = np.uint64(1), np.uint64(2)
 BUCKETS = 24
 #: Logarithms of the estimates are binned in steps of 2 ** -(1 / FINE).
@@ -190,7 +189,22 @@ def count_tables(blocks: DataFrame, parts: int) -> DataFrame:
             "n_tokens": pa.array([int(total[words].sum()) * f for f in first], pa.int64())})
 
     asked = blocks.mapInArrow(ask, "part int, block long, keys binary, counts binary")
-    return settled(asked.groupBy("part").applyInArrow(answer, "block long, part int, totals binary, n_types long, n_tokens long"))
+    return asked.groupBy("part").applyInArrow(answer, "block long, part int, totals binary, n_types long, n_tokens long")
+
+
+def answered_blocks(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each block with the answers of all parts in one row, written once: two passes read it."""
+    fields = Block.FIELDS + ", part array<int>, totals array<binary>, n_types long, n_tokens long"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        for row in rows:
+            row["part"], row["totals"] = right.column("part").to_pylist(), right.column("totals").to_pylist()
+            row["n_types"], row["n_tokens"] = (sum(right.column(n).to_pylist()) for n in ("n_types", "n_tokens"))
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    return settled(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, fields))
 
 
 def estimates(texts: list[bytes], trained: np.ndarray, parts: int, answers: dict[int, bytes], deleted: bool):
@@ -208,14 +222,15 @@ def estimates(texts: list[bytes], trained: np.ndarray, parts: int, answers: dict
             total[at[a:e]] = unpacked(answers[p], np.int64)
     if not deleted:
         return total[b], total[v], total[w], sizes
-    text = np.repeat(np.arange(len(texts)) * len(keys), sizes)
-    return (*(total[x] - times(text + x) for x in (b, v, w)), sizes)
-
-
-def times(x: np.ndarray) -> np.ndarray:
-    """How often each value stands in the array."""
-    _, where, n = np.unique(x, return_inverse=True, return_counts=True)
-    return n[where]
+    own = [np.empty(len(b), dtype=np.int64) for _ in range(3)]
+    held = np.zeros(len(keys), dtype=np.int64)
+    for end, n in zip(np.cumsum(sizes), sizes):
+        for out, x in zip(own, (b, v, w)):
+            mine = x[end - n: end]
+            np.add.at(held, mine, 1)
+            out[end - n: end] = held[mine]
+            held[mine] = 0
+    return (*(total[x] - n for x, n in zip((b, v, w), own)), sizes)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -257,50 +272,43 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, uniform: float, rounds:
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     blocks = text_blocks(docs, id_col, text_col)
-    size, lowest = blocks.agg(F.count("*"), F.min("block")).first()
-    parts = max(1, size)
-    answers = count_tables(blocks, parts)
-    n_types, n_tokens = (int(x or 0) for x in answers.agg(F.sum("n_types"), F.sum("n_tokens")).first())
+    parts = max(1, blocks.count())
+    answered = answered_blocks(blocks, count_tables(blocks, parts))
+    n_types, n_tokens = (int(x or 0) for x in answered.agg(F.sum("n_types"), F.sum("n_tokens")).first())
     uniform = 1.0 / (n_types + 1)
 
-    def unpack(left: pa.Table, right: pa.Table, deleted: bool):
-        block = Block(left.to_pylist()[0])
-        got = dict(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))
-        return (block, *estimates(block.texts, ~block.held_out, parts, got, deleted))
+    def unpacked_blocks(batches, deleted: bool):
+        for batch in slices(batches, 1):
+            row = {n: batch.column(n)[0].as_py() for n in [*Block.NAMES, "part", "totals"]}
+            block = Block(row)
+            yield block, *estimates(block.texts, ~block.held_out, parts, dict(zip(row["part"], row["totals"])), deleted)
 
-    def tally(left: pa.Table, right: pa.Table) -> pa.Table:
-        cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if left.num_rows:
-            block, pair, context, word, sizes = unpack(left, right, True)
+    def tally(batches):
+        for block, pair, context, word, sizes in unpacked_blocks(batches, True):
             use = np.repeat(~block.held_out, sizes)
             pair, context, word = pair[use], context[use], word[use]
             others = np.maximum(n_tokens - np.repeat(sizes, sizes)[use], 1)
             cell = (bucket_of(context) * LEVELS + _level(pair / np.maximum(context, 1))) * LEVELS + _level(word / others)
             cells, counts = np.unique(cell, return_counts=True)
-        return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(counts, pa.int64())})
-
-    def both(mask):
-        return blocks.filter(mask).groupBy("block").cogroup(answers.filter(mask).select("block", "part", "totals").groupBy("block"))
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts, pa.int64())], names=["cell", "n"])
 
-    histogram = (both(F.pmod(F.xxhash64("block"), F.lit(EM_EVERY)) == F.pmod(F.xxhash64(F.lit(lowest or 0).cast("long")), F.lit(EM_EVERY))).applyInArrow(tally, "cell long, n long")
+    histogram = (answered.mapInArrow(tally, "cell long, n long")
                  .groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect())
     weights = learn_weights(np.array([r["cell"] for r in histogram], dtype=np.int64), np.array([r["n"] for r in histogram], dtype=np.float64), uniform)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def score(batches):
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        if not left.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
-        block, pair, context, word, sizes = unpack(left, right, False)
-        weight = weights[bucket_of(context)]
-        p = weight[:, 0] * (pair / np.maximum(context, 1)) + weight[:, 1] * (word / max(n_tokens, 1)) + weight[:, 2] * uniform
-        starts = np.cumsum(sizes) - sizes
-        base = np.log10((word + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-        columns = (block.ids, block.held_out, sizes, np.add.reduceat((word > 0).astype(np.int64), starts),
-                   np.full(len(sizes), n_tokens), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts))
-        return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, k) for n, k, c in zip(names, kinds, columns)})
-
-    return both(F.lit(True)).applyInArrow(
+        for block, pair, context, word, sizes in unpacked_blocks(batches, False):
+            weight = weights[bucket_of(context)]
+            p = weight[:, 0] * (pair / np.maximum(context, 1)) + weight[:, 1] * (word / max(n_tokens, 1)) + weight[:, 2] * uniform
+            starts = np.cumsum(sizes) - sizes
+            base = np.log10((word + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
+            columns = (block.ids, block.held_out, sizes, np.add.reduceat((word > 0).astype(np.int64), starts),
+                       np.full(len(sizes), n_tokens), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts))
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for k, c in zip(kinds, columns)], names=list(names))
+
+    return answered.mapInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -459,6 +459,16 @@ def test_scores_against_brute_force(spark, monkeypatch):
         assert math.isclose(r["score"], total, rel_tol=1e-9)
 
 
+def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BLOCK_CHARS", 500)  # many blocks
+    counts = []
+    real = language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda *a: counts.append(a[1].sum()) or real(*a))
+    data = [(i, prose(i, 1 + i % 30)) for i in range(120)]
+    language_model.score_report(spark.createDataFrame(data, "doc_id long, text string"))
+    assert counts == [sum(len(words(t)) + 1 for i, t in data if zlib.crc32(str(i).encode()) % 5 != 1)]
+
+
 def test_em_finds_the_mixture():
     """Held-out counts drawn from a known mixture give its weights back."""
     r = np.random.default_rng(0)
