@@ -50,12 +50,12 @@ PATTERNS: dict[str, str] = {
     "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w])",
     "account": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?!\w)",
     "key": r"(?<!\w)(?:AKIA[A-Z0-9]{16}|(?:ghp_|sk-)[A-Za-z0-9]{16,64})(?!\w)",
-    "token": r"(?<!\w)[0-9a-f]{32,128}(?!\w)",
+    "token": r"(?<!\w)[0-9A-Fa-f]{32,128}(?!\w)",
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME['latin']}(?: {_NAME['latin']})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every entity passes.
-HINT = rf"[0-9@]|{_TITLE}"
+HINT = rf"[0-9@]|AKIA|ghp_|sk-|[A-Fa-f]{{32}}|{_TITLE}"
 
 
 def kind_of(found: Column) -> Column:
@@ -70,7 +70,7 @@ def canonical(kind: Column, found: Column) -> Column:
     """What makes two occurrences the same entity."""
     return (F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(found, r"\D", ""))
             .when(kind.isin("account"), F.regexp_replace(found, " ", ""))
-            .when(kind == "email", F.lower(found))
+            .when(kind.isin("email", "token"), F.lower(found))
             .when(kind == "name", F.regexp_replace(found, r"\.", ""))
             .otherwise(found))
 
@@ -140,6 +140,7 @@ def rendered(kind: Column, found: Column, replacement: Column) -> Column:
         c.rlike("^[A-Z]$"), F.upper(F.substring(replacement, i + 1, F.lit(1)))).otherwise(F.substring(replacement, i + 1, F.lit(1)))))
     dotted = F.regexp_replace(replacement, r"^(\p{L}+) ", "$1. ")
     return (F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "account", spaced).when(kind == "email", cased)
+            .when((kind == "token") & found.rlike("^[0-9A-F]*[A-F][0-9A-F]*$"), F.upper(replacement)).when(kind == "token", cased)
             .when((kind == "name") & found.rlike(r"^\p{L}+\. "), dotted).otherwise(replacement))
 
 

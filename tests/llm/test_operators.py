@@ -517,6 +517,21 @@ def test_surrogates_keep_format_identity_and_gender(spark):
     assert re.search(r"Господин [Ѐ-ӿ]+", got[2])
 
 
+def test_secrets_of_upper_case_or_of_letters_only_are_replaced(spark):
+    token = "9233A8ECF468640F8635603C4FE1AD1B1AB078C7749E9329B"
+    secrets = ["AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghijKLMNOPqrstuv", "sk-" + "zyxwvutsrqponmlkji", "abcdef" * 6, "ABCDEF" * 6, token, token.lower(),
+               "aBcDeF" * 6]
+    texts = [f'the secret = "{s}" stands alone' for s in secrets]
+    got = rows(pii.surrogate_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    new = {r["doc_id"]: re.fullmatch(r'the secret = "(.+)" stands alone', r["text"])[1] for r in got}
+    assert all(r["n_entities"] == 1 for r in got)
+    for i, s in enumerate(secrets):
+        assert s.lower() not in new[i].lower() and len(s) == len(new[i])
+    assert new[0].startswith("AKIA") and new[1].startswith("ghp_") and new[2].startswith("sk-")
+    assert re.fullmatch("[0-9a-f]+", new[3]) and re.fullmatch("[0-9A-F]+", new[4]) and re.fullmatch("[0-9A-F]+", new[5])
+    assert new[4] == new[3].upper() and new[6] == new[5].lower() and new[7].lower() == new[3]
+
+
 def test_surrogates_are_distinct(spark):
     """Few formats for many entities: collisions are found and hashed again."""
     entities = [("ip", f"10.0.{i // 250}.{i % 250 + 1}") for i in range(500)] + [("name", f"Mr N{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)]
