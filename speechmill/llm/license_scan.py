@@ -148,9 +148,38 @@ class NoticeFinder:
                 known[w] = self.numbers.get(normal_word(w), 0)
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def notices(self, t: int, ids: np.ndarray, hits: dict[int, list[tuple[int, int]]]) -> list[dict]:
+        """All notices of a template; the words of each are masked before the next is looked for."""
+        name, template, kept = self.templates[t]
+        found, left = [], ids.copy()
+        order = sorted(hits)
+        n = 0
+        while n < len(order):
+            diagonal = order[n]
+            near = sum(len(hits.get(diagonal + d, ())) for d in range(-BAND, BAND + 1))
+            if not hits[diagonal] or near * 4 < kept:
+                n += 1
+                continue
+            best = align(template, left, diagonal)
+            if best[0] / len(template) < self.min_coverage:
+                n += 1
+                continue
+            for other in order[n + 1:]:  # a band further on may hold more of the same notice
+                if other >= best[2] or other - diagonal > 2 * BAND or best[0] == len(template):
+                    break
+                if hits[other] and (more := align(template, left, other))[1] == best[1] and more[0] > best[0]:
+                    best = more
+            matched, start, stop = best
+            found.append({"license": name, "coverage": matched / len(template), "start": start, "stop": stop, "matched": matched})
+            left[start:stop] = 0
+            for d in range(start - len(template), stop):
+                if d in hits:
+                    hits[d] = [x for x in hits[d] if x[0] < start or x[1] > stop]
+        return found
+
     def __call__(self, text: bytes) -> list[dict]:
         ids = self.word_ids(text)
-        votes: dict[tuple[int, int], int] = {}
+        hits: dict[int, dict[int, list[tuple[int, int]]]] = {}  # per template and diagonal, the text words of each fingerprint
         for width in self.widths:
             whole = np.ones(max(len(ids) - width + 1, 0), dtype=bool)
             for k in range(width):
@@ -161,25 +190,10 @@ class NoticeFinder:
             hashes = gram_hashes(ids, width)[places]
             for at, h in zip(places[np.isin(hashes, self.keys[width])].tolist(), hashes[np.isin(hashes, self.keys[width])].tolist()):
                 for t, offset in self.index[width, h]:
-                    votes[t, at - offset] = votes.get((t, at - offset), 0) + 1
-        found: dict[tuple[int, int], dict] = {}
-        done: dict[int, int] = {}
-        for (t, diagonal), n in sorted(votes.items()):
-            name, template, kept = self.templates[t]
-            if t in done and diagonal - done[t] <= BAND // 2:
-                continue  # inside the band that was aligned before
-            near = sum(votes.get((t, diagonal + d), 0) for d in range(-BAND, BAND + 1))
-            if near * 4 < kept:
-                continue
-            done[t] = diagonal
-            matched, start, stop = align(template, ids, diagonal)
-            coverage = matched / len(template)
-            if coverage >= self.min_coverage:
-                old = found.get((t, start))
-                if old is None or matched > old["matched"]:
-                    found[t, start] = {"license": name, "coverage": coverage, "start": start, "stop": stop, "matched": matched}
+                    hits.setdefault(t, {}).setdefault(at - offset, []).append((at, at + width))
+        found = [f for t in sorted(hits) for f in self.notices(t, ids, hits[t])]
         kept_findings: list[dict] = []  # of findings that overlap, the best covered one stays
-        for f in sorted(found.values(), key=lambda f: (-f["coverage"], -f["matched"], f["start"], f["license"])):
+        for f in sorted(found, key=lambda f: (-f["coverage"], -f["matched"], f["start"], f["license"])):
             if all(f["stop"] <= k["start"] or k["stop"] <= f["start"] for k in kept_findings):
                 kept_findings.append(f)
         return sorted(kept_findings, key=lambda f: f["start"])

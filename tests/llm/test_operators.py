@@ -419,6 +419,14 @@ def test_licenses_found_with_coverage_and_span(spark, odd, odd_rows, none):
     assert license_scan.scan_licenses(odd, templates={"empty": "", "word": "one"}).filter("size(licenses) > 0").count() >= 2
 
 
+@pytest.mark.parametrize("between", range(0, 15))
+def test_each_of_repeated_notices_is_found(between):
+    finder = license_scan.NoticeFinder(license_scan.TEMPLATES, 0.8)
+    text = (" ".join(["Released under the MIT License."] + ["word"] * between) + " ") * 4
+    step = 5 + between
+    assert [(f["license"], f["start"], f["stop"]) for f in finder(text.encode())] == [("MIT", k * step, k * step + 5) for k in range(4)]
+
+
 def test_alignment_counts_words_in_order():
     r = random.Random(4)
     for _ in range(100):
