@@ -16,6 +16,7 @@ from . import (
     language_model,
     license_scan,
     line_dedup,
+    merkle,
     pii,
     piece_sampling,
     token_counts,
@@ -53,11 +54,13 @@ QUERIES: dict[str, Query] = {
     "op8_pii": _documents(pii.surrogate_report),
     "op9_jaccard_join": _documents(jaccard_join.jaccard_report),
     "op10_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op13_merkle_manifest": _documents(merkle.manifest_report),
 }
 
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
 
 
