@@ -19,6 +19,8 @@ from . import (
     merkle,
     pii,
     piece_sampling,
+    quality,
+    repair,
     token_counts,
     toxicity,
 )
@@ -54,12 +56,17 @@ QUERIES: dict[str, Query] = {
     "op8_pii": _documents(pii.surrogate_report),
     "op9_jaccard_join": _documents(jaccard_join.jaccard_report),
     "op10_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op11_conversation_repair": lambda spark, sf_dir: repair.repair_report(table(spark, sf_dir, "conversations")),
+    "op12_quality": lambda spark, sf_dir: quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op13_merkle_manifest": _documents(merkle.manifest_report),
 }
 
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op11_conversation_repair": lambda spark, sf_dir: repair.repair_report(table(spark, sf_dir, "conversations")),
+    "op12_quality": lambda spark, sf_dir: quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op11_conversation_repair": repair.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
 
