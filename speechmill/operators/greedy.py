@@ -4,8 +4,11 @@
 order-dependent: the result at any point depends on all choices before it. A
 fold over one array per take would put a whole take in one row. Here every
 block is solved for each way it can be entered (the ways merge after a few
-items), the small per-block summaries are chained per key, and each block then
-walks its own items from the entry that was really used.
+items), which makes it a monotone map from where a path enters to where it
+leaves. A parallel prefix over these maps finds the entry really used: the maps
+of FAN neighbouring blocks are composed to that of one wider block, level by
+level, and the entries are pushed down again. No step gathers a take. Each block
+then selects its own items from its entry.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,36 +29,48 @@ _LONGS = T.ArrayType(T.LongType())
 _PATHS = T.StructType([T.StructField(c, _LONGS) for c in ("pos", "nxt", "entry", "leave")])
 _PICKED = T.StructType([T.StructField(c, _LONGS) for c in ("pos", "nxt")])
 
+#: Blocks whose maps are composed in one row, and how often, before the rest of a key is.
+FAN_BITS = 8
+LEVELS = 2
+#: Before every position.
+NOWHERE = -(2 ** 62)
 
-def _paths(pos: np.ndarray, nxt: np.ndarray, entries: int) -> dict[str, np.ndarray]:
-    """Items reachable from the first ``entries`` items, and where each path leaves.
 
-    Greedy paths that meet stay together, so the walk stops at the first item
-    seen before.
-    """
-    succ = np.searchsorted(pos, nxt, side="left")
-    leave: dict[int, int] = {}
-    for e in range(min(entries, len(pos))):
-        trail, i = [], e
-        while i < len(pos) and i not in leave:
-            trail.append(i)
-            i = int(succ[i])
-        out = leave[i] if i < len(pos) else int(nxt[trail[-1]])
-        for k in trail:
-            leave[k] = out
-    seen = np.fromiter(sorted(leave), dtype=np.int64, count=len(leave))
+def _hops(pos: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """Index of the item that each item's choice leads to; len(pos) behind the block."""
+    return np.append(np.searchsorted(pos, nxt, side="left"), len(pos))
+
+
+def _reached(succ: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Items on the paths from ``starts``, by pointer doubling: after k rounds all within 2**k hops."""
+    mask = np.zeros(len(succ), dtype=bool)
+    mask[starts] = True
+    jump, hops = succ, 1
+    while hops < len(succ):
+        mask[jump[mask]] = True
+        jump, hops = jump[jump], 2 * hops
+    return np.flatnonzero(mask[:-1])
+
+
+def _last(succ: np.ndarray) -> np.ndarray:
+    """The last item of the block on each item's path."""
+    n = len(succ) - 1
+    end = np.where(succ[:n] == n, np.arange(n), succ[:n])
+    for _ in range(max(n - 1, 1).bit_length()):
+        end = end[end]
+    return end
+
+
+def _paths(pos: np.ndarray, nxt: np.ndarray, entries: int) -> dict[str, np.ndarray]:
+    """Items reachable from the first ``entries`` items, and where each path leaves."""
     first = np.arange(min(entries, len(pos)))
-    return {"pos": pos[seen], "nxt": nxt[seen], "entry": pos[first],
-            "leave": np.array([leave[int(i)] for i in first], dtype=np.int64)}
+    succ = _hops(pos, nxt)
+    seen = _reached(succ, first)
+    return {"pos": pos[seen], "nxt": nxt[seen], "entry": pos[first], "leave": nxt[_last(succ)[first]]}
 
 
 def _walk(pos: np.ndarray, nxt: np.ndarray, start: int) -> np.ndarray:
-    succ = np.searchsorted(pos, nxt, side="left")
-    out, i = [], int(np.searchsorted(pos, start, side="left"))
-    while i < len(pos):
-        out.append(i)
-        i = int(succ[i])
-    return np.array(out, dtype=np.int64)
+    return _reached(_hops(pos, nxt), np.searchsorted(pos, start, side="left"))
 
 
 @F.pandas_udf(_PATHS)
@@ -74,29 +89,54 @@ def _select(pos: pd.Series, nxt: pd.Series, start: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pos", "nxt"])
 
 
-def _chain(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The entry position of every block, and ``tail`` of the block before it.
+def _through(x: Column, block: Column) -> Column:
+    """Where a path that comes to ``x`` leaves a block: from the first entry at or
+    after ``x``, else as ``rest`` says, and where that is null the block is passed over."""
+    k = F.array_position(F.transform(block["entry"], lambda e: e >= x), True)
+    return F.when(k > 0, F.get(block["leave"], (k - 1).cast("int"))).otherwise(F.coalesce(block["rest"], x))
 
-    ``blocks``: keys, _blk, entry, leave, tail. One small struct per block and
-    key meets here, not the items.
-    """
-    ordered = F.sort_array(F.collect_list(F.struct("_blk", "entry", "leave", "tail")))
-    start = F.struct(F.lit(-(2 ** 62)).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("tail"),
-                     F.array().cast("array<struct<_blk:bigint,enter:bigint,before:bigint>>").alias("out"))
 
-    def step(acc, b):
-        k = F.array_position(F.transform(b["entry"], lambda e: e >= acc["x"]), True)
-        after = F.when(k > 0, F.get(b["leave"], (k - 1).cast("int"))).otherwise(acc["x"])
+def _pushed(keep: Sequence[str], rows: DataFrame, enter: Column, before: Column) -> DataFrame:
+    """Per block of the array ``_b``: its number, its entry and the tail before it."""
+    out = F.array().cast("array<struct<_blk:bigint,enter:bigint,before:bigint>>")
+    start = F.struct(enter.alias("x"), before.alias("tail"), out.alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
         here = F.struct(b["_blk"].alias("_blk"), acc["x"].alias("enter"), acc["tail"].alias("before"))
-        return F.struct(after.alias("x"), b["tail"].alias("tail"), F.array_append(acc["out"], here).alias("out"))
+        return F.struct(_through(acc["x"], b).alias("x"), b["tail"].alias("tail"), F.array_append(acc["out"], here).alias("out"))
+
+    return inline_rows(rows, keep, F.aggregate("_b", start, step)["out"])
 
-    chained = blocks.groupBy(*keys).agg(ordered.alias("_b"))
-    return inline_rows(chained, keys, F.aggregate("_b", start, step)["out"])
+
+def block_entries(blocks: DataFrame, keys: Sequence[str], levels: int = LEVELS) -> DataFrame:
+    """The position at which the greedy path enters each block (keys, _blk, ``enter``), and ``tail`` of the block ``before``.
+
+    ``blocks``: keys, _blk, entry, leave, rest, tail. A path that passes a block's
+    last entry reaches at most to the next block. At most FAN maps meet in one
+    row on each level; FAN ** (levels + 1) blocks of a key are covered (some 10**11 words).
+    """
+    keys = list(keys)
+    nothing = F.lit(NOWHERE).cast("bigint")
+    member = F.struct("_blk", "entry", "leave", "rest", "tail")
+    if levels == 0:
+        whole = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("_b"))
+        return _pushed(keys, whole, nothing, F.lit(None).cast("bigint"))
+    grouped = blocks.groupBy(*keys, F.shiftright("_blk", FAN_BITS).alias("_wide")).agg(F.sort_array(F.collect_list(member)).alias("_b"))
+    head = F.get("_b", F.lit(0))
+    # where the head's entries, and last a path beyond them, leave the group
+    first = F.concat(head["leave"], F.array(F.coalesce(head["rest"], nothing)))
+    ends = F.aggregate(F.slice("_b", 2, F.size("_b")), first, lambda xs, b: F.transform(xs, lambda x: _through(x, b)))
+    composed = grouped.select(*keys, F.col("_wide").alias("_blk"), head["entry"].alias("entry"), ends.alias("_e"), F.element_at("_b", -1)["tail"].alias("tail"))
+    composed = composed.select(*keys, "_blk", "entry", F.slice("_e", 1, F.size("entry")).alias("leave"),
+                               F.nullif(F.element_at("_e", -1), nothing).alias("rest"), "tail")
+    above = block_entries(composed, keys, levels - 1).withColumnRenamed("_blk", "_wide")
+    return _pushed(keys, grouped.join(above, [*keys, "_wide"]), F.col("enter"), F.col("before"))
 
 
 def _finish(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
-    enter = _chain(blocks.select(*keys, "_blk", "entry", "leave", F.lit(None).cast("bigint").alias("tail")), keys)
+    none = F.lit(None).cast("bigint")
+    enter = block_entries(blocks.select(*keys, "_blk", "entry", "leave", none.alias("rest"), none.alias("tail")), keys)
     picked = blocks.select(*keys, "_blk", "pos", "nxt").join(enter, [*keys, "_blk"]).select(
         *keys, _select("pos", "nxt", "enter").alias("_sel"))
     return inline_rows(picked, keys, F.arrays_zip(F.col("_sel.pos").alias("pos"), F.col("_sel.nxt").alias("nxt")))
@@ -136,6 +176,9 @@ def _chunk_ends(ordinal: np.ndarray, start: np.ndarray, end: np.ndarray, core: i
     run_end = gap_at[np.searchsorted(gap_at, np.arange(core), side="right")]
     if n < 2 or bool(np.all(np.diff(end) >= 0)):
         last = np.minimum(np.searchsorted(end, start[:core] + limit, side="right"), run_end)
+    elif bool(np.all(np.diff(start) >= 0)):
+        # words before the i-th end too early to stop its chunk, so the furthest end so far decides
+        last = np.minimum(np.searchsorted(np.maximum.accumulate(end), start[:core] + limit, side="right"), run_end)
     else:
         last = np.empty(core, dtype=np.int64)
         for i in range(core):
@@ -201,7 +244,7 @@ def greedy_chunks(words: DataFrame, spans: DataFrame, keys: Sequence[str], carry
         F.col("_i.ordinal"), F.col("_i.start_ms"), F.col("_i.end_ms"), "_core", F.col("_blk") * block_ms + limit_ms, F.lit(limit_ms),
         F.col("_s.span_start"), F.col("_s.span_end")))
     tail = F.get("_i", (F.col("_core") - 1).cast("int"))["end_ms"]
-    enter = _chain(paths.select(*keys, "_blk", "_p.entry", "_p.leave", tail.alias("tail")), keys)
+    enter = block_entries(paths.select(*keys, "_blk", "_p.entry", "_p.leave", F.lit(None).cast("bigint").alias("rest"), tail.alias("tail")), keys)
     picked = paths.select(*keys, *group, "_blk", "_i", "_p").join(enter, [*keys, "_blk"]).select(
         *keys, *group, "_i", "before", _select_at(F.col("_i.ordinal"), F.col("_p.pos"), F.col("_p.nxt"), F.col("enter")).alias("_sel"))
 

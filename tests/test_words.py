@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import rows_of, words_frame
 from pyspark.sql import functions as F
@@ -220,3 +221,43 @@ def test_rare_token_search_matches_brute_force(spark, seed):
     got = rows_of(ww.rare_phrase_ranges(w, df, F.col("t"), text.norm_edge(F.col("word")), [KEY], ["item_id"]), "item_id", "first", "last")
     want = sorted((i, k, k + len(t) - 1) for i, t in phrases if t for k in range(len(said)) if said[k: k + len(t)] == t)
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_prefix_over_blocks_matches_a_chain(spark, monkeypatch, seed):
+    """Groups of two blocks and three levels give the entries of a plain left-to-right chain."""
+    monkeypatch.setattr(gr, "FAN_BITS", 1)
+    rng = random.Random(seed)
+    rows, want = [], []
+    for take in ("a", "b"):
+        x, tail = gr.NOWHERE, None
+        for blk in sorted(rng.sample(range(40), 25)):
+            entry = sorted(rng.sample(range(100 * blk, 100 * blk + 30), rng.randrange(0, 4)))
+            leave = [max(e + rng.randrange(1, 20), 100 * blk + rng.randrange(60, 130)) for e in entry]
+            leave = sorted(leave)
+            rows.append((take, blk, entry, leave, None, blk * 7))
+            want.append((take, blk, x, tail))
+            x = next((v for e, v in zip(entry, leave) if e >= x), x)
+            tail = blk * 7
+    df = spark.createDataFrame(rows, "take string, _blk bigint, entry array<bigint>, leave array<bigint>, rest bigint, tail bigint")
+    for levels in (0, 1, 3):
+        got = gr.block_entries(df, ["take"], levels).select("take", "_blk", "enter", "before").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_doubling_matches_a_plain_walk():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 300):
+        pos = np.sort(rng.choice(10 * n, n, replace=False)).astype(np.int64)
+        nxt = pos + rng.integers(1, 30, n)
+        leave = {}
+        for e in range(n):
+            i, trail = e, []
+            while i < n:
+                trail.append(i)
+                i = int(np.searchsorted(pos, nxt[i]))
+            leave[e] = (trail, nxt[trail[-1]])
+        got = gr._paths(pos, nxt, 5)
+        assert got["leave"].tolist() == [leave[e][1] for e in range(min(5, n))]
+        assert got["pos"].tolist() == pos[sorted({i for e in range(min(5, n)) for i in leave[e][0]})].tolist()
+        assert gr._walk(pos, nxt, int(pos[0])).tolist() == leave[0][0] and gr._walk(pos, nxt, int(pos[-1]) + 1).tolist() == []
