@@ -5,18 +5,29 @@ on the frequency bucket of the context v (powers of two) and are learned by
 expectation-maximisation on held-out counts: each training text is scored with
 the counts of all other texts, that is, with its own counts deleted from the total.
 
-Texts are packed into blocks where they are read. A block sends its distinct
+Texts are taken in blocks where they are read. A block sends its distinct
 word and bigram hashes, sorted and packed, with its training counts to parts of
 the count table; a part adds them up and answers each block with the totals in
 the order in which the block asked. Only packed arrays move, a frequent word is
 one entry per block, and blocks and parts are of bounded size and grow in number
-with the data. The driver gets N, V and a histogram of fixed size.
+with the data; a part answers as many keys as PART_BLOCKS blocks ask for, so that
+the packed rows are fewer by that factor than blocks times blocks. Texts are
+written once, with their answers. The driver gets N, V and a histogram of fixed size.
+
+The table is read twice, once to ask and once to meet the answers. Blocks are
+numbered by partition and place, so `docs` must give its rows in the same order
+both times, as a table that was written does; a digest of the asked keys goes with
+each block, and a block that does not ask the same again ends the job.
+
+Keys of a part are told apart by 48 bits: of m keys in one part (some 10**6) each
+takes the count of another one with a chance of m / 2**48, about 4 in 10**9.
 
 Words are the runs of [^\\x20\\x09-\\x0D], A-Z lower-cased, behind a start mark and
 before an end mark, which counts as a token. Defined results: null and empty
 texts are one end token; repeated rows count and are scored each; a null id is
 hashed as the empty string and is not held out; without training texts the base
-is that of an empty table; an empty table gives no rows.
+is that of an empty table; an empty table gives no rows; only the id and the text
+are read, so further columns of any name do not matter, nor do ties.
 """
 
 from __future__ import annotations
@@ -32,9 +43,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import bytes_of, mixed, settled, slices, text_of, words_of
+from .common import bytes_of, mixed, parts_for, settled, slices, text_of, words_of
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
+#: A part of the count table gets as many keys as this many blocks ask for.
+PART_BLOCKS = 4
 END, START = np.uint64(1), np.uint64(2)
 BUCKETS = 24
 #: Logarithms of the estimates are binned in steps of 2 ** -(1 / FINE).
@@ -136,40 +149,50 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=Block.NAMES)
 
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per block of about BLOCK_CHARS bytes of text, written once; nothing is shuffled."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
+def plain_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
+
+
+def parts_of(rows: DataFrame) -> int:
+    """Parts of the count table, in proportion to the bytes of all texts."""
+    total = rows.agg(F.sum(F.octet_length("text") + 50)).first()[0] or 0
+    return parts_for(total, BLOCK_CHARS * PART_BLOCKS)
 
-    def pack(batches):
-        number, held, size = TaskContext.get().partitionId() << 24, [], 0
-        for part in slices(batches):
-            for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bytes_of(part.column(2)), strict=True):
-                held.append(row)
-                size += len(row[2]) + 50
-                if size >= BLOCK_CHARS:
-                    yield Block.row(number, held)
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield Block.row(number, held)
 
-    return settled(rows.mapInArrow(pack, Block.FIELDS))
+def blocks_in(batches):
+    """(number, rows (id, held out, text)) of blocks of about BLOCK_CHARS bytes of text."""
+    number, held, size = TaskContext.get().partitionId() << 24, [], 0
+    for part in slices(batches):
+        for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bytes_of(part.column(2)), strict=True):
+            held.append(row)
+            size += len(row[2]) + 50
+            if size >= BLOCK_CHARS:
+                yield number, held
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, held
 
 
-def count_tables(blocks: DataFrame, parts: int) -> DataFrame:
-    """(block, part, totals, n_types, n_tokens): the answers of each part to each block."""
+def digest_of(keys: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
+
+
+def count_tables(rows: DataFrame, parts: int) -> DataFrame:
+    """(block, part, totals, n_types, n_tokens, digest): the answers of each part to each block."""
     def ask(batches):
-        for batch in slices(batches, 1):
-            block = Block({n: batch.column(n)[0].as_py() for n in Block.NAMES})
-            keys, counts, *_ = block_keys(block.texts, ~block.held_out)
+        for number, held in blocks_in(batches):
+            keys, counts, *_ = block_keys([t for *_, t in held], ~np.array([h for _, h, _ in held], dtype=bool))
+            digest = digest_of(keys)
             part = part_of(keys, parts)
             at = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[at], np.arange(parts + 1))
             groups = [(p, at[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([
-                pa.array([p for p, _ in groups], pa.int32()), pa.array([batch.column("block")[0].as_py()] * len(groups), pa.int64()),
+                pa.array([p for p, _ in groups], pa.int32()), pa.array([number] * len(groups), pa.int64()),
                 # 48 bits tell the keys of one part apart, whose number is bounded
                 pa.array([packed(keys[g] >> np.uint64(16)) for _, g in groups], pa.binary()),
-                pa.array([packed(counts[g]) for _, g in groups], pa.binary())], names=["part", "block", "keys", "counts"])
+                pa.array([packed(counts[g]) for _, g in groups], pa.binary()), pa.array([digest] * len(groups), pa.int64())],
+                names=["part", "block", "keys", "counts", "digest"])
 
     start = word_key(np.array([START]))[0] >> np.uint64(16)
 
@@ -186,15 +209,15 @@ def count_tables(blocks: DataFrame, parts: int) -> DataFrame:
         return pa.table({
             "block": table.column("block").cast(pa.int64()), "part": table.column("part").cast(pa.int32()), "totals": pa.array(totals, pa.binary()),
             "n_types": pa.array([int((total[words] > 0).sum()) * f for f in first], pa.int64()),
-            "n_tokens": pa.array([int(total[words].sum()) * f for f in first], pa.int64())})
+            "n_tokens": pa.array([int(total[words].sum()) * f for f in first], pa.int64()), "digest": table.column("digest").cast(pa.int64())})
 
-    asked = blocks.mapInArrow(ask, "part int, block long, keys binary, counts binary")
-    return asked.groupBy("part").applyInArrow(answer, "block long, part int, totals binary, n_types long, n_tokens long")
+    asked = rows.mapInArrow(ask, "part int, block long, keys binary, counts binary, digest long")
+    return asked.groupBy("part").applyInArrow(answer, "block long, part int, totals binary, n_types long, n_tokens long, digest long")
 
 
-def answered_blocks(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def answered_blocks(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Each block with the answers of all parts in one row, written once: two passes read it."""
-    fields = Block.FIELDS + ", part array<int>, totals array<binary>, n_types long, n_tokens long"
+    fields = Block.FIELDS + ", part array<int>, totals array<binary>, n_types long, n_tokens long, digest long"
     schema = to_arrow_schema(StructType.fromDDL(fields))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -202,17 +225,21 @@ def answered_blocks(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         for row in rows:
             row["part"], row["totals"] = right.column("part").to_pylist(), right.column("totals").to_pylist()
             row["n_types"], row["n_tokens"] = (sum(right.column(n).to_pylist()) for n in ("n_types", "n_tokens"))
+            row["digest"] = right.column("digest")[0].as_py() if right.num_rows else None
         return pa.Table.from_pylist(rows, schema=schema)
 
+    blocks = rows.mapInArrow(lambda batches: (Block.row(n, held) for n, held in blocks_in(batches)), Block.FIELDS)
     return settled(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, fields))
 
 
-def estimates(texts: list[bytes], trained: np.ndarray, parts: int, answers: dict[int, bytes], deleted: bool):
+def estimates(texts: list[bytes], trained: np.ndarray, parts: int, answers: dict[int, bytes], digest: int, deleted: bool):
     """Counts (bigram, context, word) of each token, and tokens per text.
 
     With `deleted`, each text's own counts are taken out of the totals.
     """
     keys, _, w, v, b, sizes = block_keys(texts, trained)
+    if digest_of(keys) != digest:
+        raise ValueError("the table gave its rows in another order when it was read again; write it first")
     part = part_of(keys, parts)
     total = np.empty(len(keys), dtype=np.int64)
     at = np.argsort(part, kind="stable")
@@ -271,17 +298,17 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, uniform: float, rounds:
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    blocks = text_blocks(docs, id_col, text_col)
-    parts = max(1, blocks.count())
-    answered = answered_blocks(blocks, count_tables(blocks, parts))
+    rows = plain_texts(docs, id_col, text_col)
+    parts = parts_of(rows)
+    answered = answered_blocks(rows, count_tables(rows, parts))
     n_types, n_tokens = (int(x or 0) for x in answered.agg(F.sum("n_types"), F.sum("n_tokens")).first())
     uniform = 1.0 / (n_types + 1)
 
     def unpacked_blocks(batches, deleted: bool):
         for batch in slices(batches, 1):
-            row = {n: batch.column(n)[0].as_py() for n in [*Block.NAMES, "part", "totals"]}
+            row = {n: batch.column(n)[0].as_py() for n in [*Block.NAMES, "part", "totals", "digest"]}
             block = Block(row)
-            yield block, *estimates(block.texts, ~block.held_out, parts, dict(zip(row["part"], row["totals"])), deleted)
+            yield block, *estimates(block.texts, ~block.held_out, parts, dict(zip(row["part"], row["totals"])), row["digest"], deleted)
 
     def tally(batches):
         for block, pair, context, word, sizes in unpacked_blocks(batches, True):
