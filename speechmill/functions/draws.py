@@ -25,7 +25,7 @@ def pick(key: Column, seed: int, purpose: str, n: Column) -> Column:
 
 
 # Purposes of the arithmetic draw below.
-PURPOSES = {"word": 1, "speed": 2, "lead": 3, "carrier": 4, "near": 5}
+PURPOSES = {"word": 1, "speed": 2, "lead": 3, "carrier": 4, "near": 5, "appended": 6, "filler": 7}
 
 
 def arithmetic_uniform(key: Column, purpose: str) -> Column:

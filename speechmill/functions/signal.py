@@ -28,12 +28,13 @@ def peak(samples: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(samples, lambda x: F.abs(x))), F.lit(0))
 
 
-def _energy(samples: Column) -> Column:
+def energy(samples: Column) -> Column:
+    """Sum of squares of whole-number samples."""
     return F.aggregate(samples, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x.cast("bigint"))
 
 
 def rms(samples: Column) -> Column:
-    return let(samples, lambda a: F.coalesce(F.sqrt(F.try_divide(_energy(a).cast("double"), F.size(a))), F.lit(0.0)))
+    return let(samples, lambda a: F.coalesce(F.sqrt(F.try_divide(energy(a).cast("double"), F.size(a))), F.lit(0.0)))
 
 
 def power(samples: Column) -> Column:

@@ -10,13 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import rules
+from ..functions.arrow import whole_groups
 from .islands import runs
-from .joins import _cover, containing_spans, halo, last_refs, nearest_distance, sliding_max
+from .joins import _cover, block_of, containing_spans, halo, last_refs, nearest_distance, sliding_max
 
 REC = "recording_id"
 KEYS = [REC, "model"]
@@ -199,14 +204,49 @@ def window_sweep(ticks: DataFrame, threshold: float, windows: Sequence[int]) ->
 def sweep_grid(ticks: DataFrame, thresholds: Sequence[float], windows: Sequence[int]) -> DataFrame:
     """Event count and fired time for every threshold with every pooling window.
 
-    A tick is copied only to the thresholds that it clears.
+    An event ends at a gap wider than the window, so all cells follow from the
+    gaps between neighbouring hot ticks. Inside a block of a curve, sorted once,
+    the thresholds are taken in rising order: the ticks that the next one drops
+    leave the list and the gaps around them merge. Each threshold leaves one row
+    per block: its first and last tick and, per window, number and sum of the gaps
+    that the window bridges. The gaps between blocks are added from these rows.
     """
-    cleared = F.filter(F.array(*[F.lit(float(x)) for x in thresholds]), lambda t: F.col("score") >= t)
-    hot = ticks.select("*", F.explode(cleared).alias("threshold")).select("*", F.explode(F.array(*[F.lit(x) for x in windows])).alias("window_ms"))
-    keys = [*KEYS, "threshold", "window_ms"]
-    found = runs(hot, keys, "t_ms", "seq", BLOCK, gap=F.col("window_ms"), score="score")
-    return found.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("events"), F.sum(F.col("end") - F.col("start") + F.col("window_ms")).alias("fired_ms"))
+    levels, widths = sorted(set(map(float, thresholds))), sorted(set(windows))
+    cleared = F.size(F.filter(F.array(*[F.lit(x) for x in levels]), lambda t: F.col("score") >= t))
+    hot = ticks.select(*KEYS, block_of(F.col("t_ms"), BLOCK).alias("_blk"), F.col("t_ms").cast("double").alias("t_ms"), "seq", cleared.alias("_level")).filter("_level > 0")
+    placed = hot.repartition(*KEYS, "_blk").sortWithinPartitions(*KEYS, "_blk", "t_ms", "seq").drop("seq")
+    keys = [*KEYS, "_blk"]
+    schema = T.StructType([*hot.select(*keys).schema.fields, T.StructField("_level", T.IntegerType()), T.StructField("_first", T.DoubleType()),
+                           T.StructField("_last", T.DoubleType()), T.StructField("_n", T.LongType()),
+                           T.StructField("_joined", T.ArrayType(T.LongType())), T.StructField("_span", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
+    edges = np.array(widths, dtype=np.float64)
+
+    def merged(batches):
+        for group in whole_groups(batches, keys):
+            t, level = group.column("t_ms").to_numpy(), group.column("_level").to_numpy()
+            rows = []
+            for k in range(1, int(level.max()) + 1):
+                t, level = t[level >= k], level[level >= k]
+                gap = np.diff(t)
+                at = np.searchsorted(edges, gap)  # the narrowest window that bridges the gap
+                joined = np.cumsum(np.bincount(at, minlength=len(edges) + 1)[:-1])
+                span = np.cumsum(np.bincount(at, weights=gap, minlength=len(edges) + 1)[:-1])
+                rows.append((k, t[0], t[-1], len(t), joined.tolist(), span.tolist()))
+            names = [pa.array([group.column(c)[0].as_py()] * len(rows), f.type) for c, f in zip(keys, arrow)]
+            yield pa.RecordBatch.from_arrays([*names, *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[len(keys):])]], schema=arrow)
+
+    blocks = placed.mapInArrow(merged, schema)
+    w = W.partitionBy(*KEYS, "_level").orderBy("_blk")
+    gap = F.col("_first") - F.lag("_last").over(w)
+    cells = blocks.withColumn("_gap", gap).select(*KEYS, "_level", "_n", "_gap", F.posexplode(F.arrays_zip("_joined", "_span")).alias("_w", "_c")).withColumn(
+        "window_ms", F.element_at(F.array(*[F.lit(x) for x in widths]), F.col("_w") + 1))
+    bridged = F.coalesce(F.col("_gap") <= F.col("window_ms"), F.lit(False))
+    sums = cells.groupBy(*KEYS, "_level", "window_ms").agg(
+        (F.sum("_n") - F.sum(F.col("_c._joined") + bridged.cast("bigint"))).alias("events"),
+        F.sum(F.col("_c._span") + F.when(bridged, F.col("_gap")).otherwise(0.0)).alias("_spans"))
+    return sums.select(*KEYS, F.element_at(F.array(*[F.lit(x) for x in levels]), F.col("_level")).alias("threshold"), "window_ms", "events",
+                       (F.col("_spans") + F.col("events") * F.col("window_ms")).cast(ticks.schema["t_ms"].dataType).alias("fired_ms"))
 
 
 def account(ticks: DataFrame, targets: DataFrame, threshold: float, pre: int = PRE_MS, post: int = POST_MS,

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
-from ..functions.rows import let
+from ..functions.rows import explode_rows, let
+from ..session import settled
 
 # Words of the ranked list and of its part that gets phones.
 WORD_PATTERN = "^[a-z]{2,12}$"
 PROMPT_WORDS = 20_000
 PHONE_WORDS = 50_000
 CONTENT_WORDS = 8_000
-NEAR_LIMIT, NEAR_PER_WORD, MAX_DISTANCE, LENGTH_SLACK = 16, 4, 4, 2
+NEAR_LIMIT, NEAR_PER_WORD, MAX_DISTANCE, LENGTH_SLACK, APPENDED_NEAREST = 16, 4, 4, 2, 10
 RECENT_WINDOW = 48
 
 # Words that carry no content.
@@ -81,36 +82,65 @@ def phone_code(phones: Column) -> Column:
         F.array_contains(known, p), F.chr(F.array_position(known, p) + 64)).otherwise(other(p))), "")
 
 
+def deletions(word: Column, most: int) -> Column:
+    """Hashes of the distinct strings left after taking up to ``most`` characters out of a word."""
+    def one_less(strings: Column) -> Column:
+        places = lambda v: F.when(F.length(v) > 0, F.sequence(F.lit(1), F.length(v))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.flatten(F.transform(strings, lambda v: F.transform(
+            places(v), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1))))))
+
+    def grown(strings: Column, left: int) -> Column:
+        return strings if not left else let(strings, lambda s: F.concat(s, grown(one_less(s), left - 1)))
+
+    return F.transform(F.array_distinct(grown(F.array(word), most)), lambda v: F.xxhash64(v))
+
+
+def pairs_within(targets: DataFrame, lexicon: DataFrame, far: int) -> DataFrame:
+    """Pairs of a target (word, _tc) and a lexicon word (near, near_rank, _nc) at an edit distance of 1 to ``far``.
+
+    Codes that near become the same string when each loses at most ``far``
+    characters, so hashes of these strings are the join key. The distance is
+    computed only for pairs that meet, once each.
+    """
+    left = explode_rows(targets, ["word", "_tc"], deletions(F.col("_tc"), far), "_p", "_v").drop("_p")
+    right = explode_rows(lexicon, ["near", "near_rank", "_nc"], deletions(F.col("_nc"), far), "_p", "_v").drop("_p")
+    met = left.join(right, "_v").filter(F.abs(F.length("_tc") - F.length("_nc")) <= LENGTH_SLACK).drop("_v").distinct()
+    return met.withColumn("distance", F.levenshtein("_tc", "_nc", far)).filter(F.col("distance").between(1, far)).select("word", "distance", "near_rank", "near")
+
+
 def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT, code: str = "code", most: int | None = None) -> DataFrame:
     """Nearest lexicon words of each target (word, code, exclude): distance 1..4, ranked.
 
-    Each distinct word is compared with the lexicon words of nearly its length;
-    how many of the nearest are kept allows for the most words that a target
-    excludes (``most``, else read from the targets), and the targets then drop
-    theirs. The largest distance holds most words and is rarely needed, so only
-    words with too few nearer ones are compared up to it. Spark broadcasts
-    the lexicon only while it is small. Words are few bytes but much work, so
-    they are dealt over the session's shuffle partitions, which adaptive
-    execution would otherwise merge by size.
+    The search is by deletion neighbourhoods (:func:`pairs_within`), first up to
+    distance 2, where most words have enough neighbours that no target excludes;
+    only words that have too few go on to 3, and then to 4. At most ``limit``
+    and the words that a target excludes (``most``, else read from the targets)
+    are kept of a word's nearest; the targets then drop theirs. ``lexicon`` is
+    read in each round: hand in a written table. Words are few bytes but much
+    work, so they are dealt over the session's shuffle partitions.
     """
     tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lex = lexicon.filter(F.length("word") > 2).select(
-        F.col("word").alias("near"), F.col("rank").alias("near_rank"), F.col(code).alias("_nc"), F.length(code).alias("_len"))
-    n = F.length("_tc")
-    lengths = F.sequence(F.greatest(n - LENGTH_SLACK, F.lit(1)), n + LENGTH_SLACK)
-    each = targets.select("word", F.col(code).alias("_tc")).distinct().repartition(tasks, "word")
-    pairs = each.select("word", "_tc", F.explode(lengths).alias("_len")).join(lex, "_len")
+        F.col("word").alias("near"), F.col("rank").alias("near_rank"), F.col(code).alias("_nc")).repartition(tasks, "near")
     order = ["distance", "near_rank", "near"]
     kept = limit + (int(targets.agg(F.max(F.size("exclude"))).first()[0] or 0) if most is None else most)
-
-    def nearest_up_to(rows: DataFrame, far: int) -> DataFrame:
-        scored = rows.withColumn("distance", F.levenshtein("_tc", "_nc", far)).filter(F.col("distance").between(1, far))
-        return scored.withColumn("_r", F.row_number().over(W.partitionBy("word").orderBy(*order))).filter(F.col("_r") <= kept).select("word", *order)
-
-    near = nearest_up_to(pairs, MAX_DISTANCE - 1)
-    full = near.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == kept).select("word")
-    nearest = near.join(full, "word", "left_semi").unionByName(nearest_up_to(pairs.join(full, "word", "left_anti"), MAX_DISTANCE))
-    allowed = targets.select("word", "exclude").distinct().join(nearest, "word").filter(~F.array_contains("exclude", F.col("near")))
+    wanted = settled(targets.select("word", "exclude", F.col(code).alias("_tc")).distinct(), "near-targets")
+    left, found = wanted.select("word", "_tc").distinct(), []
+    for far in range(2, MAX_DISTANCE + 1):
+        ranked = pairs_within(left.repartition(tasks, "word"), lex, far).withColumn("_r", F.row_number().over(W.partitionBy("word").orderBy(*order)))
+        near = settled(ranked.filter(F.col("_r") <= kept).select("word", *order), "near-words")
+        met = near.groupBy("word").agg(F.collect_list("near").alias("_n"))
+        free = F.size(F.array_except(F.coalesce("_n", F.array().cast("array<string>")), "exclude"))
+        full = left.select("word").join(wanted, "word").join(met, "word", "left").groupBy("word").agg(F.min(free).alias("_free")).filter(F.col("_free") >= limit)
+        left = settled(left.join(full, "word", "left_anti"), "near-targets")
+        done = far == MAX_DISTANCE or left.isEmpty()
+        found.append(near if done else near.join(left, "word", "left_anti"))
+        if done:
+            break
+    nearest = found[0]
+    for rows in found[1:]:
+        nearest = nearest.unionByName(rows)
+    allowed = wanted.select("word", "exclude").join(nearest, "word").filter(~F.array_contains("exclude", F.col("near")))
     return allowed.withColumn("position", F.row_number().over(W.partitionBy("word", "exclude").orderBy(*order))).filter(
         F.col("position") <= limit).select("word", "exclude", "near", "near_rank", "distance", "position")
 
@@ -119,21 +149,38 @@ def _replace_at(words: Column, index: Column, value: Column) -> Column:
     return F.transform(words, lambda w, i: F.when(i == index, value).otherwise(w))
 
 
-def near_miss_phrases(phrases: DataFrame, near: DataFrame, uniform: Uniform, per_word: int = NEAR_PER_WORD, limit: int = 10) -> DataFrame:
+def near_miss_phrases(phrases: DataFrame, near: DataFrame, uniform: Uniform, fillers: DataFrame | None = None, per_word: int = NEAR_PER_WORD,
+                      limit: int = 10) -> DataFrame:
     """Phrases with one word replaced by a near word: phrase_id and ``variant``.
 
     ``phrases(phrase_id, words)``; ``near`` from :func:`near_words`, of which
-    ``per_word`` are drawn for each word. A one-word phrase also gets near words
-    with a filler word appended.
+    ``per_word`` are drawn for each word. A one-word phrase also gets some of its
+    ten nearest words with a drawn word of ``fillers`` (word, rank from 1 without
+    gaps) appended, or "now" where there is no other filler than the word itself.
     """
     each = phrases.select("phrase_id", "words", F.array_distinct("words").alias("exclude"), F.posexplode("words").alias("at", "word"))
-    chance = uniform(F.col("phrase_id") * 1_000_003 + F.col("at") * 100 + F.col("position"), "near")
-    drawn = F.row_number().over(W.partitionBy("phrase_id", "at").orderBy(chance, "position"))
-    picked = each.join(near, ["word", "exclude"]).withColumn("position", drawn).filter(F.col("position") <= per_word)
+    met = each.join(near, ["word", "exclude"])
+
+    def drawn(rows: DataFrame, purpose: str) -> DataFrame:
+        chance = uniform(F.col("phrase_id") * 1_000_003 + F.col("at") * 100 + F.col("position"), purpose)
+        nth = F.row_number().over(W.partitionBy("phrase_id", "at").orderBy(chance, "position"))
+        return rows.withColumn("position", nth).filter(F.col("position") <= per_word)
+
+    picked = drawn(met, "near")
     replaced = picked.select("phrase_id", "words", "at", "position",
                              F.array_join(_replace_at(F.col("words"), F.col("at"), F.col("near")), " ").alias("variant"), F.lit(0).alias("part"))
-    appended = picked.filter(F.size("words") == 1).select(
-        "phrase_id", "words", "at", "position", F.concat("near", F.lit(" now")).alias("variant"), F.lit(1).alias("part"))
+    single = drawn(met.filter((F.size("words") == 1) & (F.col("position") <= APPENDED_NEAREST)), "appended")
+    filler = F.lit("now")
+    if fillers is not None:
+        pool = fillers.select(F.col("word").alias("filler"), F.col("rank").alias("_k"))
+        own = pool.select(F.col("filler").alias("word"), F.col("_k").alias("_own"))
+        # one draw among the pool without the phrase's own word: ranks from its own on move up by one
+        n = pool.agg(F.count(F.lit(1))).scalar() - F.when(F.col("_own").isNotNull(), 1).otherwise(0)
+        k = (F.floor(uniform(F.col("phrase_id") * 1_000_003 + F.col("position"), "filler") * n) + 1).cast("bigint")
+        single = single.join(own, "word", "left").withColumn("_k", k).withColumn("_k", F.col("_k") + F.when(F.col("_own") <= F.col("_k"), 1).otherwise(0))
+        single = single.join(pool, "_k", "left")
+        filler = F.coalesce("filler", F.lit("now"))
+    appended = single.select("phrase_id", "words", "at", "position", F.concat_ws(" ", "near", filler).alias("variant"), F.lit(1).alias("part"))
     rows = replaced.unionByName(appended).filter((F.col("variant") != "") & (F.col("variant") != F.array_join("words", " ")))
     first = rows.groupBy("phrase_id", "variant").agg(F.min(F.struct("part", "at", "position")).alias("_o"))
     w = W.partitionBy("phrase_id").orderBy("_o", "variant")

@@ -9,12 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text
+from ..functions.arrow import changes
 from ..functions.rows import let
+from ..session import settled
 from .greedy import greedy_chunks, greedy_select
 from .joins import band_join, halo, last_refs, overlap_anti
 
@@ -72,29 +78,135 @@ def longest(rows: DataFrame, length: Column) -> int:
     return int(rows.agg(F.max(length)).first()[0] or 1)
 
 
-def rare_phrase_ranges(words: DataFrame, phrases: DataFrame, tokens: Column, norm: Column, keys: Sequence[str],
+#: Odd base of the rolling hash and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bits of the table that tells which hashes no phrase has: 8 MB at any number of phrases.
+FILTER_BITS = 26
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def window_hashes(prefix: np.ndarray, inverse: np.ndarray, n: int) -> np.ndarray:
+    """Rabin-Karp hashes of all windows of ``n`` tokens, from the prefix sums of token hash times base power."""
+    h = (prefix[n:] - prefix[:-n]) * inverse[: len(prefix) - n]
+    h ^= np.uint64(n * 0xD6E8FEB86659FD93 % (1 << 64))
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def prefix_sums(token: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(token) + 1, dtype=np.uint64)
+    np.cumsum(token * _powers(_BASE, len(token)), out=out[1:])
+    return out
+
+
+def many_phrase_ranges(words: DataFrame, phrases: DataFrame, tokens: Column, norm: Column, keys: Sequence[str],
                        phrase_keys: Sequence[str]) -> DataFrame:
-    """:func:`phrase_ranges` for many long phrases.
+    """:func:`phrase_ranges` for any number of phrases of any length.
 
-    Only the longest token of a phrase, which is rarely a common word, looks for
-    places; the other tokens are then compared at the places found.
+    Each phrase has one hash of its tokens; blocks of words compute the rolling
+    hash of every window of every phrase length. Windows whose hash no phrase has
+    drop out by a bit table of fixed size, the rest meet the phrases by an
+    equi-join on the hash and are compared token by token. No single word is
+    ever a join key, and what is joined is little more than the hits.
     """
     keys, phrase_keys = list(keys), list(phrase_keys)
+    spark = words.sparkSession
     # a phrase without words would match everywhere
     whole = phrases.select(*phrase_keys, tokens.alias("_t")).filter(F.size("_t") > 0)
-    lengths = F.transform("_t", lambda t: F.length(t))
-    anchor = (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int")
-    anchored = whole.select(*phrase_keys, "_t", anchor.alias("_at"), F.get("_t", anchor).alias("_token"))
-    w = words.select(*keys, "ordinal", F.coalesce(norm, F.lit("")).alias("_token"), "start_ms", "end_ms")
-    places = w.select(*keys, "ordinal", "_token").join(anchored, "_token").select(
-        *keys, *phrase_keys, (F.col("ordinal") - F.col("_at")).alias("first"), "_t")
-    wanted = places.select(*keys, *phrase_keys, "first", F.size("_t").cast("bigint").alias("n"), F.posexplode("_t").alias("_at", "_token")).withColumn(
-        "ordinal", F.col("first") + F.col("_at"))
-    met = w.join(wanted, [*keys, "ordinal", "_token"])
-    return (met.groupBy(*keys, *phrase_keys, "first", "n").agg(
-        F.count(F.lit(1)).alias("_votes"), F.min(F.when(F.col("_at") == 0, F.col("start_ms"))).alias("start_ms"),
-        F.max(F.when(F.col("_at") == F.col("n") - 1, F.col("end_ms"))).alias("end_ms"))
-        .filter("_votes = n").drop("_votes").withColumn("last", F.col("first") + F.col("n") - 1))
+    long_type = T.LongType()
+    hashed = whole.select(*phrase_keys, "_t", F.transform("_t", lambda t: F.xxhash64(t)).alias("_h"))
+    keyed_schema = T.StructType([*whole.schema.fields, T.StructField("_key", long_type)])
+    keyed_arrow, kept = to_arrow_schema(keyed_schema), whole.columns
+
+    def phrase_hashes(batches):
+        for batch in batches:
+            found = []
+            for h in batch.column("_h").to_pylist():
+                token = np.array(h, dtype=np.int64).view(np.uint64)
+                found.append(int(window_hashes(prefix_sums(token), _powers(_INVERSE, 1), len(h)).view(np.int64)[0]))
+            columns = [batch.column(c) for c in kept] + [pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, keyed_arrow)], schema=keyed_arrow)
+
+    keyed = settled(hashed.mapInArrow(phrase_hashes, keyed_schema), "phrases")
+    lengths = sorted(r[0] for r in keyed.select(F.size("_t")).distinct().collect())
+    reach = lengths[-1] if lengths else 1
+    at = F.pmod(F.col("_key"), F.lit(1 << FILTER_BITS))
+    maps = keyed.select(F.shiftright(at, 15).alias("_m"), (at % (1 << 15)).alias("_bit")).groupBy("_m").agg(F.bitmap_construct_agg("_bit").alias("_bits")).collect()
+    bits = np.zeros((1 << (FILTER_BITS - 15), 1 << 12), dtype=np.uint8)
+    for r in maps:
+        bits[r["_m"]] = np.frombuffer(bytes(r["_bits"]), dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(bits.ravel())
+
+    block = max(WORD_BLOCK, reach)
+    w = words.select(*keys, "ordinal", "start_ms", "end_ms", F.coalesce(norm, F.lit("")).alias("_token"))
+    spread = halo(w, "ordinal", block, 0, reach - 1).withColumn("_h", F.xxhash64("_token"))
+    placed = spread.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", "ordinal")
+    fields = [f for f in words.select(*keys).schema.fields]
+    schema = T.StructType([*fields, *[T.StructField(c, long_type) for c in ("first", "n", "start_ms", "end_ms", "_key")],
+                           T.StructField("_w", T.ArrayType(T.StringType()))])
+    arrow = to_arrow_schema(schema)
+
+    def search(batches):
+        table, tail = shared.value, None
+        mask = np.uint64((1 << FILTER_BITS) - 1)
+
+        def found(chunk: pa.Table, last: bool):
+            rows = chunk.num_rows
+            token = chunk.column("_h").to_numpy().astype(np.int64).view(np.uint64)
+            ordinal = chunk.column("ordinal").to_numpy().astype(np.int64)
+            core = chunk.column("_core").to_numpy(zero_copy_only=False)
+            group = np.concatenate([[0], np.cumsum(changes(chunk, [*keys, "_blk"]))])
+            prefix, inverse = prefix_sums(token), _powers(_INVERSE, rows)
+            ready = rows if last else rows - (reach - 1)  # rows behind which every window is there
+            starts, sizes, hashes = [], [], []
+            for n in lengths:
+                if n > rows:
+                    break
+                h = window_hashes(prefix, inverse, n)[:max(ready, 0)]
+                place = h & mask
+                hit = (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+                i = np.flatnonzero(hit)
+                i = i[core[i] & (group[i + n - 1] == group[i]) & (ordinal[i + n - 1] - ordinal[i] == n - 1)]
+                starts.append(i)
+                sizes.append(np.full(len(i), n))
+                hashes.append(h[i])
+            if not starts or not sum(map(len, starts)):
+                return None
+            i, n, h = np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes)
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            inside = np.repeat(i - offsets[:-1], n) + np.arange(offsets[-1])
+            tokens_at = chunk.column("_token").combine_chunks().take(pa.array(inside))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens_at)
+            first = pa.array(i)
+            columns = [*[chunk.column(k).combine_chunks().take(first) for k in keys], pa.array(ordinal[i]), pa.array(n),
+                       chunk.column("start_ms").combine_chunks().take(first), chunk.column("end_ms").combine_chunks().take(pa.array(i + n - 1)),
+                       pa.array(h.view(np.int64)), lists]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk = pa.Table.from_batches([batch])
+            chunk = chunk if tail is None else pa.concat_tables([tail, chunk])
+            out = found(chunk, False)
+            if out is not None:
+                yield out
+            # rows whose windows were not all there come again
+            tail = chunk.slice(max(chunk.num_rows - (reach - 1), 0))
+        if tail is not None and tail.num_rows:
+            out = found(tail, True)
+            if out is not None:
+                yield out
+
+    candidates = placed.mapInArrow(search, schema)
+    met = candidates.join(keyed, "_key").filter(F.col("_w") == F.col("_t"))
+    return met.select(*keys, *phrase_keys, "first", "n", "start_ms", "end_ms", (F.col("first") + F.col("n") - 1).alias("last"))
 
 
 def phrase_occurrences(hits: DataFrame, keys: Sequence[str], max_words: int | None = None) -> DataFrame:

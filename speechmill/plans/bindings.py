@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions import rules, text
 from ..functions.rows import explode_rows
+from ..operators.ranking import ordered_index
 
 # Fixed value: the target phrase of each project.
 PHRASE_BY_PROJECT = {"en": "the the", "es": "de de", "de": "der der", "fr": "de de"}
@@ -209,6 +210,14 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of a label as one take, a chunk of samples per vector: take_id, offset, samples."""
+    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("long_"), F.col("label").cast("string")).alias("take_id"), "vec_id", "embedding")
+    loud = F.when(F.col("vec_id") % 3 == 0, 30000.0).otherwise(300.0)
+    return ordered_index(v, ["take_id"], "vec_id").select("take_id", (F.col("rn") * 64).cast("bigint").alias("offset"),
+                                                           F.transform("embedding", lambda e: F.round(e.cast("double") * loud).cast("int")).alias("samples"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training runs: one row per line item of an order."""
     o = table(spark, sf_dir, "orders")
@@ -305,6 +314,11 @@ SELECT label || '_' || (vec_id // 400) AS take_id,
   flatten(list(list_transform(embedding, lambda e: CAST(round(CAST(e AS DOUBLE)
       * CASE WHEN vec_id % 3 = 0 THEN 30000.0::DOUBLE ELSE 300.0::DOUBLE END) AS INTEGER)) ORDER BY vec_id)) AS samples
 FROM embeddings GROUP BY label, vec_id // 400""",
+    "v_long_samples": """
+SELECT take_id, x, i, COUNT(*) OVER (PARTITION BY take_id) AS n FROM (
+  SELECT 'long_' || label AS take_id, unnest(s) AS x, CAST((rn - 1) * 64 + generate_subscripts(s, 1) - 1 AS BIGINT) AS i FROM (
+    SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, list_transform(embedding, lambda e: CAST(round(CAST(e AS DOUBLE)
+      * CASE WHEN vec_id % 3 = 0 THEN 30000.0::DOUBLE ELSE 300.0::DOUBLE END) AS INTEGER)) AS s FROM embeddings))""",
     "v_samples": """
 SELECT take_id, unnest(samples) AS x, CAST(generate_subscripts(samples, 1) - 1 AS BIGINT) AS i,
   CAST(len(samples) AS BIGINT) AS n FROM v_clips""",

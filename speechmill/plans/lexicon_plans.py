@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text
 from ..functions.draws import arithmetic_uniform
 from ..operators import lexicon as lx
 from ..operators.words import longest
+from ..session import settled
 from . import bindings as b
 from .registry import query
 
@@ -43,12 +45,22 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), text.normalized_words(F.col("text")).alias("words"))
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
+#: One-word phrases, the first word of each item, are numbered from here.
+ONE_WORD = 1_000_000_000
+
+
+def long_and_short(spark: SparkSession, d: str) -> DataFrame:
+    """The items as phrases, and the first word of each as a phrase of one word."""
+    p = phrases(spark, d)
+    return p.unionByName(p.filter(F.size("words") > 0).select((F.col("phrase_id") + ONE_WORD).alias("phrase_id"), F.slice("words", 1, 1).alias("words")))
+
+
+def _near(spark: SparkSession, d: str, p: DataFrame, lex: DataFrame) -> DataFrame:
     """Near words by letters: each letter stands for a phone."""
-    words = phrases(spark, d).select(F.explode("words").alias("word"), F.array_distinct("words").alias("exclude")).distinct()
-    lex = vocab(spark, d).withColumn("code", F.col("word"))
-    targets = words.join(lex.select("word", "code"), "word")
-    return lx.near_words(targets, lex, most=longest(phrases(spark, d), F.size("words")))
+    words = p.select(F.explode("words").alias("word"), F.array_distinct("words").alias("exclude")).distinct()
+    coded = lex.withColumn("code", F.col("word"))
+    targets = words.join(coded.select("word", "code"), "word")
+    return lx.near_words(targets, coded, most=longest(p, F.size("words")))
 
 
 _PHRASE_SQL = """
@@ -56,8 +68,9 @@ ph AS (SELECT item_id AS phrase_id, list_filter(list_transform(string_split_rege
     lambda x: translate(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
     lambda x: x <> '') AS words FROM benchmark)"""
 
-NEAR_SQL = f"""
-{VOCAB_SQL}, {_PHRASE_SQL},
+_NEAR_SQL = f"""
+{VOCAB_SQL}, {_PHRASE_SQL.replace("ph AS", "pi AS", 1)},
+ph AS (SELECT * FROM pi %s),
 tg AS (SELECT DISTINCT phrase_id, words, w AS word FROM (SELECT phrase_id, words, unnest(words) AS w FROM ph) WHERE w IN (SELECT word FROM lex)),
 dw AS MATERIALIZED (SELECT DISTINCT word FROM tg),
 ds AS MATERIALIZED (SELECT dw.word, l.word AS near, l.rank AS near_rank, levenshtein(dw.word, l.word) AS distance
@@ -70,6 +83,10 @@ nr AS (SELECT phrase_id, words, word, near, near_rank, distance, ROW_NUMBER() OV
 nw AS (SELECT * FROM nr WHERE position <= 16)"""
 
 
+NEAR_SQL = _NEAR_SQL % ""
+NEAR_BOTH_SQL = _NEAR_SQL % f"UNION ALL SELECT phrase_id + {ONE_WORD}, words[1:1] FROM pi WHERE len(words) > 0"
+
+
 def _u(key: str, purpose: int) -> str:
     return f"((({key}) * 7919 + {purpose} * 104729) % 1000003 / 1000003.0::DOUBLE)"
 
@@ -78,21 +95,31 @@ def _u(key: str, purpose: int) -> str:
 WITH {NEAR_SQL}
 SELECT DISTINCT word, array_to_string(list_sort(list_distinct(words)), ' ') AS exclude, near, near_rank, CAST(distance AS INTEGER) AS distance, CAST(position AS INTEGER) AS position FROM nw""")
 def near_words(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).select("word", F.array_join(F.sort_array("exclude"), " ").alias("exclude"), "near", "near_rank", "distance", "position").distinct()
+    return _near(spark, d, phrases(spark, d), settled(vocab(spark, d), "vocabulary")).select("word", F.array_join(F.sort_array("exclude"), " ").alias("exclude"), "near", "near_rank", "distance", "position").distinct()
 
 
 @query("near_miss_phrases", f"""
-WITH {NEAR_SQL},
+WITH {NEAR_BOTH_SQL},
 ea AS (SELECT phrase_id, words, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS wi FROM ph),
-nd AS (SELECT e.phrase_id, e.words, e.wi, n.near, ROW_NUMBER() OVER (PARTITION BY e.phrase_id, e.wi
-    ORDER BY {_u("e.phrase_id * 1000003 + e.wi * 100 + n.position", 5)}, n.position) AS np
-  FROM ea e JOIN nw n ON n.phrase_id = e.phrase_id AND n.word = e.word),
-rp AS (SELECT e.phrase_id, e.words, e.wi, np, array_to_string(list_transform(e.words, lambda w, i: CASE WHEN i - 1 = e.wi THEN e.near ELSE w END), ' ') AS variant
-  FROM nd e WHERE np <= 4),
-fi AS (SELECT phrase_id, variant, MIN((wi, np)) AS o FROM rp WHERE variant <> array_to_string(words, ' ') GROUP BY ALL)
+mt AS MATERIALIZED (SELECT e.phrase_id, e.words, e.word, e.wi, n.near, n.position FROM ea e JOIN nw n ON n.phrase_id = e.phrase_id AND n.word = e.word),
+nd AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY phrase_id, wi ORDER BY {_u("phrase_id * 1000003 + wi * 100 + position", 5)}, position) AS np FROM mt),
+co AS MATERIALIZED (SELECT word, ROW_NUMBER() OVER (ORDER BY rank) AS k FROM (SELECT word, rank FROM lex
+  WHERE length(word) BETWEEN 4 AND 10 AND NOT ends_with(word, 'ed') AND NOT ends_with(word, 'ing')
+    AND word NOT IN ({", ".join(f"'{w}'" for w in lx.STOP_WORDS)}) ORDER BY rank LIMIT {lx.CONTENT_WORDS})),
+nc AS (SELECT COUNT(*) AS n FROM co),
+ap AS (SELECT a.*, o.k AS own, CAST(floor({_u("phrase_id * 1000003 + np", 7)} * (n - CASE WHEN o.k IS NULL THEN 0 ELSE 1 END)) + 1 AS BIGINT) AS k
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY phrase_id, wi ORDER BY {_u("phrase_id * 1000003 + wi * 100 + position", 6)}, position) AS np
+    FROM mt WHERE len(words) = 1 AND position <= {lx.APPENDED_NEAREST}) a LEFT JOIN co o ON o.word = a.word, nc),
+rp AS (SELECT phrase_id, words, 0 AS part, wi, np, array_to_string(list_transform(words, lambda w, i: CASE WHEN i - 1 = wi THEN near ELSE w END), ' ') AS variant
+  FROM nd WHERE np <= 4
+  UNION ALL SELECT phrase_id, words, 1, wi, np, near || ' ' || coalesce(c.word, 'now')
+  FROM ap LEFT JOIN co c ON c.k = ap.k + CASE WHEN own <= ap.k THEN 1 ELSE 0 END WHERE np <= 4),
+fi AS (SELECT phrase_id, variant, MIN((part, wi, np)) AS o FROM rp WHERE variant <> array_to_string(words, ' ') GROUP BY ALL)
 SELECT * FROM (SELECT phrase_id, variant, CAST(ROW_NUMBER() OVER (PARTITION BY phrase_id ORDER BY o, variant) AS INTEGER) AS position FROM fi) WHERE position <= 10""")
 def near_miss_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return lx.near_miss_phrases(phrases(spark, d), _near(spark, d), arithmetic_uniform)
+    lex, p = settled(vocab(spark, d), "vocabulary"), long_and_short(spark, d)
+    fillers = lx.content_words(lex).select("word", F.row_number().over(W.orderBy("rank")).cast("bigint").alias("rank"))
+    return lx.near_miss_phrases(p, _near(spark, d, p, lex), arithmetic_uniform, fillers)
 
 
 def short_phrases(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import rules
 from ..functions import signal as sg
 from ..functions.rows import explode_rows, inline_rows
 from ..operators import augment as au
+from ..operators import frames as fr
 from ..operators import ranking as rk
 from ..operators import scoring as sc
 from . import bindings as b
@@ -105,6 +106,12 @@ def hysteresis_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.select("take_id", F.col("start").cast("bigint").alias("first_frame"), F.col("end").cast("bigint").alias("end_frame"))
 
 
+@query("long_take_bursts", f"WITH {_BURST_SQL.replace('v_samples', 'v_long_samples')} SELECT take_id, start_ms, end_ms FROM bursts")
+def long_take_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of takes that grow with the table, given as many rows of samples."""
+    return fr.energy_bursts(b.long_takes(spark, d), ["take_id"], "offset", S, RATE)
+
+
 @query("energy_bursts", f"WITH {_BURST_SQL} SELECT take_id, start_ms, end_ms FROM bursts")
 def energy_bursts(spark: SparkSession, d: str) -> DataFrame:
     return bursts(b.clips(spark, d), F.lit(RATE))

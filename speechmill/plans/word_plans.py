@@ -64,7 +64,7 @@ JOIN v_norm e ON e.doc_id = w.doc_id AND e.ordinal = w.ordinal + len(p.t) - 1
 WHERE d.ns[w.ordinal + 1:w.ordinal + len(p.t)] = p.t""")
 def many_phrases(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark item, whole, as a phrase."""
-    return ww.rare_phrase_ranges(b.words(spark, d), b.table(spark, d, "benchmark"), text.normalized_words(F.col("text")),
+    return ww.many_phrase_ranges(b.words(spark, d), b.table(spark, d, "benchmark"), text.normalized_words(F.col("text")),
                                  text.norm_edge(F.col("word")), [KEY], ["item_id"]).select("item_id", KEY, "first", "start_ms", "end_ms")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "speechmill", cpus: int | str = "*",
@@ -42,3 +42,14 @@ def state_dir(spark: SparkSession, name: str) -> str:
 
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder and read back.
+
+    For tables that several steps of one job read: their work is done once,
+    their lineage is cut, and their size is known to the planner.
+    """
+    path = state_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -138,6 +138,25 @@ def target_matches(ticks: DataFrame, targets: DataFrame, threshold: float, delay
     return joined.select("recording_id", "model", "target_id", "t_ms", "seq", "score", "end_ms")
 
 
+def target_misses(ticks: DataFrame, targets: DataFrame, curves: DataFrame, threshold: float, delay: str = "10 seconds", drift_ms: int = DRIFT_MS) -> DataFrame:
+    """Targets without a hot tick, each once per curve: a watermarked left outer join of two streams.
+
+    ``curves(recording_id, model)`` is a static table of the curves that are
+    expected. A target has one time bucket and a hot tick those that it may reach,
+    at most two, so an outer row stands for the whole target; it is emitted and
+    leaves the state when the watermark has passed the last tick that could match.
+    """
+    width = 2 * drift_ms
+    reach = F.sequence(F.floor((F.col("t_ms") - drift_ms) / width).cast("bigint"), F.floor((F.col("t_ms") + drift_ms) / width).cast("bigint"))
+    hot = with_event_time(ticks.filter(F.col("score") >= threshold)).withWatermark("at", delay).select(
+        F.col("recording_id").alias("_r"), F.col("model").alias("_m"), "at", F.explode(reach).alias("_b"))
+    wanted = targets.withColumn("target_at", F.timestamp_millis("end_ms")).withWatermark("target_at", delay).withColumn(
+        "_tb", F.floor(F.col("end_ms") / width).cast("bigint")).join(curves, "recording_id")
+    near = F.expr(f"at BETWEEN target_at - INTERVAL {drift_ms} MILLISECONDS AND target_at + INTERVAL {drift_ms} MILLISECONDS")
+    same = (F.col("recording_id") == F.col("_r")) & (F.col("model") == F.col("_m")) & (F.col("_tb") == F.col("_b"))
+    return wanted.join(hot, same & near, "leftOuter").filter("at IS NULL").select("recording_id", "model", "target_id", "end_ms")
+
+
 def unique_uploads(uploads: DataFrame, keys: Sequence[str], at: str, delay: str = "1 hour") -> DataFrame:
     """Uploads without repeats of the same key inside the watermark."""
     return uploads.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))

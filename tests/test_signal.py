@@ -1,6 +1,7 @@
 """Sample operators, audio files and window scoring."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from speechmill.functions import signal as sg
 from speechmill.operators import augment as au
+from speechmill.operators import frames as fr
 from speechmill.operators import scoring as sc
 from speechmill.plans.signal_plans import bursts
 from speechmill.sources import audio
@@ -141,3 +143,36 @@ def test_wav_scan(spark, tmp_path):
     assert (good.channels, good.bits, good.rate, good.samples, good.error) == (1, 16, 16000, ramp.tolist(), None)
     assert good.sha256 == hashlib.sha256((tmp_path / "a.wav").read_bytes()).hexdigest()
     assert rows["broken.wav"].samples is None and rows["broken.wav"].error
+
+
+@pytest.mark.parametrize("seed,chunk,block", [(1, 64, 4096), (2, 7, 16), (3, 500, 3)])
+def test_bursts_of_chunked_takes_equal_those_of_whole_rows(spark, seed, chunk, block):
+    rng = random.Random(seed)
+    rows, chunks = [], []
+    for k in range(6):
+        x = []
+        for _ in range(rng.randrange(3, 40)):
+            level = rng.choice([0, 5, 200, 4000, 20000])
+            x += [rng.randrange(-level, level + 1) for _ in range(rng.randrange(1, 120))]
+        x = [3] * 400 if k == 5 else x
+        rows.append((f"t{k}", x))
+        chunks += [(f"t{k}", a, x[a: a + chunk]) for a in range(0, len(x), chunk)]
+    chunks.append(("t0", 10 ** 6, []))
+    whole = bursts(spark.createDataFrame(rows, "take_id string, samples array<int>"), F.lit(100))
+    df = spark.createDataFrame(chunks, "take_id string, offset bigint, samples array<int>")
+    got = fr.energy_bursts(df, ["take_id"], "offset", "samples", 100, block)
+    want = rows_of(whole, "take_id", "start_ms", "end_ms")
+    assert rows_of(got, "take_id", "start_ms", "end_ms") == want and len({r[0] for r in want}) >= 4
+
+
+def test_order_statistic_of_a_long_series(spark):
+    """Half of the values are equal, and most of the rest lie within one unit."""
+    df = spark.range(300_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 4 < 2, 7.25).otherwise(
+        7 + (F.col("id") * 7919 % 100_003) / 100_003.0).alias("v"))
+    values = {}
+    for k, v in df.collect():
+        values.setdefault(k, []).append(v)
+    for share in (0.0, 0.1, 0.5, 0.9):
+        rank = df.groupBy("k").agg(F.floor(F.count(F.lit(1)) * share).cast("bigint").alias("_k"))
+        got = rows_of(fr.kth_smallest(df, ["k"], "v", rank), "k", "kth")
+        assert got == sorted((k, sorted(v)[int(len(v) * share)]) for k, v in values.items())

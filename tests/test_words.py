@@ -218,7 +218,7 @@ def test_rare_token_search_matches_brute_force(spark, seed):
     w = words_frame(spark, [(x, i * 0.3, i * 0.3 + 0.2) for i, x in enumerate(said)])
     phrases = [(i, said[k: k + m]) for i, (k, m) in enumerate([(0, 1), (5, 2), (50, 6), (120, 40), (390, 10)])] + [(9, ["zz", "a"]), (10, [])]
     df = spark.createDataFrame(phrases, "item_id int, t array<string>")
-    got = rows_of(ww.rare_phrase_ranges(w, df, F.col("t"), text.norm_edge(F.col("word")), [KEY], ["item_id"]), "item_id", "first", "last")
+    got = rows_of(ww.many_phrase_ranges(w, df, F.col("t"), text.norm_edge(F.col("word")), [KEY], ["item_id"]), "item_id", "first", "last")
     want = sorted((i, k, k + len(t) - 1) for i, t in phrases if t for k in range(len(said)) if said[k: k + len(t)] == t)
     assert got == want
 
