@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as sg
 from ..functions.draws import pick, uniform
+from ..session import settled
 from .ranking import hashed_index
 
 
@@ -43,7 +44,7 @@ def pair_drawn(clips: DataFrame, pool: DataFrame, clip_id: str, pool_id: str, se
     look. The samples then follow once, and a clip that draws nothing meets no
     empty key.
     """
-    numbered = hashed_index(pool.select(pool_id), pool_id)
+    numbered = settled(hashed_index(pool.select(pool_id), pool_id), "pool")  # numbered once, read twice
     total = numbered.agg(F.max("n")).scalar()  # scalar subquery, one value
     wanted = clips.filter(only) if only is not None else clips
     drawn = wanted.select(clip_id, pick(F.col(clip_id), seed, purpose, total).alias("_rn")).distinct().filter("_rn IS NOT NULL")

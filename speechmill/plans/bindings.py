@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt out anew where its files give fewer tasks than the session has shuffle partitions.
+
+    For scans whose rows are much work (texts that are split); a table of many
+    files or row groups is left as it is.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def phrase_of(slug: Column) -> Column:
     return rules._lookup(PHRASE_BY_PROJECT, slug)
 
@@ -59,7 +69,7 @@ def tokens(spark: SparkSession, sf_dir: str, by_take: bool = False) -> DataFrame
     """
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", recording_id_of(F.col("doc_id")).alias("recording_id"), F.col("lang").alias("project_slug"), "text")
-    docs = docs.repartition("recording_id") if by_take else docs
+    docs = docs.repartition("recording_id") if by_take else dealt(docs)
     keep = ["doc_id", "recording_id", "project_slug"]
     return explode_rows(docs, keep, text.tokens(F.col("text")), "ordinal", "word").withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
@@ -82,7 +92,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; the duration is summed inside the row."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     d = F.col("doc_id")
     toks = text.tokens(F.col("text"))
     spans = F.transform(toks, lambda w, i: _word_ms(w, d, i.cast("bigint")) + _gap_ms(w))

@@ -182,7 +182,7 @@ def _project_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("weighted_words", f"""
 WITH RECURSIVE {VOCAB_SQL}, {_PHRASE_SQL},
-n AS (SELECT LEAST(COUNT(*), 2000) AS n FROM lex),
+n AS (SELECT LEAST(COUNT(*), {lx.PROMPT_WORDS}) AS n FROM lex),
 dr AS MATERIALIZED (SELECT slug, i, l.word FROM (
     SELECT phrase_id AS slug, i, CAST(LEAST(floor(n * {_u("phrase_id * 1000003 + i", 1)} * {_u("phrase_id * 1000003 + i", 1)}), n - 1) AS BIGINT) + 1 AS rank
     FROM (SELECT *, unnest(range(0, 12064)) AS i FROM ph), n) d JOIN lex l ON l.rank = d.rank),
@@ -194,7 +194,7 @@ st(slug, words, i, acc) AS (
 fi AS (SELECT slug, arg_max(acc, i) AS acc FROM st GROUP BY slug)
 SELECT slug, CAST(generate_subscripts(acc, 1) - 1 AS INTEGER) AS i, unnest(acc) AS word FROM fi""")
 def weighted_words(spark: SparkSession, d: str) -> DataFrame:
-    return lx.weighted_words(_project_keys(spark, d), vocab(spark, d, 2000), 300, arithmetic_uniform)
+    return lx.weighted_words(_project_keys(spark, d), vocab(spark, d, lx.PROMPT_WORDS), 300, arithmetic_uniform)
 
 
 @query("synth_plan", f"""

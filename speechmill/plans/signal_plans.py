@@ -13,6 +13,7 @@ from ..operators import augment as au
 from ..operators import frames as fr
 from ..operators import ranking as rk
 from ..operators import scoring as sc
+from ..session import settled
 from . import bindings as b
 from .registry import query
 
@@ -258,7 +259,7 @@ def window_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("composite_windows")
 def composite_windows(spark: SparkSession, d: str) -> DataFrame:
     """Composited windows of all clips; draws are hashes, so there is no SQL twin."""
-    f = b.clips(spark, d).select(F.col("take_id").alias("clip_id"), sg.to_float(F.col(S)).alias("samples"))
+    f = settled(b.clips(spark, d).select(F.col("take_id").alias("clip_id"), sg.to_float(F.col(S)).alias("samples")), "clips")
     cfg = au.CompositeSettings(rate=100, fade_ms=100.0)
     beds = f.select(F.col("clip_id").alias("bed_id"), F.col("samples").alias("bed"))
     fillers = f.select(F.col("clip_id").alias("filler_id"), F.col("samples").alias("filler"))
@@ -269,9 +270,9 @@ def composite_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("augmentation_round")
 def augmentation_round(spark: SparkSession, d: str) -> DataFrame:
-    f = b.clips(spark, d).select(
+    f = settled(b.clips(spark, d).select(
         F.col("take_id").alias("clip_id"), sg.to_float(F.col(S)).alias("samples"),
-        F.when(F.startswith("take_id", F.lit("1")), "positive_train").otherwise("negative_train").alias("split"))
+        F.when(F.startswith("take_id", F.lit("1")), "positive_train").otherwise("negative_train").alias("split")), "clips")
     cfg = au.CompositeSettings(rate=100, fade_ms=100.0)
     beds = f.select(F.col("clip_id").alias("bed_id"), F.col("samples").alias("bed"))
     fillers = f.select(F.col("clip_id").alias("filler_id"), F.col("samples").alias("filler"))

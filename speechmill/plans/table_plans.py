@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import tables as tb
 from ..operators.ranking import hashed_index
+from ..operators.words import background_windows
+from ..session import state_dir
+from ..sources import sinks
 from . import bindings as b
 from .registry import query
 
@@ -206,6 +209,25 @@ def reprocess_list(spark: SparkSession, d: str) -> DataFrame:
     return tb.reprocess_list(routed, t.filter("doc_id % 6 <> 0"), recogniser=False).select("recording_id", "action")
 
 
+@query("reprocess_swap", """
+WITH t AS (SELECT recording_id, duration_ms FROM v_takes WHERE script = '__background_noise__' AND doc_id % 6 <> 0)
+SELECT recording_id, category, start_ms FROM v_slices WHERE recording_id NOT IN (SELECT recording_id FROM t)
+UNION ALL SELECT recording_id, 'background', s FROM (SELECT recording_id, duration_ms, unnest(range(0, duration_ms, 2000)) AS s FROM t)
+WHERE LEAST(s + 2000, duration_ms) - s >= 1000""")
+def reprocess_swap(spark: SparkSession, d: str) -> DataFrame:
+    """Background takes with a source are cut again; their rows in the stored table are swapped."""
+    store = sinks.TakeStore(spark, state_dir(spark, "slices"))
+    store.create(b.slices(spark, d).select("recording_id", "category", "start_ms"))
+    t = b.takes(spark, d)
+    routed = t.withColumn("strategy", F.when(F.col("script") == rules.BACKGROUND_MARKER, "background").otherwise("lexical"))
+
+    def recut(takes: DataFrame) -> DataFrame:
+        return background_windows(takes).select("recording_id", F.lit("background").alias("category"), F.col("cut_start_ms").alias("start_ms"))
+
+    sinks.reprocess(store, tb.reprocess_list(routed, t.filter("doc_id % 6 <> 0"), recogniser=False), recut, "again")
+    return store.read()
+
+
 @query("missing_audio", "SELECT recording_id FROM v_takes WHERE doc_id NOT IN (SELECT page_id FROM pages)")
 def missing_audio(spark: SparkSession, d: str) -> DataFrame:
     """Takes without a listed source file (pages stand in for the listing)."""

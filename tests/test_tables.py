@@ -243,3 +243,41 @@ def test_streams_over_several_batches(spark, tmp_path):
     assert [r[0] for r in rows_of(fresh, "seq")] == [i for i in range(400) if i % 3]
     last = live.latest_state(stream(), ["model"], ["t_ms"], ["seq", "score"])
     assert last.first().seq == 599
+
+
+@pytest.mark.parametrize("failing", ["r-staged", "r-done", None])
+def test_swap_goes_on_after_a_failure(spark, tmp_path, monkeypatch, failing):
+    """A run that dies before a mark is run again and gives the same rows; other buckets are not written."""
+    store = sinks.TakeStore(spark, str(tmp_path / "store"), buckets=8)
+    rows = [(f"t{i}", k) for i in range(30) for k in range(3)]
+    store.create(spark.createDataFrame(rows, "recording_id string, at int"))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "data").glob("_bucket=*/*.parquet")}
+    touched = spark.createDataFrame([("t1",), ("t2",), ("new",)], "recording_id string")
+    fresh = spark.createDataFrame([("t1", 100), ("new", 5), ("t9", 7)], "recording_id string, at int")
+    mark = sinks.TakeStore._mark
+
+    def dying(self, name):
+        if name == failing:
+            raise RuntimeError("lost")
+        mark(self, name)
+
+    monkeypatch.setattr(sinks.TakeStore, "_mark", dying)
+    if failing:
+        with pytest.raises(RuntimeError):
+            store.swap(touched, fresh, "r")
+    monkeypatch.setattr(sinks.TakeStore, "_mark", mark)
+    store.swap(touched, fresh, "r")
+    want = sorted([r for r in rows if r[0] not in ("t1", "t2")] + [("t1", 100), ("new", 5)])
+    assert sorted(map(tuple, store.read().collect())) == want
+    store.swap(touched, spark.createDataFrame([("t1", -1)], "recording_id string, at int"), "r")  # already done
+    assert sorted(map(tuple, store.read().collect())) == want
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "data").glob("_bucket=*/*.parquet")}
+    hit = {r[0] for r in store._bucketed(touched).select("_bucket").collect()}
+    assert all(after.get(p) == t for p, t in before.items() if int(p.parent.name.split("=")[1]) not in hit)
+
+
+def test_swap_empties_a_bucket(spark, tmp_path):
+    store = sinks.TakeStore(spark, str(tmp_path / "store"), buckets=64)
+    store.create(spark.createDataFrame([("a", 1), ("b", 2)], "recording_id string, at int"))
+    store.swap(spark.createDataFrame([("a",)], "recording_id string"), store.read().limit(0), "gone")
+    assert list(map(tuple, store.read().collect())) == [("b", 2)]
