@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text
-from ..functions.rows import explode_rows, let
+from ..functions.rows import let
 from ..session import settled
 
 # Words of the ranked list and of its part that gets phones.
@@ -82,17 +86,42 @@ def phone_code(phones: Column) -> Column:
         F.array_contains(known, p), F.chr(F.array_position(known, p) + 64)).otherwise(other(p))), "")
 
 
-def deletions(word: Column, most: int) -> Column:
-    """Hashes of the distinct strings left after taking up to ``most`` characters out of a word."""
-    def one_less(strings: Column) -> Column:
-        places = lambda v: F.when(F.length(v) > 0, F.sequence(F.lit(1), F.length(v))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.flatten(F.transform(strings, lambda v: F.transform(
-            places(v), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1))))))
-
-    def grown(strings: Column, left: int) -> Column:
-        return strings if not left else let(strings, lambda s: F.concat(s, grown(one_less(s), left - 1)))
-
-    return F.transform(F.array_distinct(grown(F.array(word), most)), lambda v: F.xxhash64(v))
+def deletion_hashes(codes: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of all strings left after taking up to ``most`` characters out of
+    equally long strings, given as rows of character codes; one column per choice."""
+    rows, n = codes.shape
+    out = []
+    for gone in range(min(most, n) + 1):
+        for kept in combinations(range(n), n - gone):
+            h = np.full(rows, n - gone + 1, dtype=np.uint64)
+            for j in kept:
+                h = h * np.uint64(0x100000001B3) + codes[:, j]
+            out.append(h ^ (h >> np.uint64(29)))
+    return np.stack(out, axis=1)
+
+
+def deletion_rows(df: DataFrame, keep: Sequence[str], code: str, most: int) -> DataFrame:
+    """``keep`` and ``_v``, a hash, for every string left after taking up to ``most`` characters out of ``code``."""
+    keep = list(keep)
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("_v", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            strings = batch.column(len(keep)).to_pylist()
+            lengths = np.array([len(x or "") for x in strings])
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                codes = np.array([strings[i] or "" for i in at], dtype=f"<U{max(n, 1)}").view(np.uint32).reshape(len(at), -1)[:, :n].astype(np.uint64)
+                hashes = deletion_hashes(codes, most)
+                step = max(1, 500_000 // hashes.shape[1])
+                for a in range(0, len(at), step):
+                    part = hashes[a: a + step]
+                    rows = pa.array(np.repeat(at[a: a + step], part.shape[1]))
+                    columns = [*[batch.column(k).take(rows) for k in range(len(keep))], pa.array(part.ravel().view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return df.select(*keep, code).mapInArrow(run, schema)
 
 
 def pairs_within(targets: DataFrame, lexicon: DataFrame, far: int) -> DataFrame:
@@ -100,12 +129,12 @@ def pairs_within(targets: DataFrame, lexicon: DataFrame, far: int) -> DataFrame:
 
     Codes that near become the same string when each loses at most ``far``
     characters, so hashes of these strings are the join key. The distance is
-    computed only for pairs that meet, once each.
+    computed only for pairs that meet, once each. Ranks name lexicon words.
     """
-    left = explode_rows(targets, ["word", "_tc"], deletions(F.col("_tc"), far), "_p", "_v").drop("_p")
-    right = explode_rows(lexicon, ["near", "near_rank", "_nc"], deletions(F.col("_nc"), far), "_p", "_v").drop("_p")
-    met = left.join(right, "_v").filter(F.abs(F.length("_tc") - F.length("_nc")) <= LENGTH_SLACK).drop("_v").distinct()
-    return met.withColumn("distance", F.levenshtein("_tc", "_nc", far)).filter(F.col("distance").between(1, far)).select("word", "distance", "near_rank", "near")
+    left, right = deletion_rows(targets, ["word"], "_tc", far), deletion_rows(lexicon, ["near_rank"], "_nc", far)
+    met = left.join(right, "_v").select("word", "near_rank").distinct().join(lexicon, "near_rank").join(targets, "word")
+    close = met.filter(F.abs(F.length("_tc") - F.length("_nc")) <= LENGTH_SLACK)
+    return close.withColumn("distance", F.levenshtein("_tc", "_nc", far)).filter(F.col("distance").between(1, far)).select("word", "distance", "near_rank", "near")
 
 
 def near_words(targets: DataFrame, lexicon: DataFrame, limit: int = NEAR_LIMIT, code: str = "code", most: int | None = None) -> DataFrame:

@@ -281,3 +281,27 @@ def test_swap_empties_a_bucket(spark, tmp_path):
     store.create(spark.createDataFrame([("a", 1), ("b", 2)], "recording_id string, at int"))
     store.swap(spark.createDataFrame([("a",)], "recording_id string"), store.read().limit(0), "gone")
     assert list(map(tuple, store.read().collect())) == [("b", 2)]
+
+
+def test_deletion_neighbourhoods_meet_within_the_distance(spark):
+    import random
+
+    import numpy as np
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(1)
+    words = sorted({"".join(r.choice("abcé") for _ in range(r.randrange(1, 8))) for _ in range(120)})
+    lex = spark.createDataFrame([(w, k + 1, w) for k, w in enumerate(words)], "near string, near_rank bigint, _nc string")
+    targets = spark.createDataFrame([(w, w) for w in words[::7]], "word string, _tc string")
+    for far in (1, 2, 3):
+        want = sorted((a, b, distance(a, b)) for a in words[::7] for b in words if 1 <= distance(a, b) <= far and abs(len(a) - len(b)) <= lx.LENGTH_SLACK)
+        assert rows_of(lx.pairs_within(targets, lex, far), "word", "near", "distance") == want
+    codes = np.array([[1, 2, 3]], dtype=np.uint64)
+    assert lx.deletion_hashes(codes, 1).shape == (1, 4) and lx.deletion_hashes(codes, 9).shape == (1, 8)
