@@ -13,6 +13,7 @@ from ..operators import lexicon as lx
 from ..operators import pool as pl
 from ..operators import tables as tb
 from ..operators.words import longest
+from ..session import settled
 from ..sources import audio, lists, manifests, sinks
 from . import bindings as b
 from .lexicon_plans import _PHRASE_SQL as PHRASE_SQL
@@ -123,10 +124,21 @@ ln AS (SELECT word, rank, v, rank * 2 + v AS pos,
 fp AS (SELECT word, arg_min(phones, pos) AS phones FROM ln GROUP BY word)"""
 
 
-def spelt(spark: SparkSession, d: str) -> DataFrame:
+@query("ranked_words", f"WITH {VOCAB_SQL} SELECT word, rank - 1 AS rank FROM lex")
+def ranked_words(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary read back from the lines of a ranked list, with comments, blanks and capitals in it."""
+    lex = vocab(spark, d)
+    value = F.when(F.col("rank") % 3 == 0, F.concat(F.lit("  "), F.initcap("word"))).otherwise(F.col("word"))
+    more = F.when(F.col("rank") % 5 == 0, F.concat(F.lit("# "), "word")).when(F.col("rank") % 7 == 0, " ")
+    lines = lex.select(F.explode(F.array(F.struct((F.col("rank") * 2).alias("pos"), value.alias("value")),
+                                         F.struct((F.col("rank") * 2 + 1).alias("pos"), F.coalesce(more, F.lit("")).alias("value")))).alias("x")).select("x.*")
+    return lists.rank_lines(lines)
+
+
+def spelt(lex: DataFrame) -> DataFrame:
     """Pronunciation lines of the ranked words with their position."""
     known = F.array(*[F.lit(p) for p in lx.PHONES])
-    lines = vocab(spark, d).select("word", "rank", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
+    lines = lex.select("word", "rank", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
     phones = F.transform(F.split("word", ""), lambda c, i: F.concat(
         F.get(known, ((F.ascii(c) * 7 + F.col("v") * (i + 1)) % len(lx.PHONES)).cast("int")), F.when(i == 0, "1").otherwise("")))
     pos = F.col("rank") * 2 + F.col("v")
@@ -138,8 +150,9 @@ WITH {_SPELT_SQL}
 SELECT l.word, l.rank, array_to_string(fp.phones, ' ') AS phones FROM lex l JOIN fp USING (word)""")
 def lexicon_phones(spark: SparkSession, d: str) -> DataFrame:
     """Ranked words with their first pronunciation."""
-    first = lists.first_phones(lists.parse_phones(spelt(spark, d)), "pos")
-    return vocab(spark, d).join(first, "word").select("word", "rank", F.array_join("phones", " ").alias("phones"))
+    lex = settled(vocab(spark, d), "vocabulary")
+    first = lists.first_phones(lists.parse_phones(spelt(lex)), "pos")
+    return lex.join(first, "word").select("word", "rank", F.array_join("phones", " ").alias("phones"))
 
 
 @query("near_phones", f"""
@@ -157,8 +170,9 @@ nr AS (SELECT words, word, near, near_rank, distance, ROW_NUMBER() OVER (PARTITI
 SELECT word, md5(array_to_string(words, ' ')) AS phrase, near, near_rank, CAST(distance AS INTEGER) AS distance, CAST(position AS INTEGER) AS position FROM nr WHERE position <= 16""")
 def near_phones(spark: SparkSession, d: str) -> DataFrame:
     """Near words by sound: the edit distance counts phones of the first pronunciation."""
-    first = lists.first_phones(lists.parse_phones(spelt(spark, d)), "pos").withColumn("code", lx.phone_code(F.col("phones")))
-    lexicon = vocab(spark, d).join(first.select("word", "code"), "word")
+    lex = settled(vocab(spark, d), "vocabulary")
+    first = lists.first_phones(lists.parse_phones(spelt(lex)), "pos").withColumn("code", lx.phone_code(F.col("phones")))
+    lexicon = settled(lex.join(first.select("word", "code"), "word"), "lexicon")
     words = phrases(spark, d).select(F.explode("words").alias("word"), F.col("words").alias("exclude")).distinct()
     near = lx.near_words(words.join(lexicon.select("word", "code"), "word"), lexicon, most=longest(phrases(spark, d), F.size("words")))
     return near.select("word", F.md5(F.array_join("exclude", " ")).alias("phrase"), "near", "near_rank", "distance", "position")

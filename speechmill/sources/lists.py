@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ordered_index
+
 
 def keep_lines(lines: DataFrame) -> DataFrame:
     """Trimmed ``value`` lines without blanks and ``#`` comments."""
@@ -16,17 +18,22 @@ def read_line_list(spark: SparkSession, path: str) -> DataFrame:
     return keep_lines(spark.read.text(path))
 
 
+def rank_lines(lines: DataFrame) -> DataFrame:
+    """Lines (pos, value) of a ranked list as lower-case words with their rank, from 0.
+
+    Comments and blank lines have no rank. Lines are numbered by block counts, so
+    a list of any length spreads over tasks.
+    """
+    kept = keep_lines(lines).select(F.lower("value").alias("word"), F.col("pos").cast("bigint").alias("pos"))
+    return ordered_index(kept, [], "pos").select("word", F.col("rn").cast("bigint").alias("rank"))
+
+
 def read_ranked_words(spark: SparkSession, path: str) -> DataFrame:
     """Words of a ranked list with their rank (position in the file).
 
-    Such a list is one small file; reading it whole keeps its order, which is
-    the rank.
+    The file is read whole, which keeps the order of its lines.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "value"))
-    kept = keep_lines(lines).select(F.lower("value").alias("word"), "pos")
-    # Ranks count kept lines only; the list is bounded, so one array holds it.
-    ordered = kept.agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    return ordered.select(F.posexplode("w").alias("rank", "w")).select(F.col("w.word").alias("word"), F.col("rank").cast("bigint").alias("rank"))
+    return rank_lines(spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "value")))
 
 
 def parse_phones(lines: DataFrame) -> DataFrame:
