@@ -8,7 +8,8 @@ DataFrame functions only.
 Defined results: a null or empty text is one empty line; a null id is not
 counted and its text stays whole; repeated rows of one id count as one document
 and all keep or lose the same lines; result columns replace input columns of
-the same name; an empty table gives no rows.
+the same name, other columns of any name stay as they are; ties do not matter; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,17 +54,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = frequent_lines(keys, min_docs).select(*again, "_keeper")
     dropped = (keys.join(frequent, ["_h0", "_h1"]).filter("_id < _keeper")
                .groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_dropped")))
-    columns = [F.col(f"_d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    met = docs.alias("_d").join(
-        dropped, (F.col(f"_d.`{id_col}`") == F.col("_id")) & (F.xxhash64(text_of(f"_d.`{text_col}`")) == F.col("_row")), "left")
-    met = met.withColumn("_text", text_of(f"_d.`{text_col}`")).withColumn("_lines", lines_of(F.col("_text")))
+    # what the caller gave stays in one struct (the text beside it), away from the names used here
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_given"), F.col(f"`{text_col}`").alias("_raw"))
+    met = packed.join(
+        dropped, (F.col(f"_given.`{id_col}`") == F.col("_id")) & (F.xxhash64(text_of("_raw")) == F.col("_row")), "left")
+    met = met.withColumn("_text", text_of("_raw")).withColumn("_lines", lines_of(F.col("_text")))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_dropped")
     kept = F.array_join(F.transform(places, lambda p: F.get("_lines", p)), "\n")
-    return met.select(
-        *columns,
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(kept).alias("kept_text"))
+    found = met.select(
+        "_given", "_raw", F.size("_lines").cast("long").alias("_n"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("_gone"),
+        F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(kept).alias("_kept"))
+    columns = [F.col("_raw").alias(c) if c == text_col else F.col(f"_given.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    return found.select(*columns, F.col("_n").alias("n_lines"), F.col("_gone").alias("n_dropped"), F.col("_kept").alias("kept_text"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
