@@ -22,11 +22,20 @@ def odd_rows():
     return [(i, t, None if i == 2 else "en", None, None if t is None else len(t), "s", 1, 2, "x", None) for i, t in rows]
 
 
+#: Names that operators use inside.
+INNER = ["_text", "_lines", "_id", "_row", "_dropped", "_key", "_row0", "_row1", "_found", "_given", "_raw", "_new", "_parts", "_pos", "_h0", "id", "size", "first",
+         "component", "held_out_", "label", "slots", "key", "seq", "tree", "pos", "leaf", "more", "grp", "uid", "_gone", "_d", "kept", "line", "u", "v", "n", "c", "k", "b"]
+
+
+def with_inner_names(df):
+    return df.selectExpr("*", *[f"{i} AS `{name}`" for i, name in enumerate(INNER)])
+
+
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
-    return spark.createDataFrame(odd_rows, ODD)
+    return with_inner_names(spark.createDataFrame(odd_rows, ODD))
 
 
 @pytest.fixture(scope="session")
 def none(spark):
-    return spark.createDataFrame([], ODD)
+    return with_inner_names(spark.createDataFrame([], ODD))

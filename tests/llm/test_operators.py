@@ -235,11 +235,36 @@ def test_machine_learns_a_pair_that_weights_miss():
     found = [np.flatnonzero(b).astype(np.uint32) for b in bits]
     found = [np.append(f, 2).astype(np.uint32) for f in found]
     labels = (bits[:, 0] == bits[:, 1]).astype(float)
-    model = toxicity.fit_machine(found, labels, min_z=-1000.0, steps=1500)
+    model = toxicity.fit_machine(found, labels)
     p = model.score_rows([np.searchsorted(model.slots, f) for f in found])
     assert ((p > 0.5) == labels).mean() > 0.95
 
 
+def test_machine_learns_terms_that_speak_against():
+    """A word of all rows is toxic exactly where a benign word is absent."""
+    r = np.random.default_rng(4)
+    benign = r.random(3000) < 0.8
+    found = [np.array([1, 5] if b else [1], dtype=np.uint32) for b in benign]
+    model = toxicity.fit_machine(found, (~benign).astype(float))
+    p = model.score_rows([np.searchsorted(model.slots, f) for f in found])
+    assert model.slots.tolist() == [1, 5] and ((p >= 0.3) == ~benign).all()
+
+
+def test_toxicity_stage_keeps_all_without_labels_of_both_kinds(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('plain text ', id) AS text", "1 AS _tox_score")
+    labels = docs.selectExpr("doc_id", "1 AS toxic")
+    for few in (labels.limit(0), labels, labels.selectExpr("doc_id", "CAST(NULL AS INT) AS toxic")):
+        kept = toxicity.without_toxic(docs, few)
+        assert kept.count() == 40 and kept.columns == docs.columns
+
+
+def test_toxicity_sample_is_bounded_at_any_size(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    got = toxicity.labelled_terms(docs.union(docs), labels.union(labels), ~toxicity.held_out(), 50).collect()
+    assert len(got) == 50 == len({r["id"] for r in got})
+
+
 def test_toxicity_on_given_labels(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
@@ -255,7 +280,7 @@ def test_toxicity_odd_rows(spark, odd, odd_rows, none):
     got = rows(toxicity.toxicity_report(odd, labels))
     assert len(got) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in got)
     kept = toxicity.without_toxic(odd, labels.filter("false"))
-    assert kept.columns == odd.columns
+    assert kept.columns == odd.columns and kept.count() == len(odd_rows)
     assert toxicity.toxicity_report(none, labels).count() == 0
     assert {r["score"] for r in rows(toxicity.toxicity_report(odd, labels.filter("false")))} == {0.5}
 
@@ -285,7 +310,7 @@ def test_finder_keeps_the_edit_budget():
     r = random.Random(2)
     item = prose(50, 40)
     plain = decontaminate.plain(item.encode())
-    finder = decontaminate.ItemFinder([(5, plain)], 0.05)
+    finder = decontaminate.ItemFinder([(5, plain)], 0.05, 32)
     for n in range(60):
         t = list(plain)
         for _ in range(n % 30):
@@ -300,6 +325,12 @@ def test_finder_keeps_the_edit_budget():
             assert got == []
 
 
+def test_short_items_are_found_as_words():
+    finder = decontaminate.ItemFinder([(1, "what is the capital of france?"), (2, "art")], 0.05, 32)
+    assert finder("so: what is the capital of france? paris") == [(1, 0, 4, 34)]
+    assert finder("what is the capital of francee? a part of art.") == [(2, 0, 42, 45)] and finder("partly smart") == []
+
+
 def test_leaks_odd_rows(spark, odd, none, monkeypatch):
     items = spark.createDataFrame([(1, prose(1, 120)[100:400]), (1, prose(1, 120)[100:400]), (2, None), (3, ""), (4, "short"),
                                    (None, prose(1, 120)[:300]), (6, prose(2, 60_000)[5000:5200]), (7, "y" * 50)], "item_id long, text string")
@@ -473,6 +504,23 @@ def test_each_of_repeated_notices_is_found(between):
     assert [(f["license"], f["start"], f["stop"]) for f in finder(text.encode())] == [("MIT", k * step, k * step + 5) for k in range(4)]
 
 
+def test_recall_on_edited_notices():
+    """One word of a notice is changed, left out or added: found wherever 80 % of its words are left."""
+    finder = license_scan.NoticeFinder(license_scan.TEMPLATES, 0.8)
+    wanted = hits = 0
+    for name, text in license_scan.TEMPLATES.items():
+        w = text.split()
+        for k in range(len(w)):
+            for edited in ([*w[:k], "zebra", *w[k + 1:]], [*w[:k], *w[k + 1:]], [*w[:k], "zebra", *w[k:]]):
+                left = len(w) - (1 if len(edited) <= len(w) else 0)
+                if left / len(w) < 0.8:
+                    continue
+                found = finder(" ".join(["some", "prose", *edited, "more", "prose"]).encode())
+                wanted += 1
+                hits += any(f["license"] == name for f in found)
+    assert wanted > 500 and hits / wanted >= 0.95, (wanted, hits)
+
+
 def test_alignment_counts_words_in_order():
     r = random.Random(4)
     for _ in range(100):
@@ -586,6 +634,35 @@ def test_secrets_of_upper_case_or_of_letters_only_are_replaced(spark):
     assert new[4] == new[3].upper() and new[6] == new[5].lower() and new[7].lower() == new[3]
 
 
+def test_all_kinds_leave_nothing_behind(spark):
+    """Known spans: each is gone afterwards, and what stands around it stays."""
+    spans = {"jörg.müller@beispiel.de": "email", "иван@пример.рф": "email", "A.B+c@mail.example.org": "email", "+49 171 2345678": "phone",
+             "0171 2345678": "phone", "+33 6 12 34 56 78": None, "(555) 123-4567": "phone", "Dr. Otto Klein": "name", "Prof. Grün": "name",
+             "xoxb-1234567890-abcdefghij": "key", "AIza" + "b4" * 17 + "c": "key", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK": "key",
+             "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\n+/x==\n-----END RSA PRIVATE KEY-----": "block", "192.168.17.4": "ip"}
+    spans = {x: k for x, k in spans.items() if k}
+    data = [(i, f"before {x} after") for i, x in enumerate(spans)]
+    got = {r["doc_id"]: r for r in rows(pii.surrogate_report(spark.createDataFrame(data, "doc_id long, text string")))}
+    for i, (x, kind) in enumerate(spans.items()):
+        text = got[i]["text"]
+        assert text.startswith("before ") and text.endswith(" after") and x not in text, (x, text)
+        assert got[i]["n_entities"] == 1 and got[i]["entity_kinds"] == [kind], (x, got[i])
+        assert len(text) == len(data[i][1]) or kind in ("ip", "name"), (x, text)
+        if kind == "email":
+            assert not set(re.findall(r"\w{3,}", x.rsplit(".", 1)[0])) & set(re.findall(r"\w{3,}", text)), text
+    assert "-----BEGIN RSA PRIVATE KEY-----" in got[len(spans) - 2]["text"] and "-----END RSA PRIVATE KEY-----" in got[len(spans) - 2]["text"]
+
+
+def test_saturated_format_grows(spark):
+    """All addresses of one letter at one letter: no surrogate of the format is free."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    df = spark.createDataFrame([("email", f"{a}@{b}.c") for a in letters[:8] for b in letters], "kind string, canon string")
+    df = df.unionByName(spark.createDataFrame([("email", f"{a}@{b}.c") for a in letters[8:] for b in letters], "kind string, canon string"))
+    got = pii.distinct_surrogates(df, "secret").collect()
+    given, made = {r["canon"] for r in got}, [r["surrogate"] for r in got]
+    assert len(got) == 676 == len(set(made)) and not given & set(made)
+
+
 def test_surrogates_are_distinct(spark):
     """Few formats for many entities: collisions are found and hashed again."""
     entities = [("ip", f"10.0.{i // 250}.{i % 250 + 1}") for i in range(500)] + [("name", f"Mr N{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)]
