@@ -1,8 +1,8 @@
 """Operator 5, license scans: which license notices a text holds, and where.
 
 Notices and texts become words without their outer punctuation. Winnowing keeps
-the smallest hash of every few word triples of a notice; an inverted index of
-these fingerprints picks candidate notices and diagonals in a text, and an
+the smallest hash of every few word triples of a notice, and all word pairs of a
+short one; an inverted index of these fingerprints picks candidate notices and diagonals in a text, and an
 alignment in a band around each diagonal gives the share of the notice's words
 found in order, and the span they cover.
 
@@ -10,9 +10,11 @@ The templates are a parameter of bounded size (each task holds them all); the
 texts are scanned whole, in one pass without a shuffle.
 
 Defined results: null and empty texts have no findings; empty templates are never
-found, templates shorter than a triple are one fingerprint; repeated rows get
-equal findings; an empty table gives no rows; the result column replaces one of
-the same name.
+found, templates shorter than a pair are one fingerprint; of notices that overlap
+the one with most matched words is reported (a short notice inside a long one is
+part of it), of ties the better covered, then the first; repeated rows get equal
+findings; an empty table gives no rows; the result column replaces one of the same
+name.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import add_columns, words_of
 
 GRAM = 3
 WINDOW = 3
+#: Notices of fewer words are looked for by all their word pairs.
+SHORT = 12
 BAND = 12
 REMEMBERED = 200_000
 EDGES = b"\"'`.,;:!?()[]{}<>*#/|-_\xe2\x80\x9c\xe2\x80\x9d"
@@ -126,11 +130,12 @@ class NoticeFinder:
         for name in sorted(templates):
             words = [w for w in map(normal_word, words_of(templates[name].encode())) if w]
             ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], dtype=np.int64)
-            width = min(GRAM, len(ids))
+            width = min(GRAM if len(ids) >= SHORT else GRAM - 1, len(ids))
             if not width:
                 continue
             hashes = gram_hashes(ids, width)
-            kept = winnow(hashes, WINDOW)
+            # one changed word takes away most triples of a short notice: all its pairs count
+            kept = winnow(hashes, WINDOW) if len(ids) >= SHORT else list(range(len(hashes)))
             for at in kept:
                 self.index.setdefault((width, int(hashes[at])), []).append((len(self.templates), at))
             self.templates.append((name, ids, len(kept)))
@@ -192,8 +197,8 @@ class NoticeFinder:
                 for t, offset in self.index[width, h]:
                     hits.setdefault(t, {}).setdefault(at - offset, []).append((at, at + width))
         found = [f for t in sorted(hits) for f in self.notices(t, ids, hits[t])]
-        kept_findings: list[dict] = []  # of findings that overlap, the best covered one stays
-        for f in sorted(found, key=lambda f: (-f["coverage"], -f["matched"], f["start"], f["license"])):
+        kept_findings: list[dict] = []  # of findings that overlap, the one with most matched words stays
+        for f in sorted(found, key=lambda f: (-f["matched"], -f["coverage"], f["start"], f["license"])):
             if all(f["stop"] <= k["start"] or k["stop"] <= f["start"] for k in kept_findings):
                 kept_findings.append(f)
         return sorted(kept_findings, key=lambda f: f["start"])
