@@ -219,8 +219,8 @@ def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     With digest_col, also the SHA-256 of the text to which the pieces decode.
     """
     model = model_bytes(model_path)
-    keep = [c for c in docs.columns if c not in ("piece_ids", "_key", digest_col)]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(key_col).cast("string"), F.lit("\x00null")).alias("_key"))
+    keep = [c for c in docs.columns if c not in ("piece_ids", digest_col)]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(key_col).cast("string"), F.lit("\x00null")).alias("_".join(["key", *keep])))  # a name that no column has
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("piece_ids", ArrayType(IntegerType(), False))
     schema = schema.add(digest_col, StringType()) if digest_col else schema
     arrow = to_arrow_schema(schema)
